@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one sorted key range holds on average when a numbering is split into ranges.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 4_096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, secrets, sharding
+from . import decontam, langid, mixing, quality, secrets, sharding
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_quality_scores": quality.op5_quality_scores,
     "op6_secret_spans": secrets.op6_secret_spans,
     "op7_shard_documents": sharding.op7_shard_documents,
     "op10_benchmark_hits": decontam.op10_benchmark_hits,
