@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, quality, secrets, sharding
+from . import decontam, langid, mixing, ngram_join, quality, secrets, sharding
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality_scores": quality.op5_quality_scores,
     "op6_secret_spans": secrets.op6_secret_spans,
     "op7_shard_documents": sharding.op7_shard_documents,
+    "op9_ngram_components": ngram_join.op9_ngram_components,
     "op10_benchmark_hits": decontam.op10_benchmark_hits,
 }
 

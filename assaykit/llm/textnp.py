@@ -114,4 +114,5 @@ def set_key(s: np.ndarray) -> int:
     """A 63-bit key of a set of hashes."""
     if not len(s):
         return -1
-    return int(mixed(np.add.reduce(mixed(s ^ _B)) + np.uint64(len(s))) >> np.uint64(1))
+    total = np.add.reduce(mixed(s ^ _B), keepdims=True) + np.uint64(len(s))
+    return int(mixed(total)[0] >> np.uint64(1))
