@@ -7,7 +7,9 @@ the plan nor the loss of an executor grows with the rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -48,3 +50,29 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+
+
+def linked(lists: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components under the verified links among members of common lists: node, root; nodes without a link are absent.
+
+    lists: gram, key, n, head, head_n, one row for each member of each list, head being the first member; fits(n, m) is
+    a cheap condition on sizes, verify turns candidate pairs (a, b) into those that are links. First every member meets
+    the head of its lists only. Then lists that hold several components are taken up, and in them the pairs of a member
+    outside the list's largest component with the members of other components. A pair within one component adds
+    nothing to it, so no component is lost, and a large group of copies costs one pair a member.
+    """
+    first = cut(lists.where((F.col("key") != F.col("head")) & fits("n", "head_n")).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
+    edges = cut(verify(first))
+    roots = components(edges)
+    placed = lists.join(roots, F.col("key") == F.col("node"), "left").select("gram", "key", "n", F.coalesce("root", "key").alias("comp"))
+    several = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("gram")
+    opened = cut(placed.join(several, "gram", "left_semi"))
+    major = opened.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
+    minor = opened.join(major, "gram").where(F.col("comp") != F.col("major")).select("gram", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    across = opened.join(minor, "gram").where((F.col("comp") != F.col("comp2")) & fits("n", "n2"))
+    across = across.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct()
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = cut(across.join(tried, ["a", "b"], "left_anti"))
+    if second.isEmpty():
+        return roots
+    return components(edges.union(cut(verify(second))))

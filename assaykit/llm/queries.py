@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, ngram_join, omh, quality, secrets, sharding
+from . import decontam, langid, linededup, mixing, ngram_join, omh, quality, secrets, sharding
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_scores": quality.op5_quality_scores,
     "op6_secret_spans": secrets.op6_secret_spans,
     "op7_shard_documents": sharding.op7_shard_documents,
+    "op8_line_dedup": linededup.op8_line_dedup,
     "op9_ngram_components": ngram_join.op9_ngram_components,
     "op10_benchmark_hits": decontam.op10_benchmark_hits,
 }
