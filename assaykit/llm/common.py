@@ -37,3 +37,9 @@ def unit(*parts: Column) -> Column:
 def range_bits(rows: int, per_range: int = ROWS_PER_RANGE) -> int:
     """Leading hash bits that split rows into ranges of about per_range."""
     return max(0, ((rows + per_range - 1) // per_range - 1).bit_length())
+
+
+def broadcast_if_small(df: DataFrame, limit: int = 500_000) -> DataFrame:
+    """The rows, written once and counted: marked for broadcast up to limit rows, left to a shuffle beyond."""
+    held = cut(df)
+    return F.broadcast(held) if held.count() <= limit else held

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, linededup, mixing, ngram_join, omh, quality, secrets, sharding
+from . import decontam, langid, licenses, linededup, mixing, ngram_join, omh, quality, secrets, sharding
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_order_minhash": omh.op3_order_minhash,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_quality_scores": quality.op5_quality_scores,
