@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Lists of more members than this count as long.
+DENSE = 32
+
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
@@ -52,27 +55,39 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
-def linked(lists: DataFrame, fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(lists: DataFrame, fits: Callable[[str, str], Column], common: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], families: Callable[[DataFrame], DataFrame] | None = None, dense: int = DENSE) -> DataFrame:
     """Components under the verified links among members of common lists: node, root; nodes without a link are absent.
 
     lists: gram, key, n, head, head_n, one row for each member of each list, head being the first member; fits(n, m) is
-    a cheap condition on sizes, verify turns candidate pairs (a, b) into those that are links. First every member meets
-    the head of its lists only. Then lists that hold several components are taken up, and in them the pairs of a member
-    outside the list's largest component with the members of other components. A pair within one component adds
-    nothing to it, so no component is lost, and a large group of copies costs one pair a member.
+    a cheap condition on sizes, common(n, m) how many lists two members must share, verify turns candidate pairs (a, b)
+    into those that are links. First every member meets the head of its lists only. Then lists that hold several
+    components are taken up, and in them the pairs of a member outside the list's largest component with the members of
+    other components. A pair within one component adds nothing to it, so no component is lost, and a large group of
+    copies costs one pair a member. With families given, lists of more than dense members that are still open are not
+    paired: the members of such lists form families (those that share a list), and families(members) gives links enough
+    to join whatever is similar within one.
     """
-    first = cut(lists.where((F.col("key") != F.col("head")) & fits("n", "head_n")).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
+    heads = lists.where((F.col("key") != F.col("head")) & fits("n", "head_n")).groupBy(F.col("head").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("head_n").alias("m"))
+    first = cut(heads.where(F.col("c") >= common(F.col("n"), F.col("m"))).select("a", "b"))
     edges = cut(verify(first))
     roots = components(edges)
     placed = lists.join(roots, F.col("key") == F.col("node"), "left").select("gram", "key", "n", F.coalesce("root", "key").alias("comp"))
     several = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("gram")
     opened = cut(placed.join(several, "gram", "left_semi"))
+    if families is not None:
+        long = opened.groupBy("gram").agg(F.count("*").alias("members"), F.min("key").alias("least")).where(F.col("members") > dense).select("gram", "least")
+        crowd = cut(opened.join(long, "gram").select("key", "least").distinct())
+        if not crowd.isEmpty():
+            of_family = components(crowd).select(F.col("node").alias("key"), F.col("root").alias("family"))
+            edges = edges.union(cut(families(of_family)))
+            opened = opened.join(long, "gram", "left_anti")
     major = opened.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
-    minor = opened.join(major, "gram").where(F.col("comp") != F.col("major")).select("gram", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    across = opened.join(minor, "gram").where((F.col("comp") != F.col("comp2")) & fits("n", "n2"))
-    across = across.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct()
+    marked = opened.join(major, "gram").withColumn("minor", F.col("comp") != F.col("major"))
+    minor = marked.where("minor").select("gram", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    # of two minor members, the smaller key is taken on the left, so a pair comes once a list
+    once = ~F.col("minor") | (F.col("key") < F.col("k2"))
+    met = marked.join(minor, "gram").where((F.col("comp") != F.col("comp2")) & once & fits("n", "n2"))
+    across = met.groupBy(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("n2").alias("m"))
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = cut(across.join(tried, ["a", "b"], "left_anti"))
-    if second.isEmpty():
-        return roots
-    return components(edges.union(cut(verify(second))))
+    second = cut(across.where(F.col("c") >= common(F.col("n"), F.col("m"))).select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    return components(edges if second.isEmpty() else edges.union(cut(verify(second))))

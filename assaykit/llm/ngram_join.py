@@ -2,13 +2,16 @@
 
 1. Texts of equal sets fall into one class; a class goes on as one set.
 2. Sets are ordered globally: n-grams that are frequent somewhere come last, by level of frequency, then by hash. Two
-   similar sets share an n-gram among the first ``n - ceil(t n) + 1`` of either, so these prefixes are joined by n-gram.
+   similar sets share c n-grams among the first ``n - ceil(t n) + c`` of either, so these prefixes are joined by n-gram
+   and pairs that share fewer are dropped; c is a small part of n, so sets with a passage in common do not qualify.
 3. Lists of an n-gram may hold a third of all classes, so not all their pairs are formed. First every class meets only
    the first class of its lists. Links found that way are united. Then only lists that still hold several components
    are taken up, and in them only pairs across components; that loses no link between different components.
-4. Candidates are verified by a prefix-tree: the sets that meet one class stand in a trie (sorted, with the common
-   prefixes as inner nodes); the traversal shares the overlap of a common path and skips a subtree as soon as the
-   length that remains cannot make up for what is missing. Groups of a class are split into blocks.
+4. Candidates are verified by a prefix-tree (:class:`Trie`): the sets that meet one class stand in a trie; its traversal
+   shares the overlap of a common path and leaves a subtree as soon as the length that remains cannot make up for what
+   is missing. Groups of a class are split into blocks.
+5. Classes in long lists, such as a large group of near copies, are not paired as rows: their families are cut into
+   blocks, and each two blocks meet in one task as a trie and its probes.
 
 Frequencies only shape the order, which changes no result; they are counted over all rows.
 """
@@ -22,18 +25,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .components import components
+from .common import broadcast_if_small, cut, table
+from .components import linked
 from .textnp import set_key, shingles, slices, word_hashes
 
 #: N-grams buffered in a task before their frequencies are handed on, and the least local frequency that is.
-BUFFER, LEAST_COUNT = 4_000_000, 3
+BUFFER, LEAST_COUNT = 2_000_000, 2
+#: Frequencies matter for n-grams that may come to stand in a prefix: so many percent of a set, by hash.
+COUNTED_PCT = 40
 #: N-grams whose frequency shapes the order: 2^ORDER_BITS at most are sent to the executors, the most frequent ones.
-ORDER_BITS = 19
+ORDER_BITS = 20
+#: Prefixes are so many percent of a set longer than they need be to share one n-gram, and so must share as many.
+COMMON_PCT = 5
 #: Sets of one block of a verified group.
 BLOCK = 256
 
 
+def least_common(n):
+    """So many n-grams at least do the prefixes of two similar sets share, if n is the size of the smaller one (an int or a column)."""
+    if isinstance(n, int):
+        return max(1, n * COMMON_PCT // 100)
+    return F.greatest(F.lit(1), F.floor(n * COMMON_PCT / 100).cast("long"))
+
+
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     for first, offsets, data in slices(column):
         yield first, shingles(*word_hashes(data, offsets), k)
@@ -60,8 +74,8 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 for at, s in enumerate(sets, first):
                     keys[at], sizes[at] = key, _ = set_key(s), len(s)
                     if len(s) and key not in kept:
-                        kept[key] = s
-                        held += len(s)
+                        kept[key] = s[: len(s) * COUNTED_PCT // 100 + 1]
+                        held += len(kept[key])
                 if held >= BUFFER:
                     yield frequent()
                     kept.clear()
@@ -111,7 +125,7 @@ def prefixes(docs: DataFrame, text_col: str, k: int, num: int, den: int, hint: t
                     n, key = len(s), set_key(s)
                     if n and key not in seen:
                         seen.add(key)
-                        parts.append(ordered(s, grams, levels)[: n + (-n * num // den) + 1])
+                        parts.append(ordered(s, grams, levels)[: n + (-n * num // den) + least_common(n)])
                         keys.append(key)
                         sizes.append(n)
                 many = [len(p) for p in parts[1:]]
@@ -164,46 +178,92 @@ def shared(rows: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "gram long, key long, n long, head long, head_n long")
 
 
-def trie_overlaps(probe: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Which sets have a Jaccard similarity of num/den or more with the probe; all are sorted by hash.
+class Trie:
+    """Sets as paths of a prefix-tree, and the search for those similar to a probe.
 
-    The sets are ranked by how many hold an n-gram, most first, and stand in rank order as a trie: in sorted sequence,
-    what a set has in common with the one before is a path that was walked already. A path that misses more of the
-    probe than any set below it may miss ends the subtree.
+    N-grams are ranked by how many of the sets hold them, most first, and every set is a path in rank order, so that
+    near copies share their beginnings. Chains without branches are one edge. A search counts, edge by edge from the
+    root, the n-grams that the probe lacks; all sets below an edge share that count. A subtree is left as soon as its
+    path lacks more than any set below may lack, given the lengths that remain.
     """
-    m = len(probe)
-    grams, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(grams), np.int64)
-    rank[np.lexsort((grams, -count))] = np.arange(len(grams))
-    at = np.minimum(np.searchsorted(probe, grams), m - 1)
-    missing = np.empty(len(grams), np.int32)
-    missing[rank] = probe[at] != grams
-    cuts = np.cumsum([0, *map(len, sets)])
-    paths = [np.sort(rank[inverse[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    # |x & y| (den + num) >= num (|x| + |y|), so y may miss so many
-    allowed = np.array([len(p) - -(-num * (m + len(p)) // (den + num)) for p in paths])
-    most = allowed.max()
-    hit = np.zeros(len(sets), bool)
-    walked, misses, dead = np.zeros(0, np.int64), np.zeros(1, np.int64), -1
-    for i in sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes()):
-        path = paths[i]
-        both = min(len(walked), len(path))
-        differs = walked[:both] != path[:both]
-        common = int(differs.argmax()) if differs.any() else both
-        if 0 <= dead <= common:
-            continue
-        more = np.cumsum(missing[path[common:]]) + misses[common]
-        misses, walked = np.concatenate([misses[: common + 1], more]), path
-        over = np.flatnonzero(misses > most)
-        dead = int(over[0]) if len(over) else -1
-        hit[i] = misses[-1] <= allowed[i]
-    return hit
-
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes that are links. classes: key, id of one of its documents."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    ids = classes.join(wanted, "key", "left_semi").select(F.col("id").alias("__id")).distinct()
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        self.num, self.den = num, den
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.grams, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(self.grams), np.int64)
+        rank[np.lexsort((self.grams, -count))] = np.arange(len(self.grams))
+        self.by_rank = np.argsort(rank)
+        cuts = np.cumsum([0, *map(len, sets)])
+        ranks = rank[inverse]
+        paths = [np.sort(ranks[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        # nodes: (parent, depth, path that runs through it); node 0 is the root
+        parent, depth, through = [0], [0], [0]
+        self.ends = np.zeros(len(sets), np.int64)
+        stack, last = [0], np.zeros(0, np.int64)
+        for i in sorted(range(len(sets)), key=lambda i: paths[i].astype(">u4").tobytes()):
+            path = paths[i]
+            both = min(len(last), len(path))
+            differs = last[:both] != path[:both]
+            common = int(differs.argmax()) if differs.any() else both
+            below = -1
+            while depth[stack[-1]] > common:
+                below = stack.pop()
+            if depth[stack[-1]] < common:  # a branch in the middle of an edge
+                parent.append(stack[-1])
+                depth.append(common)
+                through.append(through[below])
+                parent[below] = len(parent) - 1
+                stack.append(len(parent) - 1)
+            if len(path) > common:
+                parent.append(stack[-1])
+                depth.append(len(path))
+                through.append(i)
+                stack.append(len(parent) - 1)
+            self.ends[i] = stack[-1]
+            last = path
+        level = np.zeros(len(parent), np.int64)
+        order = sorted(range(1, len(parent)), key=lambda n: depth[n])
+        for n in order:
+            level[n] = level[parent[n]] + 1
+        order.sort(key=lambda n: level[n])
+        place = np.zeros(len(parent), np.int64)
+        place[order] = np.arange(1, len(parent))
+        self.parent = place[np.array([parent[n] for n in order], np.int64)] if order else np.zeros(0, np.int64)
+        edges = [paths[through[n]][depth[parent[n]] : depth[n]] for n in order]
+        self.edge_grams = np.concatenate([*edges, np.zeros(0, np.int64)])
+        self.edge_cuts = np.cumsum([0, *map(len, edges)])[:-1]
+        self.levels = np.searchsorted(level[order], np.arange(1, (level.max() if order else 0) + 2)) if order else np.zeros(1, np.int64)
+        self.ends = place[self.ends]
+        # the largest set below each node bounds what its subtree may lack
+        self.largest = np.zeros(len(parent), np.int64)
+        np.maximum.at(self.largest, self.ends, self.sizes)
+        for lo, hi in reversed(list(zip(self.levels[:-1], self.levels[1:], strict=True))):
+            np.maximum.at(self.largest, self.parent[lo:hi], self.largest[lo + 1 : hi + 1])
+
+    def near(self, probe: np.ndarray) -> np.ndarray:
+        """Which sets have a Jaccard similarity of num/den or more with the probe (sorted by hash)."""
+        m = len(probe)
+        at = np.minimum(np.searchsorted(probe, self.grams), m - 1)
+        missing = (probe[at] != self.grams)[self.by_rank]
+        lacks = np.zeros(len(self.largest), np.int64)
+        edge = np.add.reduceat(missing[self.edge_grams], self.edge_cuts) if len(self.edge_cuts) else np.zeros(0, np.int64)
+        # |x & y| (den + num) >= num (|x| + |y|): a set of n may lack n - ceil(num (m + n) / (den + num)), rising with n
+        may = lambda n: n - -(-self.num * (m + n) // (self.den + self.num))
+        most = may(self.largest)
+        for lo, hi in zip(self.levels[:-1], self.levels[1:], strict=True):
+            now = lacks[self.parent[lo:hi]] + edge[lo:hi]
+            now[now > most[lo + 1 : hi + 1]] = 1 << 40
+            lacks[lo + 1 : hi + 1] = now
+            if now.min() >= 1 << 40:
+                lacks[hi + 1 :] = 1 << 40
+                break
+        return lacks[self.ends] <= may(self.sizes)
+
+
+def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """The sets (key, grams) of the wanted classes, each read from one of its documents."""
+    ids = broadcast_if_small(classes.join(wanted, "key", "left_semi").select(F.col("id").alias("__id")).distinct())
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(ids, "__id", "left_semi").select("__t")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +271,16 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, t
             for _, sets in _sets(batch.column(0), k):
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "grams"])
 
-    sets = cut(texts.mapInArrow(read, "key long, grams binary"))
+    return texts.mapInArrow(read, "key long, grams binary")
+
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes that are links. classes: key, id of one of its documents."""
+    sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), classes, docs, id_col, text_col, k)
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / float(BLOCK)).cast("int").alias("blocks"))
-    probes = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sets.withColumnRenamed("key", "a"), "a")
-    met = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")).join(sets.withColumnRenamed("key", "b"), "b")
-    rows = probes.select("a", "block", F.lit(-1).cast("long").alias("b"), "grams").union(met.select("a", "block", "b", "grams"))
+    probes = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(-1).cast("long").alias("b"), F.col("a").alias("key"))
+    met = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b", F.col("b").alias("key"))
+    rows = sets.join(broadcast_if_small(probes.union(met)), "key").select("a", "block", "b", "grams")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, probe, others, found = None, None, {}, []
@@ -223,9 +288,8 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, t
         def close() -> None:
             if others and probe is not None:
                 names = list(others)
-                for b, hit in zip(names, trie_overlaps(probe, [others[x] for x in names], num, den), strict=True):
-                    if hit:
-                        found.append((group[0], b))
+                near = Trie([others[x] for x in names], num, den).near(probe)
+                found.extend((group[0], b) for b, hit in zip(names, near, strict=True) if hit)
 
         for batch in batches:
             for a, block, b, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
@@ -246,6 +310,65 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, t
     return rows.repartition("a", "block").sortWithinPartitions("a", "block", "b").mapInArrow(check, "a long, b long")
 
 
+def verify_families(members: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join what is similar within each family; members: key, family.
+
+    The members of a family are dealt to blocks, and every two blocks (or a block and itself) meet in one task, one
+    block as a trie, the other as probes: no pair of members is a row. Of a task's links those that join two of its
+    parts are handed on, so there are fewer than members.
+    """
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / float(BLOCK)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    tiles = dealt.select("key", "family", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    roles = tiles.select("key", "family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("block"))
+    rows = sets_of(members.select("key"), classes, docs, id_col, text_col, k).join(broadcast_if_small(roles), "key")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, sides, found = None, ({}, {}), []
+
+        def close() -> None:
+            if tile is None:
+                return
+            left, right = sides[0], sides[1] or sides[0]
+            names = [*left, *([] if right is left else right)]
+            root = {x: x for x in names}
+
+            def top(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            if not left:
+                return
+            keys = list(left)
+            trie = Trie(list(left.values()), num, den)
+            for b, probe in right.items():
+                for n in np.flatnonzero(trie.near(probe)):
+                    x, y = top(keys[n]), top(b)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        found.append((keys[n], b))
+
+        def out() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+            found.clear()
+            return got
+
+        for batch in batches:
+            for family, i, j, block, key, grams in zip(*(batch.column(c).to_pylist() for c in range(5)), batch.column(5), strict=True):
+                if (family, i, j) != tile:
+                    close()
+                    tile, sides = (family, i, j), ({}, {})
+                sides[int(block != i)][key] = np.frombuffer(grams.as_buffer(), np.uint64).copy()
+            yield out()
+        close()
+        yield out()
+
+    tiled = rows.select("family", "i", "j", "block", "key", "grams").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "block", "key")
+    return tiled.mapInArrow(check, "a long, b long")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """Component of each document under links of similarity num/den or more: doc_id, n_shingles, component_id.
 
@@ -263,26 +386,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def fits(a: str, b: str):
         return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
 
-    first = cut(lists.where((F.col("key") != F.col("head")) & fits("n", "head_n")).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
-    edges = cut(verify(first, classes, docs, id_col, text_col, k, num, den))
-    roots = components(edges)
-
-    placed = lists.join(roots, F.col("key") == F.col("node"), "left").select("gram", "key", "n", F.coalesce("root", "key").alias("comp"))
-    mixed = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("gram")
-    opened = cut(placed.join(mixed, "gram", "left_semi"))
-    major = opened.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
-    minor = opened.join(major, "gram").where(F.col("comp") != F.col("major")).select("gram", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    across = opened.join(minor, "gram").where((F.col("comp") != F.col("comp2")) & fits("n", "n2"))
-    across = across.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = cut(across.join(tried, ["a", "b"], "left_anti"))
-    if second.take(1):
-        edges = edges.union(cut(verify(second, classes, docs, id_col, text_col, k, num, den)))
-        roots = components(edges)
-
+    roots = linked(
+        lists, fits, lambda n, m: least_common(F.least(n, m)), lambda pairs: verify(pairs, classes, docs, id_col, text_col, k, num, den),
+        lambda members: verify_families(members, classes, docs, id_col, text_col, k, num, den),
+    )
     smallest = roots.join(classes, F.col("node") == F.col("key")).groupBy("root").agg(F.min("id").alias("component"))
-    linked = roots.join(smallest, "root").select(F.col("node").alias("key"), "component")
-    named = classes.join(linked, "key", "left").select("key", F.coalesce("component", "id").alias("component"))
+    of_component = roots.join(smallest, "root").select(F.col("node").alias("key"), "component")
+    named = classes.join(of_component, "key", "left").select("key", F.coalesce("component", "id").alias("component"))
     out = rows.join(named, "key", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
