@@ -17,7 +17,6 @@ from ..plans.fuse import fused, long_values, row
 from ..plans.ordering import bucket_of, prefix_sums
 
 EPS = 1e-10
-BASE, CURRENT = F.lit("baseline"), F.lit("current")
 
 
 def tagged(baseline: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -474,14 +474,6 @@ def leak_mi_binned(spark, d):
     return r6(leakage.binned_information(read_table(spark, d, "events"), "value", "event_type"))
 
 
-
-
-@query("leak_near_dup_cosine")
-def leak_near_dup_cosine(spark, d):
-    e = read_table(spark, d, "embeddings")
-    return r6(leakage.near_duplicates(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0"), "embedding", "vec_id"))
-
-
 # --- fairness --------------------------------------------------------------------------------------------------------
 
 _LAB = "(SELECT * FROM documents JOIN labels USING (doc_id))"

@@ -1,2 +1,231 @@
-QUERIES = {}
-SQL = {}
+"""Feature-engineering, preprocessing, sampling, gate and set-operation queries."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from ..operators import features, gate, leakage, missing, sampling
+from ..plans.fuse import fused, row
+from ..session import read_table
+from .analysis import LINE, r6, rnd, union
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+@query("feat_datetime_parts", "SELECT o_orderkey, year(o_orderdate)::INT AS o_orderdate_year, month(o_orderdate)::INT AS o_orderdate_month, day(o_orderdate)::INT AS o_orderdate_day, hour(o_orderdate)::INT AS o_orderdate_hour, (isodow(o_orderdate) - 1)::INT AS o_orderdate_dayofweek, quarter(o_orderdate)::INT AS o_orderdate_quarter, weekofyear(o_orderdate)::INT AS o_orderdate_weekofyear, (isodow(o_orderdate) >= 6)::INT AS o_orderdate_is_weekend, (day(o_orderdate) = 1)::INT AS o_orderdate_is_month_start, (last_day(o_orderdate) = o_orderdate::DATE)::INT AS o_orderdate_is_month_end FROM orders")
+def feat_datetime_parts(spark, d):
+    return features.datetime_parts(read_table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate").drop("o_orderdate")
+
+
+@query("feat_cyclical", "SELECT event_id, " + ", ".join(f"round({f}(2 * pi() * {e} / {p}), 6) + 0.0 AS ts_{n}_{f}" for n, e, p in (("month", "month(ts)", 12), ("dow", "(isodow(ts) - 1)", 7), ("hour", "hour(ts)", 24), ("doy", "dayofyear(ts)", 365)) for f in ("sin", "cos")) + " FROM events")
+def feat_cyclical(spark, d):
+    return r6(features.cyclical(read_table(spark, d, "events").select("event_id", "ts"), "ts").drop("ts"))
+
+
+@query("feat_interactions", "SELECT event_id, " + ", ".join(f"round({a}::DOUBLE {o} nullif({b}::DOUBLE, CASE WHEN '{n}' = 'div' THEN 0 END), 10) + 0.0 AS {a}_{n}_{b}" for a, b in (("value", "user_id"),) for n, o in (("x", "*"), ("div", "/"), ("plus", "+"), ("minus", "-"))) + " FROM events")
+def feat_interactions(spark, d):
+    return r6(features.interactions(read_table(spark, d, "events").select("event_id", "value", "user_id"), ["value", "user_id"]).drop("value", "user_id"), 10)
+
+
+@query("feat_poly", 'SELECT event_id, round(power((value - m) / s, 2), 6) AS "value^2", round(power((value - m) / s, 3), 6) + 0.0 AS "value^3" FROM events, (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events)')
+def feat_poly(spark, d):
+    return features.polynomial(read_table(spark, d, "events").select("event_id", "value"), ["value"], 3).select("event_id", F.round("`value^2`", 6).alias("value^2"), (F.round("`value^3`", 6) + 0.0).alias("value^3"))
+
+
+@query("feat_text_stats", "SELECT conv_id, turn, length(text)::INT AS text_length, w AS text_word_count, round(length(text) / (w + 1.0), 6) AS text_avg_word_length FROM (SELECT *, CASE WHEN trim(text) = '' THEN 0 ELSE len(regexp_split_to_array(trim(text), '\\s+')) END::INT AS w FROM conversations)")
+def feat_text_stats(spark, d):
+    return r6(features.text_stats(read_table(spark, d, "conversations").select("conv_id", "turn", "text"), "text").drop("text"))
+
+
+def _scale(name, expr, fit):
+    def run(spark, d):
+        return r6(features.scaled(read_table(spark, d, "events").select("event_id", "value"), ["value"], name).drop("value"))
+
+    QUERIES[f"scale_{name}"] = run
+    SQL[f"scale_{name}"] = f"SELECT event_id, {rnd(expr, f'value_{name}')} FROM events, (SELECT {fit} FROM events)"
+
+
+_scale("zscore", "(value - m) / s", "avg(value) AS m, stddev_pop(value) AS s")
+_scale("minmax", "(value - lo) / (hi - lo)", "min(value) AS lo, max(value) AS hi")
+_scale("robust", "(value - md) / (q3 - q1)", "quantile_cont(value, 0.5) AS md, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3")
+_scale("maxabs", "value / ma", "max(abs(value)) AS ma")
+
+
+@query("rare_category", "SELECT doc_id, CASE WHEN n < 0.05 * (SELECT count(*) FROM documents) THEN 'other' ELSE source END AS source FROM documents JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) USING (source)")
+def rare_category(spark, d):
+    return features.rare_to_other(read_table(spark, d, "documents").select("doc_id", "source"), "source")
+
+
+@query("ordinal_encode", "SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::INT AS o_orderpriority_code FROM orders")
+def ordinal_encode(spark, d):
+    return features.ordinal(read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority").drop("o_orderpriority")
+
+
+@query("onehot_topk", "WITH t AS (SELECT p_brand, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS k FROM part GROUP BY 1) SELECT p_partkey, CASE WHEN k < 10 THEN p_brand ELSE 'infrequent' END AS hot FROM part JOIN t USING (p_brand)")
+def onehot_topk(spark, d):
+    hot = features.one_hot(read_table(spark, d, "part").select("p_partkey", "p_brand"), "p_brand")
+    cols = [c for c in hot.columns if c.startswith("p_brand=")]
+    name = F.array_max(F.array(*(F.when(F.col(f"`{c}`") == 1, c.split("=", 1)[1]) for c in cols)))
+    return hot.select("p_partkey", name.alias("hot"))
+
+
+@query("feat_quantile_uniform")
+def feat_quantile_uniform(spark, d):
+    return r6(features.quantile_uniform(read_table(spark, d, "events").select("event_id", "value"), "value").drop("value"))
+
+
+@query("feat_yeo_johnson")
+def feat_yeo_johnson(spark, d):
+    return r6(features.yeo_johnson(read_table(spark, d, "events").select("event_id", "value"), ["value"]).drop("value"), 4)
+
+
+@query("tfidf")
+def tfidf(spark, d):
+    return r6(features.tfidf(read_table(spark, d, "conversations").selectExpr("concat(conv_id, ':', turn) AS id", "text"), "id", "text"))
+
+
+@query("fq_anova_f", "WITH g AS (SELECT event_type, count(*)::DOUBLE AS n, sum(value) AS s, sum(value * value) AS ss FROM events GROUP BY 1), t AS (SELECT count(*) AS k, sum(n) AS n, sum(s) AS s, sum(ss) AS ss, sum(s * s / n) AS b FROM g) SELECT 'value' AS feature, k AS n_groups, round(((b - s * s / n) / (k - 1)) / ((ss - b) / (n - k)), 5) AS f_stat FROM t")
+def fq_anova_f(spark, d):
+    return r6(features.anova_f(read_table(spark, d, "events"), ["value"], "event_type"), 5)
+
+
+_NETS = "(SELECT *, l_extendedprice * (1 - l_discount) AS net, 1 AS one FROM lineitem)"
+
+
+def _net(spark, d):
+    return read_table(spark, d, "lineitem").selectExpr("*", "l_extendedprice * (1 - l_discount) AS net", "1 AS one")
+
+
+@query("fq_f_regression", union(f"SELECT '{c}' AS feature, count(*) AS n, round(power(corr({c}, net), 2) * (count(*) - 2) / (1 - power(corr({c}, net), 2)), 4) AS f_stat, round(least(power(corr({c}, net), 2) * (count(*) - 2) / (1 - power(corr({c}, net), 2)) / 100, 1.0), 4) AS importance FROM {_NETS}" for c in ("l_discount", "l_tax", "l_quantity")))
+def fq_f_regression(spark, d):
+    return r6(features.f_regression(_net(spark, d), ["l_discount", "l_tax", "l_quantity"], "net"), 4)
+
+
+@query("fs_variance", union(f"SELECT '{c}' AS feature, CASE WHEN stddev_pop({c}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score, stddev_pop({c}) > 0 AS kept FROM {_NETS}" for c in ("l_quantity", "net", "one")))
+def fs_variance(spark, d):
+    return features.variance_filter(_net(spark, d), ["l_quantity", "net", "one"])
+
+
+_FC = ["l_quantity", "l_extendedprice", "net"]
+_PAIR = {(a, b): f"(SELECT abs(corr({a}, {b})) FROM {_NETS})" for a, b in combinations(_FC, 2)}
+
+
+@query("fs_correlation", "WITH p AS (SELECT " + ", ".join(f"{e} AS r{i}" for i, e in enumerate(_PAIR.values())) + ") SELECT 'l_quantity' AS feature, TRUE AS kept, round(1 - (1 + r0 + r1) / 3, 6) AS score FROM p UNION ALL SELECT 'l_extendedprice', r0 < 0.95, round(1 - (1 + r0 + r2) / 3, 6) FROM p UNION ALL SELECT 'net', r1 < 0.95 AND r2 < 0.95, round(1 - (1 + r1 + r2) / 3, 6) FROM p")
+def fs_correlation(spark, d):
+    return r6(features.correlation_filter(_net(spark, d), _FC))
+
+
+@query("exp_target_corr", union(f"SELECT '{c}' AS feature, round(corr({c}, net), 6) + 0.0 AS r FROM {_NETS}" for c in LINE))
+def exp_target_corr(spark, d):
+    return r6(features.target_correlations(_net(spark, d), LINE, "net"))
+
+
+_PRED = "(SELECT o_orderpriority, (o_totalprice > 200000)::INT AS p, (o_orderkey % 3 = 0)::INT AS a, o_totalprice, o_totalprice * 0.9 + 500 AS guess FROM orders)"
+
+
+def _predicted(spark, d):
+    return read_table(spark, d, "orders").selectExpr("o_orderpriority", "cast(o_totalprice > 200000 as int) AS p", "cast(o_orderkey % 3 = 0 as int) AS a", "o_totalprice", "o_totalprice * 0.9 + 500 AS guess")
+
+
+@query("exp_slice_metrics", f"SELECT o_orderpriority AS slice, count(*) AS n, round(avg((a = p)::INT), 6) AS accuracy, round(avg(p), 6) AS predicted_rate, round(avg(a), 6) AS actual_rate FROM {_PRED} GROUP BY 1 HAVING count(*) >= 10 ORDER BY n DESC, slice LIMIT 10")
+def exp_slice_metrics(spark, d):
+    return r6(features.slice_metrics(_predicted(spark, d), "o_orderpriority", "a", "p"))
+
+
+@query("exp_error_metrics", f"SELECT count(e) AS n, round(avg(e * e), 2) AS mse, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(e), 4) AS bias, round(stddev_samp(e), 4) AS error_std, " + ", ".join(f"round(quantile_cont(abs(e), {p / 100}), 4) AS abs_p{p}" for p in (25, 50, 75, 90, 99)) + f" FROM (SELECT guess - o_totalprice AS e FROM {_PRED})")
+def exp_error_metrics(spark, d):
+    return r6(features.error_metrics(_predicted(spark, d), "o_totalprice", "guess"), 4, mse=2)
+
+
+@query("memory_downcast", union(f"SELECT '{c}' AS feature, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, CASE WHEN NOT bool_and({c}::DOUBLE % 1 = 0) THEN 'float' WHEN min({c}) >= -128 AND max({c}) < 128 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) < 32768 THEN 'smallint' WHEN min({c}) >= -2147483648 AND max({c}) < 2147483648 THEN 'int' ELSE 'bigint' END AS narrow_type FROM lineitem" for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_tax")))
+def memory_downcast(spark, d):
+    return features.downcasts(read_table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_quantity", "l_tax"])
+
+
+@query("memory_usage", union(f"SELECT '{c}' AS feature, {e}::BIGINT AS bytes FROM customer" for c, e in (("c_custkey", "count(*) * 8"), ("c_name", "sum(strlen(c_name))"), ("c_nationkey", "count(*) * 4"), ("c_acctbal", "count(*) * 8"), ("c_mktsegment", "sum(strlen(c_mktsegment))"))))
+def memory_usage(spark, d):
+    return features.memory_usage(read_table(spark, d, "customer"))
+
+
+@query("fingerprint", "SELECT c_custkey, md5(concat_ws('|', c_custkey::VARCHAR, c_name, c_nationkey::VARCHAR, c_mktsegment)) AS row_md5 FROM customer")
+def fingerprint(spark, d):
+    cols = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+    return read_table(spark, d, "customer").select("c_custkey", F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in cols))).alias("row_md5"))
+
+
+@query("quality_gate", """WITH m AS (SELECT 'rows' AS metric, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'mean_price', round(avg(o_totalprice), 6) FROM orders), r(metric, operator, threshold, severity) AS (VALUES ('rows', 'gt', 100.0::DOUBLE, 'critical'), ('mean_price', 'lt', 1000.0, 'warning'), ('absent', 'eq', 0.0, 'error'))
+SELECT metric, operator, threshold, severity, value, CASE operator WHEN 'gt' THEN value > threshold WHEN 'lt' THEN value < threshold WHEN 'eq' THEN value = threshold END::INT AS passed, CASE WHEN value IS NULL THEN 'skipped' WHEN CASE operator WHEN 'gt' THEN value > threshold WHEN 'lt' THEN value < threshold WHEN 'eq' THEN value = threshold END THEN 'passed' ELSE 'failed' END AS status FROM r LEFT JOIN m USING (metric)""")
+def quality_gate(spark, d):
+    o = read_table(spark, d, "orders")
+    metrics = fused(o, [row(metric=F.lit("rows"), value=F.count("*").cast("double")), row(metric=F.lit("mean_price"), value=F.round(F.avg("o_totalprice"), 6))])
+    return gate.evaluate(metrics, [gate.Check("rows", "gt", 100, "critical"), gate.Check("mean_price", "lt", 1000, "warning"), gate.Check("absent", "eq", 0)]).withColumn("passed", F.col("passed").cast("int"))
+
+
+@query("sample_random", "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey::VARCHAR || '#42'), o_orderkey LIMIT 100")
+def sample_random(spark, d):
+    return sampling.random_rows(read_table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 100)
+
+
+@query("sample_systematic", "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events) WHERE (i - 3) % 10 = 0")
+def sample_systematic(spark, d):
+    return sampling.systematic(read_table(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 10, 3).select("event_id")
+
+
+@query("sample_stratified_hash", "SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR || '#42'), o_orderkey) AS k, greatest(1, floor(count(*) OVER (PARTITION BY o_orderpriority) * 0.1)) AS take FROM orders) WHERE k <= take")
+def sample_stratified_hash(spark, d):
+    return sampling.stratified(read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["o_orderkey"])
+
+
+@query("sample_cluster", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) ORDER BY md5(o_custkey::VARCHAR || '#42'), o_custkey LIMIT 10)")
+def sample_cluster(spark, d):
+    return sampling.clusters(read_table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
+
+
+@query("sample_weighted", "SELECT o_orderkey FROM orders WHERE o_totalprice > 0 ORDER BY -ln((('0x' || substr(md5(o_orderkey::VARCHAR || '#42'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / o_totalprice, o_orderkey LIMIT 100")
+def sample_weighted(spark, d):
+    return sampling.weighted(read_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], "o_totalprice", 100).select("o_orderkey")
+
+
+@query("set_difference", "SELECT DISTINCT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_difference(spark, d):
+    return read_table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(read_table(spark, d, "orders").select("o_custkey"))
+
+
+@query("set_intersection", "SELECT DISTINCT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+def set_intersection(spark, d):
+    return read_table(spark, d, "customer").select(F.col("c_custkey").alias("k")).intersect(read_table(spark, d, "orders").select("o_custkey"))
+
+
+@query("group_mean_broadcast", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type), 6) AS group_mean FROM events")
+def group_mean_broadcast(spark, d):
+    e = read_table(spark, d, "events")
+    means = e.groupBy("event_type").agg(F.avg("value").alias("group_mean"))
+    return r6(e.join(F.broadcast(means), "event_type").select("event_id", "group_mean"))
+
+
+
+@query("near_dup_cosine", "WITH tr AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 5 <> 0), te AS (SELECT vec_id AS k, embedding FROM embeddings WHERE vec_id % 5 = 0 UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x: x * 2) FROM embeddings WHERE vec_id % 35 = 1), p AS (SELECT k, vec_id, list_cosine_similarity(te.embedding, tr.embedding) AS c FROM te, tr) SELECT k, min(vec_id) AS other, 1.0::DOUBLE AS cosine FROM p WHERE c >= 0.95 GROUP BY k")
+def near_dup_cosine(spark, d):
+    e = read_table(spark, d, "embeddings").select("vec_id", "embedding")
+    doubled = e.where("vec_id % 35 = 1").select((F.col("vec_id") + 1000000).alias("vec_id"), F.transform("embedding", lambda x: (x * 2).cast("float")).alias("embedding"))
+    return r6(leakage.near_duplicates(e.where("vec_id % 5 <> 0"), e.where("vec_id % 5 = 0").unionByName(doubled), "embedding", "vec_id"))
+
+
+@query("missing_mechanism")
+def missing_mechanism(spark, d):
+    df = read_table(spark, d, "lineitem").selectExpr("l_quantity", "l_tax", "l_discount", "CASE WHEN l_quantity > 40 AND l_orderkey % 3 = 0 THEN NULL ELSE l_extendedprice END AS price")
+    got = missing.mechanism(df, "price", ["l_quantity", "l_tax", "l_discount"])
+    return spark.createDataFrame([(got["column"], got["mechanism"], got["independent_share"], got["significant_share"])], "feature string, mechanism string, independent_share double, significant_share double")

@@ -1,2 +1,122 @@
-QUERIES = {}
-SQL = {}
+"""Queries of model-backed operators; SQL can't express them, tests hold them to properties."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import modelling as m
+from ..session import read_table
+from .analysis import r6
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _orders(spark, d):
+    """Orders with a target that depends on the first two features."""
+    o = read_table(spark, d, "orders")
+    return o.selectExpr("o_orderkey", "o_totalprice AS price", "cast(month(o_orderdate) as double) AS month", "cast(o_custkey % 97 as double) AS noise", "cast(o_orderkey % 89 as double) AS noise2", "cast(o_totalprice + 20000 * month(o_orderdate) > 330000 as int) AS y")
+
+
+FEATS = ["price", "month", "noise", "noise2"]
+
+
+@query
+def rf_importance(spark, d):
+    return r6(m.forest_importance(_orders(spark, d), FEATS, "y", 20, 5))
+
+
+@query
+def permutation_importance(spark, d):
+    return r6(m.permutation_importance(_orders(spark, d), FEATS, "y", repeats=2, trees=10))
+
+
+@query
+def fs_lasso(spark, d):
+    return r6(m.sparse_selection(_orders(spark, d), FEATS, "y"))
+
+
+@query
+def fs_elastic_net(spark, d):
+    return r6(m.sparse_selection(_orders(spark, d), FEATS, "y", 0.5))
+
+
+@query
+def fs_rfe(spark, d):
+    return m.recursive_elimination(_orders(spark, d), FEATS, "y", 2, trees=10)
+
+
+@query
+def fs_boruta(spark, d):
+    return m.boruta(_orders(spark, d), FEATS, "y", rounds=3, trees=10)
+
+
+@query
+def fs_mrmr(spark, d):
+    return r6(m.mrmr(_orders(spark, d), FEATS, "y", 3))
+
+
+@query
+def dim_pca(spark, d):
+    return r6(m.pca(read_table(spark, d, "lineitem").selectExpr(*COLS, "l_extendedprice * (1 - l_discount) AS net"), [*COLS, "net"]), 4)
+
+
+@query
+def dim_tsne(spark, d):
+    e = read_table(spark, d, "embeddings").where("embedding is not null")
+    return m.tsne(e.select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8))), "vec_id", [f"e{i}" for i in range(8)], limit=200, steps=100)
+
+
+@query
+def iforest(spark, d):
+    return m.isolation_forest(read_table(spark, d, "events").selectExpr("event_id", "value", "cast(user_id as double) AS user_id"), "event_id", ["value", "user_id"], trees=50)
+
+
+@query
+def lof(spark, d):
+    return m.local_outliers(read_table(spark, d, "events").selectExpr("event_id", "value", "cast(user_id as double) AS user_id"), "event_id", ["value", "user_id"], limit=4000)
+
+
+@query
+def dbscan(spark, d):
+    return m.dbscan(read_table(spark, d, "events").selectExpr("event_id", "value", "cast(user_id as double) AS user_id"), "event_id", ["value", "user_id"])
+
+
+@query
+def knn_impute(spark, d):
+    df = read_table(spark, d, "events").selectExpr("event_id", "CASE WHEN event_id % 20 = 0 THEN NULL ELSE value END AS value", "cast(user_id as double) AS user_id")
+    return r6(m.knn_impute(df, "event_id", ["value", "user_id"], limit=4000))
+
+
+@query
+def iterative_impute(spark, d):
+    df = read_table(spark, d, "lineitem").selectExpr("l_quantity", "CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_extendedprice END AS price", "l_extendedprice * (1 - l_discount) AS net")
+    return m.iterative_impute(df, ["l_quantity", "price", "net"], 1)
+
+
+@query
+def quickml_compare(spark, d):
+    return m.compare_models(_orders(spark, d), FEATS, "y", 2)
+
+
+@query
+def exp_influential(spark, d):
+    return r6(m.influential(_orders(spark, d), "o_orderkey", FEATS, "y"))
+
+
+@query
+def shap_summary(spark, d):
+    return r6(m.shap_summary(m.shap_values(_orders(spark, d), "o_orderkey", FEATS, "y", permutations=2, background=5, trees=5)))
+
+
+@query
+def prep_pipeline(spark, d):
+    o = read_table(spark, d, "orders")
+    model = m.prepare(o, ["o_totalprice"], ["o_orderpriority", "o_orderstatus"])
+    return model.transform(o).select("o_orderkey", F.size(m.vector_to_array("features")).alias("n_features"))
