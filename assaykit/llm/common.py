@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,15 @@ def broadcast_if_small(df: DataFrame, limit: int = 500_000) -> DataFrame:
     """The rows, written once and counted: marked for broadcast up to limit rows, left to a shuffle beyond."""
     held = cut(df)
     return F.broadcast(held) if held.count() <= limit else held
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 3_000) -> Iterator[None]:
+    """Arrow batches of fewer rows for the jobs that run inside; texts make large batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows)) if int(before) > 0 else str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

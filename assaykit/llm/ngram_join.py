@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, table
+from .common import broadcast_if_small, cut, small_batches, table
 from .components import linked
 from .textnp import set_key, shingles, slices, word_hashes
 
@@ -74,7 +74,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 for at, s in enumerate(sets, first):
                     keys[at], sizes[at] = key, _ = set_key(s), len(s)
                     if len(s) and key not in kept:
-                        kept[key] = s[: len(s) * COUNTED_PCT // 100 + 1]
+                        kept[key] = s[: len(s) * COUNTED_PCT // 100 + 1].copy()
                         held += len(kept[key])
                 if held >= BUFFER:
                     yield frequent()
@@ -377,19 +377,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an id are documents of one id; component_id is the smallest id of the component. An empty table gives an empty
     result. Only the two named columns are read.
     """
-    found = cut(profile(docs, id_col, text_col, k))
-    rows = found.where(F.col("n") >= 0)
-    hint = order_hint(found.where(F.col("n") < 0).select("key", (-F.col("n")).alias("n")))
-    classes = cut(rows.where(F.col("n") > 0).groupBy("key").agg(F.min("id").alias("id")))
-    lists = cut(shared(prefixes(docs, text_col, k, num, den, hint), num, den))
-
-    def fits(a: str, b: str):
-        return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
-
-    roots = linked(
-        lists, fits, lambda n, m: least_common(F.least(n, m)), lambda pairs: verify(pairs, classes, docs, id_col, text_col, k, num, den),
-        lambda members: verify_families(members, classes, docs, id_col, text_col, k, num, den),
-    )
+    with small_batches(docs.sparkSession):
+        found = cut(profile(docs, id_col, text_col, k))
+        rows = found.where(F.col("n") >= 0)
+        hint = order_hint(found.where(F.col("n") < 0).select("key", (-F.col("n")).alias("n")))
+        classes = cut(rows.where(F.col("n") > 0).groupBy("key").agg(F.min("id").alias("id")))
+        lists = cut(shared(prefixes(docs, text_col, k, num, den, hint), num, den))
+
+        def fits(a: str, b: str):
+            return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
+
+        roots = linked(
+            lists, fits, lambda n, m: least_common(F.least(n, m)), lambda pairs: verify(pairs, classes, docs, id_col, text_col, k, num, den),
+            lambda members: verify_families(members, classes, docs, id_col, text_col, k, num, den),
+        )
     smallest = roots.join(classes, F.col("node") == F.col("key")).groupBy("root").agg(F.min("id").alias("component"))
     of_component = roots.join(smallest, "root").select(F.col("node").alias("key"), "component")
     named = classes.join(of_component, "key", "left").select("key", F.coalesce("component", "id").alias("component"))
