@@ -18,7 +18,7 @@ Frequencies only shape the order, which changes no result; they are counted over
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +136,7 @@ def prefixes(docs: DataFrame, text_col: str, k: int, num: int, den: int, hint: t
     return docs.select(F.col(text_col).alias("t")).mapInArrow(run, "gram long, key long, n int")
 
 
-def shared(rows: DataFrame, num: int, den: int) -> DataFrame:
+def shared(rows: DataFrame) -> DataFrame:
     """The rows of n-grams that several classes have, each with the first class of its list: gram, key, n, head, head_n.
 
     Lists stream by in order, so a list of any length takes constant memory.
@@ -274,9 +274,9 @@ def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     return texts.mapInArrow(read, "key long, grams binary")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes that are links. classes: key, id of one of its documents."""
-    sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), classes, docs, id_col, text_col, k)
+def verify(pairs: DataFrame, read: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of keys that are links; read(keys) gives the sets (key, grams) of keys."""
+    sets = read(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / float(BLOCK)).cast("int").alias("blocks"))
     probes = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(-1).cast("long").alias("b"), F.col("a").alias("key"))
     met = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b", F.col("b").alias("key"))
@@ -310,8 +310,8 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, t
     return rows.repartition("a", "block").sortWithinPartitions("a", "block", "b").mapInArrow(check, "a long, b long")
 
 
-def verify_families(members: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that join what is similar within each family; members: key, family.
+def verify_families(members: DataFrame, read: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """Links (a, b) that join what is similar within each family; members: key, family; read as in :func:`verify`.
 
     The members of a family are dealt to blocks, and every two blocks (or a block and itself) meet in one task, one
     block as a trie, the other as probes: no pair of members is a row. Of a task's links those that join two of its
@@ -321,7 +321,7 @@ def verify_families(members: DataFrame, classes: DataFrame, docs: DataFrame, id_
     dealt = members.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     tiles = dealt.select("key", "family", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     roles = tiles.select("key", "family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("block"))
-    rows = sets_of(members.select("key"), classes, docs, id_col, text_col, k).join(broadcast_if_small(roles), "key")
+    rows = read(members.select("key")).join(broadcast_if_small(roles), "key")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, sides, found = None, ({}, {}), []
@@ -382,15 +382,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         rows = found.where(F.col("n") >= 0)
         hint = order_hint(found.where(F.col("n") < 0).select("key", (-F.col("n")).alias("n")))
         classes = cut(rows.where(F.col("n") > 0).groupBy("key").agg(F.min("id").alias("id")))
-        lists = cut(shared(prefixes(docs, text_col, k, num, den, hint), num, den))
+        lists = cut(shared(prefixes(docs, text_col, k, num, den, hint)))
 
         def fits(a: str, b: str):
             return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
 
-        roots = linked(
-            lists, fits, lambda n, m: least_common(F.least(n, m)), lambda pairs: verify(pairs, classes, docs, id_col, text_col, k, num, den),
-            lambda members: verify_families(members, classes, docs, id_col, text_col, k, num, den),
-        )
+        def read(keys: DataFrame) -> DataFrame:
+            return sets_of(keys, classes, docs, id_col, text_col, k)
+
+        roots = linked(lists, fits, lambda n, m: least_common(F.least(n, m)), lambda pairs: verify(pairs, read, num, den), lambda members: verify_families(members, read, num, den))
     smallest = roots.join(classes, F.col("node") == F.col("key")).groupBy("root").agg(F.min("id").alias("component"))
     of_component = roots.join(smallest, "root").select(F.col("node").alias("key"), "component")
     named = classes.join(of_component, "key", "left").select("key", F.coalesce("component", "id").alias("component"))
