@@ -531,7 +531,7 @@ def _events(spark, d):
     return read_table(spark, d, "events").select("event_id", "ts", "value", "user_id")
 
 
-@query("ts_coverage", "WITH t AS (SELECT ts, hour(ts) AS h, isodow(ts) - 1 AS w FROM events) SELECT count(*) AS n, epoch(min(ts))::BIGINT AS first_s, epoch(max(ts))::BIGINT AS last_s, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000)::BIGINT AS span_days, count(DISTINCT ts::DATE) AS unique_dates, round(count(*) / floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000), 6) AS per_day, (SELECT h::INT FROM t GROUP BY h ORDER BY count(*) DESC, h LIMIT 1) AS modal_hour, (SELECT w::INT FROM t GROUP BY w ORDER BY count(*) DESC, w LIMIT 1) AS modal_weekday FROM t")
+@query("ts_coverage", "WITH t AS (SELECT ts, hour(ts) AS h, isodow(ts) - 1 AS w FROM events) SELECT count(*) AS n, floor(epoch(min(ts)))::BIGINT AS first_s, floor(epoch(max(ts)))::BIGINT AS last_s, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000)::BIGINT AS span_days, count(DISTINCT ts::DATE) AS unique_dates, round(count(*) / floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000), 6) AS per_day, (SELECT h::INT FROM t GROUP BY h ORDER BY count(*) DESC, h LIMIT 1) AS modal_hour, (SELECT w::INT FROM t GROUP BY w ORDER BY count(*) DESC, w LIMIT 1) AS modal_weekday FROM t")
 def ts_coverage(spark, d):
     return r6(timeseries.coverage(_events(spark, d), "ts"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import features, gate, leakage, missing, sampling
 from ..plans.fuse import fused, row
 from ..session import read_table
+from ..streaming import monitor
 from .analysis import LINE, r6, rnd, union
 
 QUERIES: dict = {}
@@ -229,3 +230,13 @@ def missing_mechanism(spark, d):
     df = read_table(spark, d, "lineitem").selectExpr("l_quantity", "l_tax", "l_discount", "CASE WHEN l_quantity > 40 AND l_orderkey % 3 = 0 THEN NULL ELSE l_extendedprice END AS price")
     got = missing.mechanism(df, "price", ["l_quantity", "l_tax", "l_discount"])
     return spark.createDataFrame([(got["column"], got["mechanism"], got["independent_share"], got["significant_share"])], "feature string, mechanism string, independent_share double, significant_share double")
+
+
+@query("stream_profile", "SELECT epoch(date_trunc('day', ts))::BIGINT AS window_start, count(*) AS n_rows, count(value) AS value_n, count(*) - count(value) AS value_missing, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std, round(min(value), 6) AS value_min, round(max(value), 6) AS value_max FROM events GROUP BY 1")
+def stream_profile(spark, d):
+    return r6(monitor.profile(read_table(spark, d, "events"), "ts", ["value"], "1 day"))
+
+
+@query("session_counts", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS session_start, floor(epoch(max(ts) + INTERVAL 30 MINUTE))::BIGINT AS session_end, count(*) AS n FROM n GROUP BY user_id, s")
+def session_counts(spark, d):
+    return monitor.sessions(read_table(spark, d, "events"), "ts", "user_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import modelling as m
+from ..operators import normality, scoring
 from ..session import read_table
 from .analysis import r6
 
@@ -120,3 +121,31 @@ def prep_pipeline(spark, d):
     o = read_table(spark, d, "orders")
     model = m.prepare(o, ["o_totalprice"], ["o_orderpriority", "o_orderstatus"])
     return model.transform(o).select("o_orderkey", F.size(m.vector_to_array("features")).alias("n_features"))
+
+
+@query
+def normality_k2(spark, d):
+    return r6(normality.dagostino(read_table(spark, d, "events"), ["value"]), 4)
+
+
+@query
+def normality_anderson(spark, d):
+    return r6(normality.anderson_darling(read_table(spark, d, "events"), "value"), 4)
+
+
+@query
+def normality_shapiro(spark, d):
+    r = normality.shapiro(read_table(spark, d, "events"), "value", "event_id")
+    return spark.createDataFrame([(r["feature"], r["n"], r["w"], r["p_value"])], "feature string, n long, w double, p_value double")
+
+
+@query
+def leak_mi_neighbours(spark, d):
+    return r6(normality.neighbour_information(_orders(spark, d), ["month", "noise"], "price", "o_orderkey"))
+
+
+@query
+def missing_predictability(spark, d):
+    df = read_table(spark, d, "lineitem").selectExpr("l_quantity", "l_tax", "CASE WHEN l_quantity > 40 AND l_orderkey % 3 = 0 THEN NULL ELSE l_extendedprice END AS price")
+    got = scoring.gap_predictability(df, "price", ["l_quantity", "l_tax"])
+    return spark.createDataFrame([("price", float(got["accuracy"]), float(got["balanced_accuracy"]))], "feature string, accuracy double, balanced_accuracy double")
