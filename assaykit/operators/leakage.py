@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,18 +115,20 @@ def near_duplicates(train: DataFrame, test: DataFrame, vec: str, key: str, thres
     """Test vectors with a training vector of cosine similarity of threshold or more: key, other, cosine, the best (ties: least other).
 
     Candidates agree in one of several random-hyperplane signatures, so no cross join is formed; equal training vectors
-    go as one. Signs are taken of sums over the entries with hashed plane entries, so no model is fitted.
+    go as one. Vectors of different lengths never match.
     """
     def unit_norm(v: Column) -> Column:
         length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
         return F.transform(v, lambda x: F.try_divide(x, length))
 
-    def bands(v: Column) -> Column:
-        def sign(plane: int) -> Column:
-            weighed = F.transform(v, lambda x, i: x * (F.pmod(F.xxhash64(F.lit(plane), i), F.lit(2001)) - 1000).cast("double"))
-            return (F.aggregate(weighed, F.lit(0.0), lambda s, x: s + x) > 0).cast("int")
+    size = train.where(q(vec).isNotNull()).select(F.size(q(vec)).alias("d")).first()
+    planes = np.random.default_rng(97).normal(size=(tables * bits, size["d"] if size else 1)).round(6).tolist()
 
-        return F.array(*(F.xxhash64(F.lit(t), *(sign(t * bits + b) for b in range(bits))) for t in range(tables)))
+    def bands(v: Column) -> Column:
+        dot = lambda p: F.aggregate(F.zip_with(v, p, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        table = F.expr("array(" + ",".join("array(" + ",".join(f"{x!r}D" for x in p) + ")" for p in planes) + ")")
+        signs = F.transform(table, lambda p: (dot(p) > 0).cast("int"))
+        return F.element_at(F.transform(F.array(signs), lambda s: F.array(*(F.xxhash64(F.lit(t), F.slice(s, t * bits + 1, bits)) for t in range(tables)))), 1)
 
     def side(df: DataFrame) -> DataFrame:
         v = df.where(q(vec).isNotNull()).select(q(key).alias("k"), unit_norm(F.transform(q(vec), lambda x: x.cast("double"))).alias("v"))
