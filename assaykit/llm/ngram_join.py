@@ -310,14 +310,14 @@ def verify(pairs: DataFrame, read: Callable[[DataFrame], DataFrame], num: int, d
     return rows.repartition("a", "block").sortWithinPartitions("a", "block", "b").mapInArrow(check, "a long, b long")
 
 
-def verify_families(members: DataFrame, read: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+def verify_families(members: DataFrame, read: Callable[[DataFrame], DataFrame], num: int, den: int, block_sets: int = BLOCK) -> DataFrame:
     """Links (a, b) that join what is similar within each family; members: key, family; read as in :func:`verify`.
 
     The members of a family are dealt to blocks, and every two blocks (or a block and itself) meet in one task, one
     block as a trie, the other as probes: no pair of members is a row. Of a task's links those that join two of its
     parts are handed on, so there are fewer than members.
     """
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / float(BLOCK)).cast("int").alias("blocks"))
+    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / float(block_sets)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     tiles = dealt.select("key", "family", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     roles = tiles.select("key", "family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("block"))
