@@ -1,11 +1,9 @@
 """Fuzzy line dedup by MinHash.
 
-Lines that are equal fall into one class. The signature of a line is the MinHash of its character shingles that begin
-a word of four letters or more: whether a shingle counts is a matter of its own characters, so this is a fixed sample
-of the shingles of all lines, and one without common words, which would make strangers collide. Bands of the
-signature give candidates; those whose sketches differ too much are dropped, the others are verified by the exact
-Jaccard similarity of all their character shingles, and verified links are united. One line of each component stays:
-the first by document and place.
+Lines that are equal fall into one class. The signature of a line is the MinHash of all its character shingles, whatever
+its script and spaces. Bands of the signature give candidates; those whose sketches differ too much are dropped, the
+others are verified by the exact Jaccard similarity of all their character shingles, and verified links are united. One
+line of each component stays: the first by document and place.
 
 Signatures and verification run on numpy arrays in Arrow batches: as array expressions they took three and a half times
 the CPU time allowed (figures in the README).
@@ -33,18 +31,16 @@ BANDS, ROWS = 8, 3
 #: Minima in the sketch of a line, four bits each in one long, and how many must be equal for a pair to be verified: one
 #: of similarity 0.8 fails with a probability of 0.002.
 SKETCH, LEAST_ALIKE = 16, 8
-#: Lines of up to the second number of characters have a signature of all shingles, from the first on of sampled ones.
+#: Lines of up to the second number of characters have one kind of bands, from the first on another.
 SHORT = (80, 125)
 #: Lines of one block of a dense group; their sets are small.
 BLOCK = 1024
-#: Letters of a word that a sampled shingle begins.
-WORD_LETTERS = 4
 
 MASKS = np.array([int.from_bytes(hashlib.sha256(f"line {i}".encode()).digest()[:8], "big") for i in range(BANDS * ROWS)], np.uint64)
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines laid end to end: hash of the shingle at each place, its line, whether it is sampled, characters of each line.
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines laid end to end: hash of the shingle at each place, its line, characters of each line.
 
     A line shorter than a shingle is one shingle; empty lines have none.
     """
@@ -67,24 +63,16 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     begins = np.zeros(len(points), bool)
     begins[cuts[:-1][lengths > 0]] = True
     keep = (left >= SHINGLE) | begins & (left < SHINGLE)
-    space = points == 0x20
-    word = begins.copy()
-    word[1:] |= space[:-1]
-    for j in range(WORD_LETTERS):
-        inside = np.zeros(len(points), bool)
-        inside[: max(0, len(points) - j)] = ~space[j:]
-        word &= inside & (left > j)
-    return mixed(h)[keep], line[keep], word[keep], lengths
+    return mixed(h)[keep], line[keep], lengths
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, grams of its bands, sketch) of each signature: long lines take the sampled shingles (all, if none is
-    sampled), short ones all, and lines of a length between have both."""
-    hashes, line, sampled, lengths = shingle_hashes(data, offsets)
+    """(line, grams of its bands, sketch) of each signature, of all shingles of the line; lines of a length between the
+    bounds have both kinds."""
+    hashes, line, lengths = shingle_hashes(data, offsets)
     n = lengths[line]
-    some = np.bincount(line[sampled], minlength=len(lengths)) > 0
     out = []
-    for tag, take in ((0, (n >= SHORT[0]) & (sampled | ~some[line])), (1, n <= SHORT[1])):
+    for tag, take in ((0, n >= SHORT[0]), (1, n <= SHORT[1])):
         h, of = hashes[take], line[take]
         if not len(h):
             continue
@@ -128,7 +116,7 @@ def sets_of(keys: DataFrame, lines: DataFrame) -> DataFrame:
         for batch in batches:
             name = batch.column(0).to_numpy()
             for first, offsets, data in slices(batch.column(1)):
-                hashes, line, _, lengths = shingle_hashes(data, offsets)
+                hashes, line, lengths = shingle_hashes(data, offsets)
                 ends = np.searchsorted(line, np.arange(len(lengths) + 1))
                 sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(name[first : first + len(sets)]), pa.array(sets, pa.binary())], names=["key", "grams"])
