@@ -1,134 +1,127 @@
 """Fuzzy line dedup by MinHash.
 
-Lines that are equal fall into one class. The signature of a line is the MinHash of all its character shingles, whatever
-its script and spaces. Bands of the signature give candidates; those whose sketches differ too much are dropped, the
-others are verified by the exact Jaccard similarity of all their character shingles, and verified links are united. One
-line of each component stays: the first by document and place.
-
-Signatures and verification run on numpy arrays in Arrow batches: as array expressions they took three and a half times
-the CPU time allowed (figures in the README).
+Lines that are equal fall into one class. The signature of a class is the MinHash of the 9-byte windows of its line:
+a window of 9 bytes lies within 9 characters, so lines of equal character shingles have equal windows, whatever their
+length, script and spaces. Bands of the signature give candidates, which are verified by the exact Jaccard similarity of
+their sets of character shingles; verified links are united, and one line of each component stays: the first by document
+and place.
+
+Everything is expressions. A line is cut into pieces of PIECE windows by an explode, and each piece is a row of plain
+columns that stay in generated code; minima over a class are partial aggregates. Members of a band's list meet its first
+member only, so a large group of copies costs one pair a member. Lists that still hold several components are taken
+further: short ones by pairs across components, long ones by further bands within the list, so that no list is ever
+paired as a whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, small_batches, table
-from .components import linked
-from .ngram_join import shared, verify, verify_families
-from .textnp import mixed, powers, slices
+from .common import broadcast_if_small, cut, table
+from .components import components
 
 #: Characters of a shingle, and the similarity of a link.
 SHINGLE, NUM, DEN = 9, 80, 100
-#: Bands and rows: a pair of similarity 0.8 meets with a probability of 0.997.
-BANDS, ROWS = 8, 3
-#: Minima in the sketch of a line, four bits each in one long, and how many must be equal for a pair to be verified: one
-#: of similarity 0.8 fails with a probability of 0.002.
-SKETCH, LEAST_ALIKE = 16, 8
-#: Lines of up to the second number of characters have one kind of bands, from the first on another.
-SHORT = (80, 125)
-#: Lines of one block of a dense group; their sets are small.
-BLOCK = 1024
+#: Windows hashed in one row; more of them make code that the JVM does not compile.
+PIECE = 8
+#: Minima of a signature. Band i takes the minima i, i + 1 and i + 4 (mod MINIMA), so two bands share one at most: a pair
+#: of similarity 0.8 meets in a band with a probability of 0.993, one of 0.9 with 0.9998.
+MINIMA, STEPS = 12, (0, 1, 4)
+#: Lists of more members are split by further bands, so often at most; then they are paired too.
+LONG, LEVELS = 32, 4
+
+MASKS = [int.from_bytes(hashlib.sha256(f"line {i}".encode()).digest()[:8], "big", signed=True) for i in range(MINIMA)]
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """key and the minima m0, m1, ... of each class of lines (key, line)."""
+    windows = F.greatest(F.octet_length("b") - (SHINGLE - 1), F.lit(1))
+    whole = lines.select("key", F.col("line").cast("binary").alias("b")).select("key", "b", windows.alias("n"))
+    pieces = whole.select("key", "b", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / PIECE).cast("int"))).alias("c"))
+    # a last piece repeats its last window, which changes no minimum
+    places = [F.least(F.col("c") * PIECE + (j + 1), F.col("n")) for j in range(PIECE)]
+    hashed = pieces.select("key", *(F.xxhash64(F.substr("b", at, F.lit(SHINGLE))).alias(f"h{j}") for j, at in enumerate(places)))
+    least = hashed.select("key", *(F.shiftright(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(PIECE))), 32).cast("int").alias(f"m{i}") for i, m in enumerate(MASKS)))
+    return least.groupBy("key").agg(*(F.min(f"m{i}").alias(f"m{i}") for i in range(MINIMA)))
+
+
+def _bands(*within: str) -> Column:
+    """The grams of all bands, each with the number of its band, of the list named by the columns within."""
+    return F.explode(F.array(*(F.xxhash64(*within, F.lit(i), *(F.col(f"m{(i + s) % MINIMA}") for s in STEPS)) for i in range(MINIMA)))).alias("gram")
+
+
+def _lists(members: DataFrame) -> DataFrame:
+    """Members (gram, key) of lists of several, each with the list's first member and its length: gram, key, head, c."""
+    heads = members.groupBy("gram").agg(F.min("key").alias("head"), F.count("*").alias("c")).where(F.col("c") > 1)
+    return cut(members.join(broadcast_if_small(heads), "gram"))
+
+
+def _shingles(line: Column) -> Column:
+    """Hashes of the character shingles of a line; a shorter line is one shingle. UTF-32 lets every place be read at once."""
+    points = F.encode(line, "UTF-32")
+    last = F.greatest(F.char_length(line) - SHINGLE, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(points, i * 4 + 1, F.lit(4 * SHINGLE))))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The pairs (a, b) of keys whose lines have a similarity of num/den or more; texts: key, line."""
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
+    # exploded, so that the sets are made once
+    sets = both.select("a", "b", F.explode(F.array(F.struct(_shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y")))).alias("s"))
+    return sets.where(F.size(F.array_intersect("s.x", "s.y")) * den >= F.size(F.array_union("s.x", "s.y")) * num).select("a", "b")
+
 
-MASKS = np.array([int.from_bytes(hashlib.sha256(f"line {i}".encode()).digest()[:8], "big") for i in range(BANDS * ROWS)], np.uint64)
+def _across(opened: DataFrame) -> DataFrame:
+    """Pairs of different components within lists, but for those of two members of a list's largest component."""
+    major = opened.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
+    marked = opened.join(major, "gram").withColumn("minor", F.col("comp") != F.col("major"))
+    minor = marked.where("minor").select("gram", F.col("key").alias("k2"), F.col("comp").alias("comp2"))
+    # of two minor members the smaller key is taken on the left, so a pair comes once a list
+    met = marked.join(minor, "gram").where((F.col("comp") != F.col("comp2")) & (~F.col("minor") | (F.col("key") < F.col("k2"))))
+    return met.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b"))
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines laid end to end: hash of the shingle at each place, its line, characters of each line.
+def linked_lines(named: DataFrame, num: int = NUM, den: int = DEN, long: int = LONG, levels: int = LEVELS) -> DataFrame:
+    """Components of the classes of lines (key, line): node, root; classes without a link are absent.
 
-    A line shorter than a shingle is one shingle; empty lines have none.
+    A level links the members of each list to its first member. Of lists that hold several components then, those of
+    up to long members are paired across components; longer ones go to the next level, where bands within the list split
+    them; at the last level they are paired as well, so lists that no band splits lose nothing.
     """
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    cuts = lead[offsets]
-    lengths = np.diff(cuts)
-    line = np.repeat(np.arange(len(lengths)), lengths)
-    left = np.repeat(cuts[1:], lengths) - np.arange(len(points))
-    value = points.astype(np.uint64) + np.uint64(1)
-    h = value.copy()
-    full = max(0, len(points) - SHINGLE + 1)
-    part = np.empty(full, np.uint64)
-    for j, r in enumerate(powers(SHINGLE)[1:], 1):
-        np.multiply(value[j : j + full], r, out=part)
-        h[:full] += part
-    for at in np.flatnonzero((lengths > 0) & (lengths < SHINGLE)):  # a short line is hashed by itself
-        own = value[cuts[at] : cuts[at + 1]]
-        h[cuts[at]] = np.add.reduce(own * powers(len(own)))
-    begins = np.zeros(len(points), bool)
-    begins[cuts[:-1][lengths > 0]] = True
-    keep = (left >= SHINGLE) | begins & (left < SHINGLE)
-    return mixed(h)[keep], line[keep], lengths
-
-
-def signatures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, grams of its bands, sketch) of each signature, of all shingles of the line; lines of a length between the
-    bounds have both kinds."""
-    hashes, line, lengths = shingle_hashes(data, offsets)
-    n = lengths[line]
-    out = []
-    for tag, take in ((0, n >= SHORT[0]), (1, n <= SHORT[1])):
-        h, of = hashes[take], line[take]
-        if not len(h):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        least = np.stack([np.minimum.reduceat(h ^ m, starts) for m in MASKS])
-        grams = []
-        for b in range(BANDS):
-            g = np.full(len(starts), tag * BANDS + b, np.uint64)
-            for r in range(ROWS):
-                g = mixed(g * np.uint64(0x9E3779B97F4A7C15) + least[b * ROWS + r])
-            grams.append(g)
-        sketch = np.zeros(len(starts), np.uint64)
-        for i in range(SKETCH):
-            sketch |= (mixed(least[i]) >> np.uint64(60)) << np.uint64(4 * i)
-        out.append((of[starts], np.stack(grams, 1), sketch))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def banded(lines: DataFrame) -> DataFrame:
-    """gram, key, n (the sketch) of lines (key, line); a line that repeats within a batch goes once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, once = np.unique(batch.column(0).to_numpy(), return_index=True)
-            part = batch.take(pa.array(np.sort(once)))
-            keys = part.column(0).to_numpy()
-            for first, offsets, data in slices(part.column(1)):
-                line, grams, sketch = signatures(data, offsets)
-                key = np.repeat(keys[first + line], BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.ravel().view(np.int64)), pa.array(key), pa.array(np.repeat(sketch, BANDS).view(np.int64))], names=["gram", "key", "n"])
-
-    return lines.mapInArrow(run, "gram long, key long, n long")
-
-
-def sets_of(keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """The shingle sets (key, grams) of lines."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name = batch.column(0).to_numpy()
-            for first, offsets, data in slices(batch.column(1)):
-                hashes, line, lengths = shingle_hashes(data, offsets)
-                ends = np.searchsorted(line, np.arange(len(lengths) + 1))
-                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(name[first : first + len(sets)]), pa.array(sets, pa.binary())], names=["key", "grams"])
-
-    found = lines.join(broadcast_if_small(keys), "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
-    return found.mapInArrow(run, "key long, grams binary")
-
-
-def _alike(a: Column, b: Column) -> Column:
-    """Whether enough of the sketches' entries are equal."""
-    differs = a.bitwiseXOR(b)
-    return sum((F.shiftrightunsigned(differs, 4 * i).bitwiseAND(F.lit(15)) == 0).cast("int") for i in range(SKETCH)) >= LEAST_ALIKE
+    signed = cut(signatures(named))
+    lists = _lists(signed.select("key", _bands()))
+    held = named.join(broadcast_if_small(lists.select("key").distinct()), "key", "left_semi")
+    texts = cut(held.groupBy("key").agg(F.any_value("line").alias("line")))
+    roots = None
+    for level in range(levels):
+        stars = lists.where(F.col("key") != F.col("head")).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
+        if roots is not None:
+            stars = _apart(stars, roots)
+        edges = cut(verify(stars, texts, num, den))
+        roots = components(edges if roots is None else edges.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        placed = lists.where(F.col("c") > 2).join(broadcast_if_small(roots), F.col("key") == F.col("node"), "left").select("gram", "key", "head", "c", F.coalesce("root", "key").alias("comp"))
+        several = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("gram")
+        opened = cut(placed.join(broadcast_if_small(several), "gram", "left_semi"))
+        paired = opened if level == levels - 1 else opened.where(F.col("c") <= long)
+        tried = lists.where(F.col("key") != F.col("head")).select(F.col("head").alias("a"), F.col("key").alias("b"))
+        more = cut(_across(paired).distinct().join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            roots = components(verify(more, texts, num, den).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        crowd = opened.where(F.col("c") > long)
+        if level == levels - 1 or crowd.isEmpty():
+            return roots
+        lists = _lists(signed.join(crowd.select("key", F.col("gram").alias("in")), "key").select("key", _bands("in")))
+    return roots
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component yet."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return known.where(~F.coalesce(F.col("root_a"), F.col("a")).eqNullSafe(F.coalesce(F.col("root_b"), F.col("b")))).select("a", "b")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -141,26 +134,18 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns one row a line: doc_id, line_no (from 0), line_key, component, keep. Blank lines are all kept and have no
     component (null); a null text is one blank line. The line that stays is the first of its component by doc_id (null
-    first), then line_no; of rows that repeat an id, lines at one place share their fate. An empty table gives an empty
-    result.
+    first), then line_no; of rows that repeat an id, lines at one place share their fate. Lines of equal shingle sets
+    (repeated tokens, rules of different length) have similarity 1. An empty table gives an empty result.
     """
     lines = _lines(docs, id_col, text_col)
     some = F.col("line") != ""
     base = lines.select("doc", "at", F.when(some, F.xxhash64("line")).alias("key"))
-    named = lines.where(some).select(F.xxhash64("line").alias("key"), "line")
-    with small_batches(docs.sparkSession):
-        lists = cut(shared(banded(named)))
-
-        def read(keys: DataFrame) -> DataFrame:
-            return sets_of(keys, named)
-
-        roots = linked(
-            lists, lambda a, b: _alike(F.col(a), F.col(b)), lambda n, m: F.lit(1), lambda pairs: verify(pairs, read, NUM, DEN), lambda members: verify_families(members, read, NUM, DEN, BLOCK)
-        )
-    comp = base.join(roots, F.col("key") == F.col("node"), "left").select("doc", "at", "key", F.coalesce("root", "key").alias("component"))
-    kept = comp.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc", "at")).alias("first"))
-    out = comp.join(kept, "component", "left")
-    stays = F.col("component").isNull() | (F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("at") == F.col("first.at")))
+    roots = linked_lines(lines.where(some).select(F.xxhash64("line").alias("key"), "line"))
+    comp = base.join(broadcast_if_small(roots), F.col("key") == F.col("node"), "left").select("doc", "at", "key", F.coalesce("root", "key").alias("component"))
+    # only components of several lines need their first one looked up
+    shared = comp.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("c")).where(F.col("c") > 1)
+    out = comp.join(broadcast_if_small(shared.select("component", "first")), "component", "left")
+    stays = F.col("first").isNull() | (F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("at") == F.col("first.at")))
     return out.select(F.col("doc").alias("doc_id"), F.col("at").alias("line_no"), F.col("key").alias("line_key"), "component", stays.alias("keep"))
 
 

@@ -14,6 +14,11 @@ def shingle_set(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
+def char_shingles(line, k):
+    """Character shingles of a line; a shorter one is one shingle."""
+    return {line[i : i + k] for i in range(len(line) - k + 1)} or {line}
+
+
 def jaccard_components(sets, num, den):
     """Smallest id reachable; sets: id -> set; an empty set links to nothing."""
     where = defaultdict(list)

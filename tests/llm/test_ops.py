@@ -1,10 +1,11 @@
 """Corpus operators against plain versions, on edge cases and on held-out labels."""
 
 import hashlib
+import random
 import re
 import sys
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -262,13 +263,55 @@ def test_shard_edges(edge, empty, docs):
 
 
 def test_line_components_match_a_plain_version(spark, docs, texts):
-    lines = sorted({x for t in texts.values() for x in (y.strip(" ") for y in t.split("\n")) if x})
-    sets = {i: {x[j : j + 9] for j in range(max(1, len(x) - 8))} for i, x in enumerate(lines)}
-    want = brute.jaccard_components(sets, 80, 100)
-    got = linededup.line_components(docs).where("line_key is not null")
-    r = got.agg(F.countDistinct("line_key"), F.countDistinct("component"), F.count_if("keep")).first()
-    assert r[0] == len(lines) and r[1] == r[2]
-    assert abs(r[1] - len(set(want.values()))) <= 0.02 * len(lines)
+    places = {(i, n): x.strip(" ") for i, t in texts.items() for n, x in enumerate(t.split("\n")) if x.strip(" ")}
+    first = {}
+    for at in sorted(places):
+        first.setdefault(places[at], at)
+    want = brute.jaccard_components({at: brute.char_shingles(x, 9) for x, at in first.items()}, 80, 100)
+    got = linededup.line_components(docs).where("line_key is not null").collect()
+    members = defaultdict(list)
+    for r in got:
+        members[r["component"]].append((r["doc_id"], r["line_no"]))
+    mine = {at: min(m) for m in members.values() for at in m}
+    assert mine == {at: want[first[x]] for at, x in places.items()}  # membership, line by line
+    assert {(r["doc_id"], r["line_no"]) for r in got if r["keep"]} == set(want.values())
+
+
+def test_lines_of_equal_sets_meet(spark):
+    rows = [(1, "abcd efgh " * 5 + "\n" + "-" * 60), (2, "abcd efgh " * 30 + "\n" + "-" * 200), (3, "x" * 300_000)]
+    got = {(r["doc_id"], r["line_no"]): r for r in linededup.line_components(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[1, 0]["component"] == got[2, 0]["component"] and got[1, 1]["component"] == got[2, 1]["component"]
+    assert {at for at, r in got.items() if r["keep"]} == {(1, 0), (1, 1), (3, 0)}
+
+
+def test_lines_recall(spark):
+    """Pairs of one similarity and no others: any script, with and without spaces, edits at any place of the line."""
+    rng, rows = random.Random(5), []
+    for n in range(300):
+        chars = [rng.choice("abcdefgh" if n % 3 else "\u6f22\u5b57\u304b\u306a\u4ea4\u3058") for _ in range(200)]
+        rows.append((2 * n, "".join(chars)))
+        at = rng.choice([4, rng.randrange(9, 190)])
+        chars[at] = "#"
+        rows.append((2 * n + 1, "".join(chars)))
+    got = linededup.line_components(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    of = {r["doc_id"]: r["component"] for r in got}
+    assert sum(of[2 * n] == of[2 * n + 1] for n in range(300)) >= 297 and len(set(of.values())) >= 300
+
+
+def test_long_lists_of_lines(spark):
+    """A crowd of lines around one passage, near enough to share bands and too far to link, and two that do link."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(400)]
+    common = " ".join(words[:24])
+    lines = [common + " " + " ".join(rng.sample(words, 9)) for _ in range(150)]
+    lines += [lines[3] + "!", lines[77] + "?"]
+    named = linededup._lines(spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string"), "doc_id", "text").select(F.xxhash64("line").alias("key"), "line", "doc")
+    want = brute.jaccard_components({i: brute.char_shingles(x, 9) for i, x in enumerate(lines)}, 80, 100)
+    keys = {r["key"]: r["doc"] for r in named.collect()}
+    for levels in (1, 4):
+        roots = {keys[r["node"]]: r["root"] for r in linededup.linked_lines(named.select("key", "line"), long=8, levels=levels).collect()}
+        assert roots[3] == roots[150] and roots[77] == roots[151]
+        assert len(lines) - len(roots) + len(set(roots.values())) == len(set(want.values()))
 
 
 def test_line_edges(spark, edge, empty):
