@@ -27,11 +27,15 @@ from .components import components
 SHINGLE, NUM, DEN = 9, 80, 100
 #: Windows hashed in one row; more of them make code that the JVM does not compile.
 PIECE = 8
-#: Minima of a signature. Band i takes the minima i, i + 1 and i + 4 (mod MINIMA), so two bands share one at most: a pair
-#: of similarity 0.8 meets in a band with a probability of 0.993, one of 0.9 with 0.9998.
-MINIMA, STEPS = 12, (0, 1, 4)
-#: Lists of more members are split by further bands, so often at most; then they are paired too.
-LONG, LEVELS = 32, 4
+#: Minima of a signature. A pair's similarity is the chance of each to be equal; one of 0.8 has fewer than LEAST_ALIKE
+#: equal with a probability of 0.004 and is not verified then.
+MINIMA, LEAST_ALIKE = 12, 6
+#: Bands of the first level take the minima i, i + 1 and i + 4 (mod MINIMA), so two bands share one at most: a pair of
+#: similarity 0.8 meets in a band with a probability of 0.993, one of 0.9 with 0.9998. Those of the second level, for
+#: members of long lists, take five minima (0.97 at 0.8).
+STEPS = (((0, 1, 4),), ((0, 1, 3, 4, 8), (0, 1, 5, 6, 7), (0, 2, 8, 9, 10)))
+#: Lists of more members are not paired at the first level.
+LONG = 64
 
 MASKS = [int.from_bytes(hashlib.sha256(f"line {i}".encode()).digest()[:8], "big", signed=True) for i in range(MINIMA)]
 
@@ -48,9 +52,10 @@ def signatures(lines: DataFrame) -> DataFrame:
     return least.groupBy("key").agg(*(F.min(f"m{i}").alias(f"m{i}") for i in range(MINIMA)))
 
 
-def _bands(*within: str) -> Column:
-    """The grams of all bands, each with the number of its band, of the list named by the columns within."""
-    return F.explode(F.array(*(F.xxhash64(*within, F.lit(i), *(F.col(f"m{(i + s) % MINIMA}") for s in STEPS)) for i in range(MINIMA)))).alias("gram")
+def _bands(level: int) -> Column:
+    """The grams of all bands of a level, each with the number of its band."""
+    chosen = [[f"m{(i + s) % MINIMA}" for s in steps] for steps in STEPS[level] for i in range(MINIMA)]
+    return F.explode(F.array(*(F.xxhash64(F.lit(n), *names) for n, names in enumerate(chosen)))).alias("gram")
 
 
 def _lists(members: DataFrame) -> DataFrame:
@@ -60,17 +65,25 @@ def _lists(members: DataFrame) -> DataFrame:
 
 
 def _shingles(line: Column) -> Column:
-    """Hashes of the character shingles of a line; a shorter line is one shingle. UTF-32 lets every place be read at once."""
-    points = F.encode(line, "UTF-32")
-    last = F.greatest(F.char_length(line) - SHINGLE, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(points, i * 4 + 1, F.lit(4 * SHINGLE))))
+    """Hashes of the character shingles of a line; a shorter line is one shingle.
+
+    In UTF-32 any place is read at once. As an element of an array the encoded line is one object for all places: a column
+    would be copied for each.
+    """
+    at = lambda p: F.sequence(F.lit(1), F.greatest(F.octet_length(p) - 4 * SHINGLE, F.lit(0)) + 1, F.lit(4))
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), lambda p: F.transform(at(p), lambda i: F.xxhash64(F.substr(p, i, F.lit(4 * SHINGLE))))), F.lit(0))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The pairs (a, b) of keys whose lines have a similarity of num/den or more; texts: key, line."""
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
-    # exploded, so that the sets are made once
-    sets = both.select("a", "b", F.explode(F.array(F.struct(_shingles(F.col("x")).alias("x"), _shingles(F.col("y")).alias("y")))).alias("s"))
+    """The pairs (a, b) of keys whose lines have a similarity of num/den or more; texts: key, line and minima.
+
+    A hot key is joined sorted, so that adaptive execution splits it.
+    """
+    side = lambda key, name: texts.select(F.col("key").alias(key), F.struct("line", *(f"m{i}" for i in range(MINIMA))).alias(name))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    alike = sum((F.col(f"x.m{i}") == F.col(f"y.m{i}")).cast("int") for i in range(MINIMA))
+    # exploded, so that the sets are made once and not again in each place that refers to them
+    sets = both.where(alike >= LEAST_ALIKE).select("a", "b", F.explode(F.array(F.struct(_shingles(F.col("x.line")).alias("x"), _shingles(F.col("y.line")).alias("y")))).alias("s"))
     return sets.where(F.size(F.array_intersect("s.x", "s.y")) * den >= F.size(F.array_union("s.x", "s.y")) * num).select("a", "b")
 
 
@@ -84,37 +97,34 @@ def _across(opened: DataFrame) -> DataFrame:
     return met.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b"))
 
 
-def linked_lines(named: DataFrame, num: int = NUM, den: int = DEN, long: int = LONG, levels: int = LEVELS) -> DataFrame:
+def linked_lines(named: DataFrame, num: int = NUM, den: int = DEN, long: int = LONG) -> DataFrame:
     """Components of the classes of lines (key, line): node, root; classes without a link are absent.
 
     A level links the members of each list to its first member. Of lists that hold several components then, those of
-    up to long members are paired across components; longer ones go to the next level, where bands within the list split
-    them; at the last level they are paired as well, so lists that no band splits lose nothing.
+    up to long members are paired across components; members of longer ones go to the second level, whose bands take more
+    minima, and are paired there, so lists that no band splits lose nothing.
     """
     signed = cut(signatures(named))
-    lists = _lists(signed.select("key", _bands()))
-    held = named.join(broadcast_if_small(lists.select("key").distinct()), "key", "left_semi")
-    texts = cut(held.groupBy("key").agg(F.any_value("line").alias("line")))
-    roots = None
-    for level in range(levels):
+    lists = _lists(signed.select("key", _bands(0)))
+    wanted = broadcast_if_small(lists.select("key").distinct())
+    texts = cut(named.join(wanted, "key", "left_semi").groupBy("key").agg(F.any_value("line").alias("line")).join(signed.join(wanted, "key", "left_semi"), "key"))
+    roots, pending = None, None
+    for level in range(len(STEPS)):
         stars = lists.where(F.col("key") != F.col("head")).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
+        edges = verify(stars if roots is None else _apart(stars, roots), texts, num, den)
         if roots is not None:
-            stars = _apart(stars, roots)
-        edges = cut(verify(stars, texts, num, den))
-        roots = components(edges if roots is None else edges.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        placed = lists.where(F.col("c") > 2).join(broadcast_if_small(roots), F.col("key") == F.col("node"), "left").select("gram", "key", "head", "c", F.coalesce("root", "key").alias("comp"))
+            edges = edges.union(roots.select("node", "root")).union(verify(pending, texts, num, den))
+        roots = components(edges)
+        placed = lists.where(F.col("c") > 2).join(broadcast_if_small(roots), F.col("key") == F.col("node"), "left").select("gram", "key", "c", F.coalesce("root", "key").alias("comp"))
         several = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("gram")
         opened = cut(placed.join(broadcast_if_small(several), "gram", "left_semi"))
-        paired = opened if level == levels - 1 else opened.where(F.col("c") <= long)
-        tried = lists.where(F.col("key") != F.col("head")).select(F.col("head").alias("a"), F.col("key").alias("b"))
-        more = cut(_across(paired).distinct().join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            roots = components(verify(more, texts, num, den).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        crowd = opened.where(F.col("c") > long)
-        if level == levels - 1 or crowd.isEmpty():
-            return roots
-        lists = _lists(signed.join(crowd.select("key", F.col("gram").alias("in")), "key").select("key", _bands("in")))
-    return roots
+        last = level == len(STEPS) - 1
+        pending = cut(_across(opened if last else opened.where(F.col("c") <= long)).distinct().join(stars, ["a", "b"], "left_anti"))
+        crowd = opened.where(F.col("c") > long).select("key").distinct()
+        if last or crowd.isEmpty():
+            break
+        lists = _lists(signed.join(broadcast_if_small(crowd), "key", "left_semi").select("key", _bands(level + 1)))
+    return roots if pending.isEmpty() else components(verify(pending, texts, num, den).union(roots.select("node", "root")))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
