@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut, small_batches, table
@@ -53,8 +53,14 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield first, shingles(*word_hashes(data, offsets), k)
 
 
+def text_hash(text_col: str) -> Column:
+    """Tells rows that share an id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """Rows of documents (id, key of the set, n) and, with null id and n = -count, of locally frequent n-grams (key)."""
+    """Rows of documents (id, of: a hash of the text, key of the set, n) and, with null id and n = -count, of locally frequent
+    n-grams (key)."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,13 +70,13 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         def frequent() -> pa.RecordBatch:
             grams, count = np.unique(np.concatenate([*kept.values(), np.zeros(0, np.uint64)]), return_counts=True)
             grams, count = grams[count >= LEAST_COUNT], count[count >= LEAST_COUNT]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(grams), id_type), pa.array(grams.view(np.int64)), pa.array(-count.astype(np.int64))], names=["id", "key", "n"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(grams), id_type), pa.nulls(len(grams), pa.int64()), pa.array(grams.view(np.int64)), pa.array(-count.astype(np.int64))], names=["id", "of", "key", "n"])
 
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.column(0).type
             keys, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for first, sets in _sets(batch.column(1), k):
+            for first, sets in _sets(batch.column(2), k):
                 for at, s in enumerate(sets, first):
                     keys[at], sizes[at] = key, _ = set_key(s), len(s)
                     if len(s) and key not in kept:
@@ -80,11 +86,11 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     yield frequent()
                     kept.clear()
                     held = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(sizes)], names=["id", "key", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(sizes)], names=["id", "of", "key", "n"])
         if held:
             yield frequent()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind.simpleString()}, key long, n long")
+    return docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("of"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind.simpleString()}, of long, key long, n long")
 
 
 def order_hint(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -262,9 +268,10 @@ class Trie:
 
 
 def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """The sets (key, grams) of the wanted classes, each read from one of its documents."""
-    ids = broadcast_if_small(classes.join(wanted, "key", "left_semi").select(F.col("id").alias("__id")).distinct())
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(ids, "__id", "left_semi").select("__t")
+    """The sets (key, grams) of the wanted classes, each read from one of its documents, whose id may be null."""
+    ids = broadcast_if_small(classes.join(wanted, "key", "left_semi").select(F.col("first.id").alias("__id"), F.col("first.of").alias("__of")).distinct())
+    rows = docs.select(F.col(id_col).alias("__i"), text_hash(text_col).alias("__o"), F.col(text_col).alias("__t"))
+    texts = rows.join(ids, (F.col("__o") == F.col("__of")) & F.col("__i").eqNullSafe(F.col("__id")), "left_semi").select("__t")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,15 +318,19 @@ def verify(pairs: DataFrame, read: Callable[[DataFrame], DataFrame], num: int, d
 
 
 def verify_families(members: DataFrame, read: Callable[[DataFrame], DataFrame], num: int, den: int, block_sets: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join what is similar within each family; members: key, family; read as in :func:`verify`.
+    """Links (a, b) that join what is similar within each family; members: key, family, minor; read as in :func:`verify`.
 
     The members of a family are dealt to blocks, and every two blocks (or a block and itself) meet in one task, one
-    block as a trie, the other as probes: no pair of members is a row. Of a task's links those that join two of its
-    parts are handed on, so there are fewer than members.
+    block as a trie, the other as probes: no pair of members is a row. Members that are not minor are in one component
+    already, so their blocks meet those of minor members only: a family of near copies with few stragglers costs about
+    its size. Of a task's links those that join two of its parts are handed on, so there are fewer than members.
     """
-    sizes = members.groupBy("family").agg(F.ceil(F.count("*") / float(block_sets)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "family").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    tiles = dealt.select("key", "family", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    blocks = lambda kind: F.ceil(F.count_if(kind) / float(block_sets)).cast("int")
+    sizes = members.groupBy("family").agg(blocks(~F.col("minor")).alias("old"), blocks(F.col("minor")).alias("new")).where(F.col("new") > 0)
+    mine = F.when(F.col("minor"), F.col("old") + F.pmod(F.xxhash64("key"), F.col("new"))).otherwise(F.pmod(F.xxhash64("key"), F.greatest("old", F.lit(1))))
+    dealt = members.join(sizes, "family").withColumn("mine", mine.cast("int"))
+    others = F.sequence(F.when(F.col("minor"), F.lit(0)).otherwise(F.col("old")), F.col("old") + F.col("new") - 1)
+    tiles = dealt.select("key", "family", "mine", F.explode(others).alias("other"))
     roles = tiles.select("key", "family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("block"))
     rows = read(members.select("key")).join(broadcast_if_small(roles), "key")
 
@@ -369,19 +380,14 @@ def verify_families(members: DataFrame, read: Callable[[DataFrame], DataFrame],
     return tiled.mapInArrow(check, "a long, b long")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """Component of each document under links of similarity num/den or more: doc_id, n_shingles, component_id.
-
-    A set holds the distinct k-word shingles of the text with ASCII capitals in lower case; a text of fewer words is
-    one shingle; a null, empty or blank text has an empty set and links to nothing, not even its like. Rows that repeat
-    an id are documents of one id; component_id is the smallest id of the component. An empty table gives an empty
-    result. Only the two named columns are read.
-    """
+def document_components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """id, of (a hash of the text), n (set size), component_id, comp: a key of the component, null where the set is empty."""
     with small_batches(docs.sparkSession):
         found = cut(profile(docs, id_col, text_col, k))
         rows = found.where(F.col("n") >= 0)
         hint = order_hint(found.where(F.col("n") < 0).select("key", (-F.col("n")).alias("n")))
-        classes = cut(rows.where(F.col("n") > 0).groupBy("key").agg(F.min("id").alias("id")))
+        some = rows.where(F.col("n") > 0).groupBy("key")
+        classes = cut(some.agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "of")).alias("first")))
         lists = cut(shared(prefixes(docs, text_col, k, num, den, hint)))
 
         def fits(a: str, b: str):
@@ -391,11 +397,35 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             return sets_of(keys, classes, docs, id_col, text_col, k)
 
         roots = linked(lists, fits, lambda n, m: least_common(F.least(n, m)), lambda pairs: verify(pairs, read, num, den), lambda members: verify_families(members, read, num, den))
-    smallest = roots.join(classes, F.col("node") == F.col("key")).groupBy("root").agg(F.min("id").alias("component"))
-    of_component = roots.join(smallest, "root").select(F.col("node").alias("key"), "component")
-    named = classes.join(of_component, "key", "left").select("key", F.coalesce("component", "id").alias("component"))
+    smallest = roots.join(classes, F.col("node") == F.col("key")).groupBy("root").agg(F.min("first.id").alias("component"))
+    of_component = roots.join(smallest, "root").select(F.col("node").alias("key"), "component", "root")
+    named = classes.join(of_component, "key", "left").select("key", F.coalesce("component", "first.id").alias("component"), F.coalesce("root", "key").alias("comp"))
     out = rows.join(named, "key", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return out.select("id", "of", "n", F.coalesce("component", "id").alias("component_id"), "comp")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """Component of each document under links of similarity num/den or more: doc_id, n_shingles, component_id.
+
+    A set holds the distinct k-word shingles of the text with ASCII capitals in lower case; a text of fewer words is
+    one shingle; a null, empty or blank text has an empty set and links to nothing, not even its like. Rows that repeat
+    an id are documents of one id; component_id is the smallest id of the component. Rows of null id link as others do
+    and take part in a component's id only if it has no other. An empty table gives an empty result. Only the two named
+    columns are read.
+    """
+    found = document_components(docs, id_col, text_col, k, num, den)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """Documents to drop so that one of each component stays: id, of (see :func:`text_hash`).
+
+    The one that stays has the smallest id (null last), then hash of the text; rows equal to it in both stay with it.
+    """
+    found = document_components(docs, id_col, text_col, k, num, den).where(F.col("comp").isNotNull())
+    rank = F.struct(F.col("id").isNull().alias("no"), "id", "of")
+    stays = broadcast_if_small(found.groupBy("comp").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("comp", "first"))
+    return found.join(stays, "comp").where(~rank.eqNullSafe(F.col("first"))).select("id", "of").distinct()
 
 
 def op9_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,11 +211,48 @@ def test_secret_spans_match_a_plain_version(spark):
 def test_sliding_entropy_equals_that_of_each_window(spark):
     text, w = "aAbB01x9zzzzQ7aAbB01x9Kd", 8
     df = spark.createDataFrame([(text,)], "t string")
-    got = df.select(secrets.best_entropy(F.col("t"), w)).first()[0]
+    got = df.select(secrets.best_entropy(F.col("t"), w, "".join(sorted(set(text))))).first()[0]
     h = lambda s: -sum(c / w * np.log2(c / w) for c in Counter(s).values())
     assert got == pytest.approx(max(h(text[i : i + w]) for i in range(len(text) - w + 1)))
 
 
+def plain_more(t):
+    """Entropy spans, every window counted anew."""
+    entropy = lambda w: -sum(c / len(w) * np.log2(c / len(w)) for c in Counter(w).values())
+    out, base = [], plain_spans(t)
+    for n, c in enumerate(secrets.CLASSES):
+        for m in re.finditer(c.pattern, t):
+            body = m[0].rstrip("=")
+            if re.search("[0-9]", body) and re.search("[A-Za-z]", body) and not any(re.search(p, body) for p in secrets.ALLOWED):
+                best = max(entropy(body[i : i + c.window]) for i in range(len(body) - c.window + 1))
+                if best >= c.threshold - 1e-9 and not any(m.start() < stop and start < m.end() for start, _, stop in base):
+                    out.append((m.start(), 3 + n, m.end()))
+    return sorted(base + out)
+
+
+def test_all_secret_spans_match_a_plain_version(spark, docs, texts):
+    got = rows(secrets.scan(docs))
+    for i, t in texts.items():
+        assert sorted((s["start"], s["kind"], s["stop"]) for s in got[i]["spans"]) == plain_more(t), i
+    names = [*secrets.KINDS, *(c.name for c in secrets.CLASSES)]
+    for i, r in rows(secrets.op6_secret_spans(spark, DATA)).items():
+        base, spans = plain_spans(texts[i]), plain_more(texts[i])
+        listed = lambda x: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in x)
+        assert r["base_sha256"] == hashlib.sha256(listed(base).encode()).hexdigest() and r["spans"] == listed(spans)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == n for _, k, _ in base) for n in range(3)]
+
+
+def test_secrets_in_long_runs_and_many_matches(spark):
+    rng = random.Random(4)
+    run = "".join(rng.choice("ghjkXYZW0123") for _ in range(300_000))
+    many = [f"token=abcdefgh{n:05d} zQ3vB9xK1mN7pL5tR2wY8uJ4{n:05d}" for n in range(20_000)]
+    slashes = "/".join(["ab"] * 100_000)
+    got = rows(secrets.scan(spark.createDataFrame([(1, run), (2, " ".join(many)), (3, slashes)], "doc_id int, text string")))
+    assert [(s["start"], s["stop"], s["kind"]) for s in got[1]["spans"]] == [(0, len(run), 3)] and got[3]["spans"] == []
+    assert len(got[2]["base"]) == 20_000 and len(got[2]["spans"]) == 40_000
+    assert all(s["hit"] == " ".join(many)[s["start"] : s["stop"]] for s in got[2]["spans"][::997])
+
+
 def test_secret_edges(edge, empty, spark):
     assert all(r["spans"] == [] for r in secrets.scan(edge).collect()) and secrets.scan(edge).count() == edge.count()
     assert secrets.scan(empty).count() == 0
@@ -308,8 +345,8 @@ def test_long_lists_of_lines(spark):
     named = linededup._lines(spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string"), "doc_id", "text").select(F.xxhash64("line").alias("key"), "line", "doc")
     want = brute.jaccard_components({i: brute.char_shingles(x, 9) for i, x in enumerate(lines)}, 80, 100)
     keys = {r["key"]: r["doc"] for r in named.collect()}
-    for levels in (1, 4):
-        roots = {keys[r["node"]]: r["root"] for r in linededup.linked_lines(named.select("key", "line"), long=8, levels=levels).collect()}
+    for long in (8, 10_000):
+        roots = {keys[r["node"]]: r["root"] for r in linededup.linked_lines(named.select("key", "line"), long=long).collect()}
         assert roots[3] == roots[150] and roots[77] == roots[151]
         assert len(lines) - len(roots) + len(set(roots.values())) == len(set(want.values()))
 
@@ -357,10 +394,25 @@ def test_ngram_edges(edge, empty):
     assert len(got) == edge.count()
     by = {r["doc_id"]: r for r in got}
     assert [by[i]["component_id"] for i in (1, 6, 8)] == [1, 1, 1] and [by[i]["component_id"] for i in (2, 3, 4)] == [2, 3, 4]
-    assert [by[i]["n_shingles"] for i in (2, 3, 7)] == [0, 0, 1] and by[None]["component_id"] is None
+    assert [by[i]["n_shingles"] for i in (2, 3, 7)] == [0, 0, 1] and by[None]["component_id"] is None  # no like
     assert ngram_join.similar_components(empty).count() == 0
 
 
+def test_links_through_null_ids(spark):
+    """The first and the third are near the second only, whose id is null."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [(1, words), (None, words[3:] + ["x"]), (3, words[6:] + ["x", "y"]), (7, ["other", "words", "here", "now"])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    sets = {n: brute.shingle_set(" ".join(w), 4) for n, (_, w) in enumerate(texts)}
+    assert list(brute.jaccard_components(sets, 94, 100).values()) == [0, 0, 0, 3] and list(brute.jaccard_components({n: sets[n] for n in (0, 2)}, 94, 100).values()) == [0, 2]
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_join.similar_components(df, num=94).collect()} == {(1, 1), (None, 1), (3, 1), (7, 7)}
+    of = {r["of"]: r["doc_id"] for r in df.select("doc_id", ngram_join.text_hash("text").alias("of")).collect()}
+    dropped = ngram_join.copies(df, num=94).collect()
+    assert {r["id"] for r in dropped} == {None, 3} and all(of[r["of"]] == r["id"] for r in dropped)
+    nulls = spark.createDataFrame([(None, " ".join(words)), (None, " ".join(words + ["x"])), (None, "a b c d")], "doc_id long, text string")
+    assert ngram_join.copies(nulls).count() == 1
+
+
 def test_trie_agrees_with_set_arithmetic():
     r = np.random.default_rng(0)
     for _ in range(100):
