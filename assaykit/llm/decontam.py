@@ -1,7 +1,7 @@
 """Benchmark decontamination over a positional inverted index.
 
 The terms of the benchmark are counted in the training corpus. Every window of an item is then looked up by its rarest
-term: the index stores the postings (document, position) of these anchor terms with the terms around each position, so
+terms: the index stores the postings (document, position) of these anchor terms with the terms around each position, so
 that the offset-adjusted lists of the window's other terms are intersected on the spot, from the rarest outwards. A
 posting meets each place of an item where its term stands; the run of equal terms on both sides tells which windows
 occur. Only postings of anchor terms leave their row, however long the text is.
@@ -19,6 +19,10 @@ from .common import cut, table
 
 #: Consecutive item words that make a window.
 WINDOW = 10
+#: A proximity match: words that a term may be off its place, and the share of a window (of NEAR_WORDS at least) to be near.
+SLACK, NEAR_PCT, NEAR_WORDS = 2, 80, 5
+#: Terms of a window that are looked up; one would do for phrases, but a passage may lack it.
+ANCHORS = 2
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The term filter has 2^FILTER_BITS bits.
@@ -57,21 +61,21 @@ def _places(ws: Column, bits: list[int]) -> Column:
 
 
 def item_places(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row for each place of each item: item, n (its words), at (from 0), term, around (words from at - WINDOW + 1 on)."""
-    split = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    return split.select("item", "w", F.posexplode("w").alias("at", "term")).select(
-        "item", F.size("w").alias("n"), "at", "term",
+    """One row for each place of each item: item, row (tells items of one id apart), n (its words), at (from 0), term, left, right."""
+    named = items.select(F.col(id_col).alias("item"), F.xxhash64(id_col, text_col).alias("row"), words(F.col(text_col)).alias("w")).distinct()
+    return named.where(F.size("w") > 0).select("item", "row", "w", F.posexplode("w").alias("at", "term")).select(
+        "item", "row", F.size("w").alias("n"), "at", "term",
         F.reverse(F.slice("w", F.greatest(F.lit(1), F.col("at") - (WINDOW - 2)), F.least(F.col("at"), F.lit(WINDOW - 1)))).alias("left"),
         F.slice("w", F.col("at") + 2, F.lit(WINDOW - 1)).alias("right"),
     )
 
 
 def anchors(places: DataFrame, counts: DataFrame) -> DataFrame:
-    """The rarest term of every window (ties: the term itself decides), as the set of anchor terms."""
-    weighed = places.join(counts, "term").select("item", "n", "at", F.struct("df", "term").alias("rank"))
-    ahead = Window.partitionBy("item").orderBy("at").rowsBetween(0, WINDOW - 1)
-    first = weighed.withColumn("rarest", F.min("rank").over(ahead))
-    return first.where((F.col("at") + WINDOW <= F.col("n")) | (F.col("at") == 0)).select(F.col("rarest.term").alias("term")).distinct()
+    """The terms by which windows are looked up: of each, the ANCHORS rarest that occur at all (ties: the term itself decides)."""
+    weighed = places.join(counts, "term").select("row", "n", "at", F.when(F.col("df") > 0, F.struct("df", "term")).alias("rank"))
+    ahead = Window.partitionBy("row").orderBy("at").rowsBetween(0, WINDOW - 1)
+    first = weighed.withColumn("rarest", F.slice(F.array_sort(F.collect_set("rank").over(ahead)), 1, ANCHORS))
+    return first.where((F.col("at") + WINDOW <= F.col("n")) | (F.col("at") == 0)).select(F.explode("rarest.term").alias("term")).distinct()
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -85,27 +89,53 @@ def positional_index(docs: DataFrame, terms: list[int], id_col: str, text_col: s
     split = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("of"), words(F.col(text_col)).alias("w"))
     posting = lambda i: F.struct(
         i.alias("at"), F.element_at(F.col("w"), i).alias("term"),
-        F.reverse(F.slice(F.col("w"), F.greatest(F.lit(1), i - (WINDOW - 1)), F.least(i - 1, F.lit(WINDOW - 1)))).alias("left"),
-        F.slice(F.col("w"), i + 1, F.lit(WINDOW - 1)).alias("right"),
+        F.reverse(F.slice(F.col("w"), F.greatest(F.lit(1), i - (WINDOW - 1 + SLACK)), F.least(i - 1, F.lit(WINDOW - 1 + SLACK)))).alias("left"),
+        F.slice(F.col("w"), i + 1, F.lit(WINDOW - 1 + SLACK)).alias("right"),
     )
     return split.select("doc", "of", F.size("w").cast("long").alias("n_words"), F.transform(_places(F.col("w"), terms), posting).alias("postings"))
 
 
+def _near(item_side: Column, side: Column) -> Column:
+    """Whether each word of an item's side stands within SLACK words of its place on the document's side, as 0 and 1."""
+    first = lambda i: F.greatest(i + (1 - SLACK), F.lit(1))
+    return F.transform(item_side, lambda w, i: F.array_contains(F.slice(side, first(i), i + (2 + SLACK) - first(i)), w).cast("int"))
+
+
+def _close(n: Column) -> Column:
+    """Whether a window of the item with the posting's term in it has enough near words; columns of :func:`matches`."""
+    line = F.concat(F.reverse(F.col("near_left")), F.array(F.lit(1)), F.col("near_right"))
+    width = F.least(n, F.lit(WINDOW))
+    starts = F.sequence(F.lit(1), F.size(line) - width + 1)
+    enough = lambda s: F.aggregate(F.slice(line, s, width), F.lit(0), lambda acc, x: acc + x) * 100 >= width * NEAR_PCT
+    return (n >= NEAR_WORDS) & F.exists(starts, enough)
+
+
 def matches(index: DataFrame, places: DataFrame, small: bool) -> DataFrame:
-    """Exact phrase matches: one row for each posting and item place whose surroundings hold a window: doc, of, item, from, to (positions from 1)."""
+    """Phrase and proximity matches: one row for each posting and item place whose surroundings hold a window.
+
+    Columns: doc, of, item, from, to (positions from 1; of the exact phrase, null where there is none), near. A term with
+    very many postings is met by broadcast, or joined sorted, so that adaptive execution splits it.
+    """
     rows = index.select("doc", "of", F.explode("postings").alias("p")).select("doc", "of", "p.*")
     named = places.select("item", "n", F.col("at").alias("item_at"), "term", F.col("left").alias("item_left"), F.col("right").alias("item_right"))
     met = rows.join(F.broadcast(named) if small else named, "term")
-    met = met.select("doc", "of", "item", "n", "item_at", "at", _agree(F.col("left"), F.col("item_left")).alias("l"), _agree(F.col("right"), F.col("item_right")).alias("r"))
+    met = met.select(
+        "doc", "of", "item", "n", "item_at", "at", _agree(F.col("left"), F.col("item_left")).alias("l"), _agree(F.col("right"), F.col("item_right")).alias("r"),
+        _near(F.col("item_left"), F.col("left")).alias("near_left"), _near(F.col("item_right"), F.col("right")).alias("near_right"),
+    )
     whole = (F.col("n") < WINDOW) & (F.col("l") == F.col("item_at")) & (F.col("r") == F.col("n") - 1 - F.col("item_at"))
-    return met.where((F.col("l") + F.col("r") + 1 >= WINDOW) | whole).select("doc", "of", "item", (F.col("at") - F.col("l")).alias("from"), (F.col("at") + F.col("r")).alias("to"))
+    phrase = (F.col("l") + F.col("r") + 1 >= WINDOW) | whole
+    found = met.select("doc", "of", "item", F.when(phrase, F.col("at") - F.col("l")).alias("from"), F.when(phrase, F.col("at") + F.col("r")).alias("to"), (phrase | _close(F.col("n"))).alias("near"))
+    return found.where(F.col("from").isNotNull() | F.col("near"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Which words of each document lie in a window of a benchmark item.
 
-    Returns one row a document: doc_id, n_words, n_hit, items (sorted as strings). An item of fewer words than a window
-    is one window; items and texts that are null or without words match nothing. Rows that repeat an id are told apart
+    Returns one row a document: doc_id, n_words, n_hit, items (those with an exact phrase, sorted as strings), near_items
+    (those with a phrase or a proximity match). An item of fewer words than a window
+    is one window; items and texts that are null or without words match nothing; items that share an id count as one, each with
+    its own windows. Rows that repeat an id are told apart
     by a hash of the text, and equal rows get equal results; empty tables give an empty result or no hits. Only the
     named columns are read.
     """
@@ -119,14 +149,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     known = cut(places.join(chosen, "term", "left_semi"))
     index = cut(positional_index(docs, _filter(chosen), id_col, text_col))
     hits = matches(index, known, known.count() <= BROADCAST_PLACES)
-    spans = hits.groupBy("doc", "of", "item").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    spans = hits.groupBy("doc", "of", "item").agg(F.collect_set(F.when(F.col("from").isNotNull(), F.struct("from", "to"))).alias("spans"))
     per_doc = spans.groupBy("doc", "of").agg(
-        F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"),
+        F.array_sort(F.collect_set(F.when(F.size("spans") > 0, F.col("item").cast("string")))).alias("items"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("near_items"),
         F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.sequence(s["from"], s["to"]))))).cast("long").alias("n_hit"),
     )
     left, right = index.select("doc", "of", "n_words").alias("a"), per_doc.alias("b")
     joined = left.join(right, F.col("a.doc").eqNullSafe(F.col("b.doc")) & (F.col("a.of") == F.col("b.of")), "left")
-    return joined.select(F.col("a.doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    return joined.select(F.col("a.doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), *(F.coalesce(c, F.expr("cast(array() as array<string>)")).alias(c) for c in ("items", "near_items")))
 
 
 def op10_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,7 +244,7 @@ def test_all_secret_spans_match_a_plain_version(spark, docs, texts):
 
 def test_secrets_in_long_runs_and_many_matches(spark):
     rng = random.Random(4)
-    run = "".join(rng.choice("ghjkXYZW0123") for _ in range(300_000))
+    run = "".join(rng.choice("ghjklmnopQYZW0123456") for _ in range(300_000))
     many = [f"token=abcdefgh{n:05d} zQ3vB9xK1mN7pL5tR2wY8uJ4{n:05d}" for n in range(20_000)]
     slashes = "/".join(["ab"] * 100_000)
     got = rows(secrets.scan(spark.createDataFrame([(1, run), (2, " ".join(many)), (3, slashes)], "doc_id int, text string")))
@@ -471,6 +471,50 @@ def test_benchmark_edges(spark, edge, empty):
     assert decontam.decontaminate(edge, items.where("item_id < 0")).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def plain_near(text, items):
+    """Items with a window whose rarest word stands in the text with enough of the others about their places."""
+    ws = {i: brute.ALNUM.findall(t.translate(brute.FOLD)) for i, t in items.items()}
+    out = set()
+    d = brute.ALNUM.findall(text.translate(brute.FOLD))
+    for i, w in ws.items():
+        k = min(10, len(w))
+        for s in range(len(w) - k + 1 if k >= 5 else 0):
+            for q in range(s, s + k):
+                for p in (p for p, x in enumerate(d) if x == w[q]):
+                    at = lambda j: w[j] in d[max(0, p + j - q - 2, p + 1 if j > q else 0) : min(p + j - q + 3, p if j < q else len(d))]  # noqa: E731, B023
+                    if sum(j == q or at(j) for j in range(s, s + k)) * 100 >= 80 * k:
+                        out.add(str(i))
+    return out
+
+
+def test_proximity_matches(spark):
+    rng = random.Random(8)
+    words = [f"w{n}" for n in range(4000)]
+    items = {i: " ".join(rng.sample(words, 14)) for i in range(20)} | {20: "one two three four five six"}
+    texts, near = {}, {}
+    for i in range(20):
+        w = items[i].split()
+        at = rng.randrange(3, 11)
+        changed = {0: [*w[:at], "put", "in", *w[at:]], 1: [*w[:at], *w[at + 1 :]], 2: [*w[:at], "other", *w[at + 1 :]], 3: [y for x in w for y in (x, *rng.sample(words, 4))]}[i % 4]
+        texts[i] = " ".join([*rng.sample(words, 30), *changed, *rng.sample(words, 30)])
+        near[i] = i % 4 < 3
+    texts |= {20: "so one two three for five six then", 21: None, 22: "nothing of it"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = rows(decontam.decontaminate(docs, spark.createDataFrame(list(items.items()), "item_id int, text string")))
+    for i, t in texts.items():
+        assert set(got[i]["items"]) <= set(got[i]["near_items"]) <= plain_near(t or "", items) | set(got[i]["items"]), i
+    assert sum(str(i) in got[i]["near_items"] for i in range(20) if near[i]) >= 14  # those that keep one of the two rarest words
+    assert not any(got[i]["near_items"] for i in range(20) if not near[i]) and got[20]["near_items"] == ["20"] and got[20]["n_hit"] == 0
+    assert got[21]["near_items"] == got[22]["near_items"] == []
+
+
+def test_items_of_one_id_keep_their_windows(spark):
+    items = [(None, "alpha beta gamma delta"), (None, "one two three"), (5, " ".join(f"x{n}" for n in range(15))), (5, "absent " * 15)]
+    docs = spark.createDataFrame([(1, "so alpha beta gamma delta"), (2, "one two three"), (3, "y " + items[2][1] + " z")], "doc_id int, text string")
+    got = rows(decontam.decontaminate(docs, spark.createDataFrame(items, "item_id int, text string")))
+    assert [got[i]["n_hit"] for i in (1, 2, 3)] == [4, 3, 15] and got[3]["items"] == ["5"]
+
+
 # --- SQL and pipeline --------------------------------------------------------------------------------------------------
 
 
