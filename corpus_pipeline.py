@@ -25,10 +25,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates stays."""
-    found = ngram_join.similar_components(docs, k=SHINGLE_WORDS, num=SIMILARITY[0], den=SIMILARITY[1])
-    copies = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return _without(docs, copies)
+    """The document with the smallest id of each component of near duplicates stays; ids may be null or repeat."""
+    dropped = broadcast_if_small(ngram_join.copies(docs, k=SHINGLE_WORDS, num=SIMILARITY[0], den=SIMILARITY[1]))
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["id"]) & (ngram_join.text_hash("text") == dropped["of"]), "left_anti")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
