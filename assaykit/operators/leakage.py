@@ -9,11 +9,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..columns import num, q
+from ..columns import CATEGORICAL, NUMERIC, columns_of, kind_of, num, q
+from ..functions.distributions import ks_sf
 from ..functions.exprs import corr, div, ladder
 from ..plans.fuse import fused, long_values, row
 from ..plans.ordering import bucket_of
+from . import drift
 
+#: Words in column names that speak of the target or of what follows it.
 NAME_HINTS = ("target", "label", "outcome", "result", "prediction", "score")
 
 
@@ -145,3 +148,60 @@ def near_duplicates(train: DataFrame, test: DataFrame, vec: str, key: str, thres
 
 def leakage_score(n_corr: int, n_dup: int, n_perfect: int, n_high: int, n_temporal: int, n_mi: int) -> float:
     return float(min(100, min(15 * n_corr, 30) + min(10 * n_dup, 25) + 20 * n_perfect + min(5 * n_high, 20) + 15 * n_temporal + min(8 * n_mi, 15)))
+
+
+def ranked_shift(train: DataFrame, test: DataFrame, cols: Sequence[str], alpha: float = 0.001, top: int = 20) -> DataFrame:
+    """Numeric columns whose distributions differ between train and test, most first: feature, ks_stat, p_value, rank.
+
+    A report of at most top columns, as alpha bounds the asymptotic p-value of the Kolmogorov-Smirnov statistic.
+    """
+    found = []
+    for c in cols:
+        r = drift.ks(train, test, c).first()
+        if r["n_baseline"] and r["n_current"]:
+            p = ks_sf(r["ks_stat"], r["n_baseline"], r["n_current"])
+            found.append((c, float(r["ks_stat"]), float(p)))
+    found = sorted((f for f in found if f[2] < alpha), key=lambda f: (-f[1], f[0]))[:top]
+    return train.sparkSession.createDataFrame([(*f, n) for n, f in enumerate(found, 1)], "feature string, ks_stat double, p_value double, rank int")
+
+
+def detect_all(train: DataFrame, test: DataFrame, target: str | None = None, entity: str | None = None, vec: str | None = None, key: str | None = None, threshold: float = 0.95) -> DataFrame:
+    """All findings about a training and a test table: type, severity, features, description, recommendation.
+
+    Contamination by whole rows, near duplicates of the vector column vec (with key), entities in both tables, target
+    leakage in train (correlation with the target, perfect predictors that are no keys, telling names) and shifted
+    columns. The findings are as many as the columns at most; :func:`severity_counts` adds them up.
+    """
+    nums = [c for c in columns_of(train, NUMERIC) if c in test.columns]
+    out: list[tuple] = []
+    r = contamination(train, test).first()
+    if r["n_contaminated"]:
+        out.append(("train_test_contamination", "critical", [], f"{r['n_contaminated']} of {r['n_test']} test rows occur in train", "remove them from the test table"))
+    if vec and key:
+        n = near_duplicates(train, test, vec, key, threshold).count()
+        if n:
+            out.append(("near_duplicates", "high", [vec], f"{n} test rows have a near copy in train", "split near copies to one side"))
+    if entity:
+        r = group_overlap(train, test, entity).first()
+        if r["n_overlap"]:
+            out.append(("group_leakage", r["severity"], [entity], f"{r['n_overlap']} entities are in both tables ({r['overlap_pct']:.1f} %)", "split by entity"))
+    if target:
+        others = [c for c in train.columns if c != target]
+        if target in columns_of(train, NUMERIC):
+            for r in fused(train, [row(feature=F.lit(c), r=corr(num(c), num(target))) for c in nums if c != target]).collect() if len(nums) > 1 else []:
+                if r["r"] is not None and abs(r["r"]) >= threshold:
+                    out.append(("target_leakage", "critical", [r["feature"]], f"correlates with the target ({r['r']:.3f})", "drop it, or show that it is known in time"))
+        flat = [c for c in others if kind_of(train.schema[c]) in (NUMERIC, CATEGORICAL)]
+        for r in perfect_predictors(train, flat, target).where("is_perfect and key_likeness < 0.95").orderBy("feature").collect() if flat else []:
+            out.append(("perfect_predictor", "critical", [r["feature"]], "each of its values goes with one target value", "drop it, or show that it is known in time"))
+        for c in suspicious_names(others, target):
+            out.append(("suspicious_name", "medium", [c], "its name speaks of the target", "check when it is known"))
+    shifted = [r["feature"] for r in ranked_shift(train, test, [c for c in nums if c != target]).orderBy("rank").collect()]
+    if shifted:
+        out.append(("distribution_shift", "medium", shifted, f"{len(shifted)} columns differ between train and test", "review how the tables were split"))
+    return train.sparkSession.createDataFrame(out, "type string, severity string, features array<string>, description string, recommendation string")
+
+
+def severity_counts(findings: DataFrame) -> DataFrame:
+    """How many findings there are, and of each severity."""
+    return findings.agg(F.count("*").alias("total"), *(F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium")))

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from ..columns import infer_task, num, q
 from ..functions.exprs import corr, median
 from ..plans.fuse import fused, row
-from ..plans.ordering import bucket_of, checkpointed
+from ..plans.graph import components
+from ..plans.ordering import bucket_of, checkpointed, numbered
+from .features import correlation_filter, variance_filter
 from .leakage import binned_information
 
 #: Rows a model fitted on the driver or broadcast to the executors may hold.
@@ -67,24 +69,32 @@ def forest_importance(df: DataFrame, cols: Sequence[str], target: str, trees: in
     return _scores(df, cols, forest(task, trees, depth).fit(data).featureImportances.toArray())
 
 
+def permuted(df: DataFrame, cols: Sequence[str], seed: int, prefix: str = "__p_") -> DataFrame:
+    """The rows with cols again under prefixed names, taken from another row each: a permutation of the rows by hash.
+
+    Rows are numbered in two hash orders and joined by number, so every value is used as often as it occurs.
+    """
+    order = lambda salt: [F.xxhash64(F.lit(salt), *(F.col(f"`{c}`") for c in held.columns)), *(F.col(f"`{c}`") for c in held.columns)]
+    held = df.drop("features")
+    left = numbered(df, order(seed), "__rn")
+    right = numbered(held.select(*(q(c).alias(f"{prefix}{c}") for c in cols), *(q(c) for c in held.columns if c not in cols), *(q(c) for c in cols)), order(seed + 1), "__rn")
+    return left.join(right.select("__rn", *(q(f"{prefix}{c}") for c in cols)), "__rn").drop("__rn")
+
+
 def permutation_importance(df: DataFrame, cols: Sequence[str], target: str, repeats: int = 3, trees: int = 20, seed: int = 42) -> DataFrame:
-    """Loss of score when one column is shuffled; values are exchanged by the order of two hashes, without a join of rows to all others."""
-    data, task = assembled(df, cols, target)
-    data = data.persist()
-    model, score = forest(task, trees).fit(data), evaluator(task)
-    base = score.evaluate(model.transform(data))
-    at = {r["feature"]: r["p"] for r in fused(data, [row(feature=F.lit(c), p=F.percentile(num(c), F.array(*(F.lit(i / 200) for i in range(201))))) for c in cols]).collect()}
-    out = []
-    for c in cols:
-        drops = []
-        for k in range(repeats):
-            # a random draw from the column's own distribution breaks its tie to the target like a shuffle does
-            drawn = F.get(F.array(*map(F.lit, at[c])), F.floor(F.rand(seed + k) * 201).cast("int"))
-            shuffled = VectorAssembler(inputCols=list(cols), outputCol="features").transform(data.drop("features").withColumn(c, drawn))
-            drops.append(base - score.evaluate(model.transform(shuffled)))
-        out.append((c, float(np.mean(drops)), float(np.std(drops))))
-    data.unpersist()
-    return df.sparkSession.createDataFrame(out, "feature string, importance double, importance_std double")
+    """Loss of score when the values of one column are permuted among the rows (see :func:`permuted`)."""
+    data, task = assembled(df.select(q(target), *(q(c) for c in cols)), cols, target)
+    data = checkpointed(data.drop("features"))
+    vectors = VectorAssembler(inputCols=list(cols), outputCol="features")
+    model, score = forest(task, trees).fit(vectors.transform(data)), evaluator(task)
+    base = score.evaluate(model.transform(vectors.transform(data)))
+    drops: dict[str, list[float]] = {c: [] for c in cols}
+    for k in range(repeats):
+        exchanged = checkpointed(permuted(data, cols, seed + 2 * k))
+        for c in cols:
+            shuffled = vectors.transform(exchanged.withColumn(c, q(f"__p_{c}")))
+            drops[c].append(base - score.evaluate(model.transform(shuffled)))
+    return df.sparkSession.createDataFrame([(c, float(np.mean(d)), float(np.std(d))) for c, d in drops.items()], "feature string, importance double, importance_std double")
 
 
 def sparse_selection(df: DataFrame, cols: Sequence[str], target: str, mixing: float = 1.0, strength: float = 0.01) -> DataFrame:
@@ -111,16 +121,15 @@ def recursive_elimination(df: DataFrame, cols: Sequence[str], target: str, keep:
     return df.sparkSession.createDataFrame([(c, int(ranks.get(c, 1))) for c in cols], "feature string, ranking int")
 
 
-def boruta(df: DataFrame, cols: Sequence[str], target: str, rounds: int = 5, trees: int = 20, seed: int = 42) -> DataFrame:
-    """Columns that beat the best shadow (a column drawn anew from its own distribution) in at least half of the rounds."""
-    at = {r["feature"]: r["p"] for r in fused(df, [row(feature=F.lit(c), p=F.percentile(num(c), F.array(*(F.lit(i / 200) for i in range(201))))) for c in cols]).collect()}
+def boruta(df: DataFrame, cols: Sequence[str], target: str, rounds: int = 20, trees: int = 20, seed: int = 42) -> DataFrame:
+    """Columns that beat the best shadow (the columns of permuted rows) in at least half of the rounds."""
     hits = dict.fromkeys(cols, 0)
+    held = checkpointed(filled(df.where(q(target).isNotNull()), cols).select(q(target), *(q(c) for c in cols)))
     for k in range(rounds):
-        shadows = {f"__shadow_{c}": F.get(F.array(*map(F.lit, at[c])), F.floor(F.rand(seed + 100 * k + i) * 201).cast("int")) for i, c in enumerate(cols)}
-        every = [*cols, *shadows]
-        data, task = assembled(df.withColumns(shadows), every, target)
+        every = [*cols, *(f"__p_{c}" for c in cols)]
+        data, task = assembled(permuted(held, cols, seed + 2 * k), every, target)
         weight = dict(zip(every, forest(task, trees, 7, seed + k).fit(data).featureImportances.toArray(), strict=True))
-        best = max(weight[s] for s in shadows)
+        best = max(weight[f"__p_{c}"] for c in cols)
         for c in cols:
             hits[c] += weight[c] > best
     return df.sparkSession.createDataFrame([(c, int(h), bool(h >= rounds / 2)) for c, h in hits.items()], "feature string, hits int, kept boolean")
@@ -314,7 +323,7 @@ def local_outliers(df: DataFrame, key: str, cols: Sequence[str], neighbours: int
 
 
 def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 0.5, least: int = 5) -> DataFrame:
-    """Noise and clusters of DBSCAN on standardised columns: row_key, is_core, cluster (least cell of its core cells; -1 noise).
+    """Noise and clusters of DBSCAN on standardised columns: row_key, is_core, cluster (a key of its component of core cells; -1 noise).
 
     Rows fall into grid cells of side eps / sqrt(dimensions), so rows of one cell are all neighbours: cells of least
     rows or more are core as a whole and never pair their rows. Other rows meet the rows of the cells around theirs.
@@ -334,21 +343,28 @@ def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 0.5, least
     asks = big.where("not full").select("row_key", "x", F.explode(F.transform(around, lambda s: F.zip_with("cell", s, lambda a, b: a + b))).alias("at"))
     met = asks.join(held.select(F.col("cell").alias("at"), F.col("x").alias("y")), "at")
     counts = met.where(near(F.col("x"), F.col("y"))).groupBy("row_key").agg(F.count("*").alias("k"))
-    core = big.join(counts, "row_key", "left").withColumn("is_core", F.col("full") | (F.coalesce("k", F.lit(0)) >= least)).select("row_key", "x", "cell", "is_core").persist()
+    core = big.join(counts, "row_key", "left").withColumn("is_core", F.col("full") | (F.coalesce("k", F.lit(0)) >= least)).select("row_key", "x", "cell", "is_core")
+    core = checkpointed(core)
     cores = core.where("is_core")
-    # cells that hold core rows are joined if two of their core rows are neighbours
-    ids = cores.select("cell").distinct().withColumn("id", F.xxhash64("cell"))
-    pairs = cores.select("cell", "x", F.explode(F.transform(around, lambda s: F.zip_with("cell", s, lambda a, b: a + b))).alias("at")).where("cell < at")
-    links = pairs.join(cores.select(F.col("cell").alias("at"), F.col("x").alias("y")), "at").where(near(F.col("x"), F.col("y"))).select(F.xxhash64("cell").alias("a"), F.xxhash64("at").alias("b")).distinct()
-    labels = ids.select("id", F.col("id").alias("label"))
-    edges = links.union(links.select("b", "a")).persist()
-    for _ in range(50):
-        best = edges.join(labels, F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg(F.min("label").alias("seen"))
-        new = checkpointed(labels.join(best, "id", "left").select("id", F.least("label", F.coalesce("seen", "label")).alias("label")))
-        same = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
-        labels = new
-        if same:
-            break
+    # cells that hold core rows are joined if two of their core rows are neighbours: the outermost rows of each cell are
+    # tried first, and all core rows only of cells that are still apart
+    ids = cores.select("cell", F.xxhash64("cell").alias("id")).distinct()
+    outer = F.array(*(f(F.col("x"), F.get(F.col("x"), F.lit(i))) for i in range(d) for f in (F.min_by, F.max_by)))
+    edge = cores.groupBy("cell").agg(F.array_distinct(outer).alias("xs")).select("cell", F.explode("xs").alias("x"))
+
+    def joined(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        side = rows if labels is None else rows.join(labels.withColumnRenamed("label", "mine"), F.xxhash64("cell") == F.col("id")).drop("id")
+        tried = side.withColumn("at", F.explode(F.transform(around, lambda s: F.zip_with("cell", s, lambda a, b: a + b)))).where("cell < at")
+        other = side.select(F.col("cell").alias("at"), F.col("x").alias("y"), *([] if labels is None else [F.col("mine").alias("its")]))
+        met = tried.join(other, "at").where(F.lit(True) if labels is None else F.col("mine") != F.col("its"))
+        return met.where(near(F.col("x"), F.col("y"))).select(F.xxhash64("cell").alias("a"), F.xxhash64("at").alias("b")).distinct()
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        roots = components(edges)
+        return checkpointed(ids.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("label")))
+
+    first = labelled(joined(edge, None))
+    labels = labelled(joined(cores, first).union(first.select("id", "label")))
     of_core = cores.join(labels, F.xxhash64("cell") == F.col("id")).select("row_key", F.lit(True).alias("is_core"), F.col("label").alias("cluster"))
     border = core.where("not is_core").select("row_key", "x", F.explode(F.transform(around, lambda s: F.zip_with("cell", s, lambda a, b: a + b))).alias("at"))
     hit = border.join(cores.select(F.col("cell").alias("at"), F.col("x").alias("y")), "at").where(near(F.col("x"), F.col("y"))).join(labels, F.xxhash64("at") == F.col("id")).groupBy("row_key").agg(F.min("label").alias("c"))
@@ -515,3 +531,51 @@ def shap_summary(values: DataFrame) -> DataFrame:
 
 def rank_by(df: DataFrame, score: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "feature")))
+
+
+def fold_score(df: DataFrame, cols: Sequence[str], target: str, folds: int = 5, trees: int = 20, seed: int = 42) -> float:
+    """Mean cross-validated score of a forest (accuracy, or R2 of a numeric target); folds by a hash of the row."""
+    data, task = assembled(df, cols, target)
+    data = checkpointed(data.select("features", "label", F.pmod(F.xxhash64(F.lit(seed), "label", vector_to_array("features")), F.lit(folds)).alias("__fold")))
+    got = []
+    for k in range(folds):
+        train, test = data.where(F.col("__fold") != k), data.where(F.col("__fold") == k)
+        if not test.isEmpty() and not train.isEmpty():
+            got.append(evaluator(task).evaluate(forest(task, trees).fit(train).transform(test)))
+    return float(np.mean(got)) if got else 0.0
+
+
+def removal_impact(df: DataFrame, cols: Sequence[str], target: str, suspects: Sequence[str], folds: int = 5, trees: int = 20) -> DataFrame:
+    """How the cross-validated score changes without each suspect: feature, baseline, score, change, change_pct, verdict."""
+    base, out = fold_score(df, cols, target, folds, trees), []
+    for c in (s for s in suspects if s in cols and len(cols) > 1):
+        score = fold_score(df, [x for x in cols if x != c], target, folds, trees)
+        change = base - score
+        out.append((c, base, score, change, change / abs(base) * 100 if base else 0.0, "likely leakage" if change > 0.1 else "probably fine"))
+    return df.sparkSession.createDataFrame(out, "feature string, baseline double, score double, change double, change_pct double, verdict string")
+
+
+def select_features(df: DataFrame, cols: Sequence[str], target: str, methods: Sequence[str] | None = None, keep: int | None = None, share: float = 0.5, rounds: int = 20, trees: int = 20) -> DataFrame:
+    """Runs selection methods and votes: feature, votes, methods (that keep it), selected.
+
+    methods: any of boruta, rfe, lasso, elastic_net, mrmr, variance, correlation (default: all but elastic_net). A feature
+    is selected if max(int(methods * share), 1) of them keep it.
+    """
+    keep = keep or max(1, len(cols) // 2)
+    names = lambda rows, test: [r["feature"] for r in rows.collect() if test(r)]
+    known = {
+        "boruta": lambda: names(boruta(df, cols, target, rounds, trees), lambda r: r["kept"]),
+        "rfe": lambda: names(recursive_elimination(df, cols, target, keep, trees), lambda r: r["ranking"] == 1),
+        "lasso": lambda: names(sparse_selection(df, cols, target), lambda r: r["kept"]),
+        "elastic_net": lambda: names(sparse_selection(df, cols, target, 0.5), lambda r: r["kept"]),
+        "mrmr": lambda: names(mrmr(df, cols, target, keep), lambda r: True),
+        "variance": lambda: names(variance_filter(df, cols), lambda r: r["kept"]),
+        "correlation": lambda: names(correlation_filter(df, cols), lambda r: r["kept"]),
+    }
+    chosen = list(methods or (m for m in known if m != "elastic_net"))
+    if unknown := [m for m in chosen if m not in known]:
+        raise ValueError(f"unknown methods {unknown}; expected some of {', '.join(known)}")
+    by = {m: known[m]() for m in chosen}
+    least = max(int(len(by) * share), 1)
+    rows = [(c, v := [m for m in by if c in by[m]]) for c in cols]
+    return df.sparkSession.createDataFrame([(c, len(v), v, len(v) >= least) for c, v in rows], "feature string, votes int, methods array<string>, selected boolean")

@@ -16,12 +16,20 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 17
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the cluster's shared checkpoint folder; a local one is named only where none is set."""
-    spark: SparkSession = df.sparkSession
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder that spark.checkpoint.dir names; a local one only where none is named and the master is local."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the cluster's shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -427,6 +427,33 @@ def leak_group_overlap(spark, d):
     return r6(leakage.group_overlap(*_split(spark, d), "o_custkey"))
 
 
+_WIDE = "o_orderkey, o_custkey, o_totalprice, o_totalprice * 2 + o_custkey % 7 AS leak, o_orderstatus"
+_TOLD = f"tr AS (SELECT {_WIDE} FROM orders WHERE o_orderkey % 5 <> 0), te AS (SELECT {_WIDE} FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 100 = 1)"
+
+
+@query("leak_detect_all", f"""WITH {_TOLD}, g AS (SELECT (SELECT count(DISTINCT o_custkey) FROM te) AS n, (SELECT count(DISTINCT o_custkey) FROM te WHERE o_custkey IN (SELECT o_custkey FROM tr)) AS k)
+SELECT 'train_test_contamination' AS type, 'critical' AS severity, '' AS features WHERE EXISTS (SELECT 1 FROM te JOIN tr USING (o_orderkey, o_custkey, o_totalprice, o_orderstatus))
+UNION ALL SELECT 'group_leakage', CASE WHEN k / n * 100 <= 20 THEN 'medium' WHEN k / n * 100 <= 50 THEN 'high' ELSE 'critical' END, 'o_custkey' FROM g WHERE k > 0
+UNION ALL SELECT 'target_leakage', 'critical', c FROM (""" + union(f"SELECT '{c}' AS c, corr({c}, o_totalprice) AS r FROM tr" for c in ("o_orderkey", "o_custkey", "leak")) + ") WHERE abs(r) >= 0.95")
+def leak_detect_all(spark, d):
+    train, test = (x.selectExpr(*_WIDE.split(", ")) for x in _split(spark, d))
+    found = leakage.detect_all(train, test, "o_totalprice", "o_custkey")
+    return found.select("type", "severity", F.array_join("features", ",").alias("features"))
+
+
+_SHIFT = {"o_custkey": "o_custkey", "o_totalprice": "o_totalprice * 1.2", "month": "month(o_orderdate)"}
+
+
+@query("leak_shift_ranked", "WITH " + ", ".join(f"""{c}_u AS (SELECT {'month(o_orderdate)' if c == 'month' else c} AS x, 1 AS b, 0 AS c FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT {e}, 0, 1 FROM orders WHERE o_orderkey % 5 = 0),
+{c}_g AS (SELECT x, sum(b) AS b, sum(c) AS c FROM {c}_u GROUP BY x), {c}_n AS (SELECT sum(b) AS n, sum(c) AS m FROM {c}_g),
+{c}_k AS (SELECT max(abs(d)) AS d FROM (SELECT sum(b) OVER (ORDER BY x) / n - sum(c) OVER (ORDER BY x) / m AS d FROM {c}_g, {c}_n))""" for c, e in _SHIFT.items()) + "\nSELECT feature, round(d, 6) AS ks_stat, row_number() OVER (ORDER BY d DESC, feature) AS rank FROM (" + union(f"SELECT '{c}' AS feature, d, d * sqrt(n * m / (n + m)) AS t FROM {c}_k, {c}_n" for c in _SHIFT) + ") WHERE t > 1.949474")
+def leak_shift_ranked(spark, d):
+    o = read_table(spark, d, "orders")
+    train = o.where("o_orderkey % 5 <> 0").selectExpr("o_custkey", "o_totalprice", "month(o_orderdate) AS month")
+    test = o.where("o_orderkey % 5 = 0").selectExpr(*(f"{e} AS {c}" for c, e in _SHIFT.items()))
+    return r6(leakage.ranked_shift(train, test, list(_SHIFT))).select("feature", "ks_stat", F.col("rank").cast("long").alias("rank"))
+
+
 @query("leak_perfect_corr", "SELECT feature_1, feature_2, round(r, 6) AS r, CASE WHEN abs(r) >= 0.99 THEN 'Critical' ELSE 'High' END AS severity FROM (" + union(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, corr({a}, {b}) AS r FROM {_RED_SQL}" for a, b in combinations(REDUNDANT, 2)) + ") WHERE abs(r) >= 0.95")
 def leak_perfect_corr(spark, d):
     return r6(leakage.perfect_correlations(_redundant(spark, d), REDUNDANT))
