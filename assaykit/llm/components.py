@@ -1,9 +1,4 @@
-"""Connected components of a distributed edge list, by alternating large and small stars.
-
-Each step sends every node's neighbours to the smallest node it knows, with joins and minimum aggregates only: no list
-of a node's neighbours is ever built. Edges are written to the shared checkpoint folder after each round, so neither
-the plan nor the loss of an executor grows with the rounds.
-"""
+"""Components of what is similar among the members of common lists."""
 
 from __future__ import annotations
 
@@ -12,47 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.graph import components
 from .common import cut
 
 #: Lists of more members than this count as long.
 DENSE = 32
 
-
-def _large(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    """Every node and its smaller neighbours are linked to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """The root (smallest node) of each node that has an edge: node, root.
-
-    edges: two columns of longs. Repeated edges, edges in both directions and loops are fine; no edges give no rows.
-    """
-    a, b = edges.columns
-    now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    last = mark(now)
-    for _ in range(max_rounds):
-        if not last[0]:
-            break
-        now = cut(_small(_large(now)))
-        at = mark(now)
-        if at == last:
-            break
-        last = at
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+__all__ = ["components", "linked"]
 
 
 def linked(lists: DataFrame, fits: Callable[[str, str], Column], common: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], families: Callable[[DataFrame], DataFrame] | None = None, dense: int = DENSE) -> DataFrame:

@@ -23,7 +23,7 @@ from .textnp import mixed, slices
 #: Orders of n-grams; spaces mark the borders of words.
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
-#: About so many labelled rows are learned from, drawn by a hash of the id, and so many letters of a text at most count.
+#: About so many labelled rows are learned from, drawn by a hash of the id.
 MAX_LABELLED = 20_000
 SMOOTHING = 0.5
 #: The score is the posterior as if a text had at most so many n-grams, as they are not independent.
