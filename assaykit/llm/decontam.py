@@ -21,8 +21,8 @@ from .common import cut, table
 WINDOW = 10
 #: A proximity match: words that a term may be off its place, and the share of a window (of NEAR_WORDS at least) to be near.
 SLACK, NEAR_PCT, NEAR_WORDS = 2, 80, 5
-#: Terms of a window that are looked up; one would do for phrases, but a passage may lack it.
-ANCHORS = 2
+#: Terms of a window that are looked up for proximity; one does for phrases, but a changed passage may lack it.
+NEAR_ANCHORS = 2
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The term filter has 2^FILTER_BITS bits.
@@ -70,11 +70,11 @@ def item_places(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     )
 
 
-def anchors(places: DataFrame, counts: DataFrame) -> DataFrame:
-    """The terms by which windows are looked up: of each, the ANCHORS rarest that occur at all (ties: the term itself decides)."""
+def anchors(places: DataFrame, counts: DataFrame, many: int = 1) -> DataFrame:
+    """The terms by which windows are looked up: of each, so many of the rarest that occur at all (ties: the term itself decides)."""
     weighed = places.join(counts, "term").select("row", "n", "at", F.when(F.col("df") > 0, F.struct("df", "term")).alias("rank"))
     ahead = Window.partitionBy("row").orderBy("at").rowsBetween(0, WINDOW - 1)
-    first = weighed.withColumn("rarest", F.slice(F.array_sort(F.collect_set("rank").over(ahead)), 1, ANCHORS))
+    first = weighed.withColumn("rarest", F.slice(F.array_sort(F.collect_set("rank").over(ahead)), 1, many))
     return first.where((F.col("at") + WINDOW <= F.col("n")) | (F.col("at") == 0)).select(F.explode("rarest.term").alias("term")).distinct()
 
 
@@ -110,30 +110,33 @@ def _close(n: Column) -> Column:
     return (n >= NEAR_WORDS) & F.exists(starts, enough)
 
 
-def matches(index: DataFrame, places: DataFrame, small: bool) -> DataFrame:
-    """Phrase and proximity matches: one row for each posting and item place whose surroundings hold a window.
+def matches(index: DataFrame, places: DataFrame, small: bool, near: bool = False) -> DataFrame:
+    """Phrase matches, and proximity matches if near: one row for each posting and item place whose surroundings hold a window.
 
-    Columns: doc, of, item, from, to (positions from 1; of the exact phrase, null where there is none), near. A term with
-    very many postings is met by broadcast, or joined sorted, so that adaptive execution splits it.
+    Columns: doc, of, item, from, to (positions from 1 of the exact phrase; null where there is none). A term with very
+    many postings is met by broadcast, or joined sorted, so that adaptive execution splits it.
     """
     rows = index.select("doc", "of", F.explode("postings").alias("p")).select("doc", "of", "p.*")
     named = places.select("item", "n", F.col("at").alias("item_at"), "term", F.col("left").alias("item_left"), F.col("right").alias("item_right"))
     met = rows.join(F.broadcast(named) if small else named, "term")
-    met = met.select(
-        "doc", "of", "item", "n", "item_at", "at", _agree(F.col("left"), F.col("item_left")).alias("l"), _agree(F.col("right"), F.col("item_right")).alias("r"),
-        _near(F.col("item_left"), F.col("left")).alias("near_left"), _near(F.col("item_right"), F.col("right")).alias("near_right"),
-    )
+    met = met.withColumns({"l": _agree(F.col("left"), F.col("item_left")), "r": _agree(F.col("right"), F.col("item_right"))})
     whole = (F.col("n") < WINDOW) & (F.col("l") == F.col("item_at")) & (F.col("r") == F.col("n") - 1 - F.col("item_at"))
     phrase = (F.col("l") + F.col("r") + 1 >= WINDOW) | whole
-    found = met.select("doc", "of", "item", F.when(phrase, F.col("at") - F.col("l")).alias("from"), F.when(phrase, F.col("at") + F.col("r")).alias("to"), (phrase | _close(F.col("n"))).alias("near"))
-    return found.where(F.col("from").isNotNull() | F.col("near"))
+    out = ["doc", "of", "item", F.when(phrase, F.col("at") - F.col("l")).alias("from"), F.when(phrase, F.col("at") + F.col("r")).alias("to")]
+    if not near:
+        return met.where(phrase).select(*out)
+    # a window with enough near words lacks few of its words altogether, which is cheap to tell
+    item_side, side = F.concat("item_left", "item_right"), F.concat("left", "right")
+    may = F.size(F.array_except(item_side, side)) * 100 <= (F.size(item_side) + 1) * 100 - F.least("n", F.lit(WINDOW)) * NEAR_PCT
+    sides = {"near_left": _near(F.col("item_left"), F.col("left")), "near_right": _near(F.col("item_right"), F.col("right"))}
+    return met.where(phrase | may).withColumns(sides).where(phrase | _close(F.col("n"))).select(*out)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", near: bool = False) -> DataFrame:
     """Which words of each document lie in a window of a benchmark item.
 
-    Returns one row a document: doc_id, n_words, n_hit, items (those with an exact phrase, sorted as strings), near_items
-    (those with a phrase or a proximity match). An item of fewer words than a window
+    Returns one row a document: doc_id, n_words, n_hit, items (those with an exact phrase, sorted as strings) and, if near
+    is asked for, near_items (those with a phrase or a proximity match). An item of fewer words than a window
     is one window; items and texts that are null or without words match nothing; items that share an id count as one, each with
     its own windows. Rows that repeat an id are told apart
     by a hash of the text, and equal rows get equal results; empty tables give an empty result or no hits. Only the
@@ -145,10 +148,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     split = docs.select(words(F.col(text_col)).alias("w"))
     found = split.select(F.explode(F.transform(_places(F.col("w"), vocabulary), lambda i: F.element_at(F.col("w"), i))).alias("term"))
     counts = terms.join(found.groupBy("term").agg(F.count("*").alias("df")), "term")
-    chosen = cut(anchors(places, terms.join(counts, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))))
+    chosen = cut(anchors(places, terms.join(counts, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df")), NEAR_ANCHORS if near else 1))
     known = cut(places.join(chosen, "term", "left_semi"))
     index = cut(positional_index(docs, _filter(chosen), id_col, text_col))
-    hits = matches(index, known, known.count() <= BROADCAST_PLACES)
+    hits = matches(index, known, known.count() <= BROADCAST_PLACES, near)
     spans = hits.groupBy("doc", "of", "item").agg(F.collect_set(F.when(F.col("from").isNotNull(), F.struct("from", "to"))).alias("spans"))
     per_doc = spans.groupBy("doc", "of").agg(
         F.array_sort(F.collect_set(F.when(F.size("spans") > 0, F.col("item").cast("string")))).alias("items"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("near_items"),
@@ -156,7 +159,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
     left, right = index.select("doc", "of", "n_words").alias("a"), per_doc.alias("b")
     joined = left.join(right, F.col("a.doc").eqNullSafe(F.col("b.doc")) & (F.col("a.of") == F.col("b.of")), "left")
-    return joined.select(F.col("a.doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), *(F.coalesce(c, F.expr("cast(array() as array<string>)")).alias(c) for c in ("items", "near_items")))
+    return joined.select(F.col("a.doc").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), *(F.coalesce(c, F.expr("cast(array() as array<string>)")).alias(c) for c in ("items", *(["near_items"] if near else []))))
 
 
 def op10_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

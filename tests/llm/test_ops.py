@@ -500,7 +500,7 @@ def test_proximity_matches(spark):
         near[i] = i % 4 < 3
     texts |= {20: "so one two three for five six then", 21: None, 22: "nothing of it"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
-    got = rows(decontam.decontaminate(docs, spark.createDataFrame(list(items.items()), "item_id int, text string")))
+    got = rows(decontam.decontaminate(docs, spark.createDataFrame(list(items.items()), "item_id int, text string"), near=True))
     for i, t in texts.items():
         assert set(got[i]["items"]) <= set(got[i]["near_items"]) <= plain_near(t or "", items) | set(got[i]["items"]), i
     assert sum(str(i) in got[i]["near_items"] for i in range(20) if near[i]) >= 14  # those that keep one of the two rarest words
