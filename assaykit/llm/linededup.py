@@ -10,7 +10,8 @@ Everything is expressions. A line is cut into pieces of PIECE windows by an expl
 columns that stay in generated code; minima over a class are partial aggregates. Members of a band's list meet its first
 member only, so a large group of copies costs one pair a member. Lists that still hold several components are taken
 further: short ones by pairs across components, long ones by further bands within the list, so that no list is ever
-paired as a whole.
+paired as a whole. Pairs across components are compared by sketches, the lowest bits of further minima, where they meet;
+only those that may be similar leave the join, for the exact check.
 """
 
 from __future__ import annotations
@@ -37,21 +38,59 @@ STEPS = (((0, 1, 4),), ((0, 1, 3, 4, 8), (0, 1, 5, 6, 7), (0, 2, 8, 9, 10)))
 #: Lists of more members are not paired at the first level.
 LONG = 64
 
-MASKS = [int.from_bytes(hashlib.sha256(f"line {i}".encode()).digest()[:8], "big", signed=True) for i in range(MINIMA)]
+#: Groups of 16 bits in the sketches of each level, and bytes of a line from which it is sketched.
+SKETCH, SKETCHED = (8, 32), 100
+#: Members of a list compared in one task.
+SLICE = 2_048
 
+MASKS = [int.from_bytes(hashlib.sha256(f"line {i}".encode()).digest()[:8], "big", signed=True) for i in range(max(MINIMA, 16))]
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """key and the minima m0, m1, ... of each class of lines (key, line)."""
+
+def _windows(lines: DataFrame, piece: int) -> DataFrame:
+    """key and the hashes h0, h1, ... of a piece of the windows of its line, a row for each piece."""
     windows = F.greatest(F.octet_length("b") - (SHINGLE - 1), F.lit(1))
     whole = lines.select("key", F.col("line").cast("binary").alias("b")).select("key", "b", windows.alias("n"))
-    pieces = whole.select("key", "b", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / PIECE).cast("int"))).alias("c"))
+    pieces = whole.select("key", "b", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / piece).cast("int"))).alias("c"))
     # a last piece repeats its last window, which changes no minimum
-    places = [F.least(F.col("c") * PIECE + (j + 1), F.col("n")) for j in range(PIECE)]
-    hashed = pieces.select("key", *(F.xxhash64(F.substr("b", at, F.lit(SHINGLE))).alias(f"h{j}") for j, at in enumerate(places)))
-    least = hashed.select("key", *(F.shiftright(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(m)) for j in range(PIECE))), 32).cast("int").alias(f"m{i}") for i, m in enumerate(MASKS)))
+    places = [F.least(F.col("c") * piece + (j + 1), F.col("n")) for j in range(piece)]
+    return pieces.select("key", *(F.xxhash64(F.substr("b", at, F.lit(SHINGLE))).alias(f"h{j}") for j, at in enumerate(places)))
+
+
+def _least(i: int, piece: int) -> Column:
+    """The i-th minimum of a piece: its hashes in the order that a mask gives them."""
+    return F.shiftright(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(MASKS[i])) for j in range(piece))), 32).cast("int").alias(f"m{i}")
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """key and the minima m0, m1, ... of each class of lines (key, line)."""
+    least = _windows(lines, PIECE).select("key", *(_least(i, PIECE) for i in range(MINIMA)))
     return least.groupBy("key").agg(*(F.min(f"m{i}").alias(f"m{i}") for i in range(MINIMA)))
 
 
+def sketches(lines: DataFrame, groups: int) -> DataFrame:
+    """key and the words w0, w1, ... of the sketch of each line of SKETCHED bytes or more.
+
+    A sketch has 16 bits a group: the lowest bits of minima under 16 masks, the windows hashed anew for each group. Two lines
+    of similarity s differ in a bit with a probability of (1 - s) / 2.
+    """
+    piece, bits = 4, 16
+    hashed = _windows(lines.where(F.octet_length("line") >= SKETCHED), piece)
+    dealt = hashed.select("key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), *(f"h{j}" for j in range(piece)))
+    anew = dealt.select("key", "g", *(F.xxhash64("g", f"h{j}").alias(f"h{j}") for j in range(piece)))
+    least = anew.select("key", "g", *(_least(i, piece) for i in range(bits))).groupBy("key", "g").agg(*(F.min(f"m{i}").alias(f"m{i}") for i in range(bits)))
+    word = sum((F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(1)).cast("long"), i) for i in range(bits)), F.lit(0).cast("long"))
+    placed = least.select("key", "g", word.alias("w"))
+    # four groups make a word
+    part = lambda w, i: F.max(F.when(F.col("g") == w * 4 + i, F.shiftleft("w", 16 * i)))
+    return placed.groupBy("key").agg(*(part(w, 0).bitwiseOR(part(w, 1)).bitwiseOR(part(w, 2)).bitwiseOR(part(w, 3)).alias(f"w{w}") for w in range(groups // 4)))
+
+
+def differing(groups: int) -> int:
+    """Bits in which two lines of the least similarity may differ: two and a half deviations above the mean (0.6 % differ in more)."""
+    bits, chance = groups * 16, (1 - NUM / DEN) / 2
+    return int(bits * chance + 2.5 * (bits * chance * (1 - chance)) ** 0.5)
+
+
 def _bands(level: int) -> Column:
     """The grams of all bands of a level, each with the number of its band."""
     chosen = [[f"m{(i + s) % MINIMA}" for s in steps] for steps in STEPS[level] for i in range(MINIMA)]
@@ -79,22 +118,44 @@ def verify(pairs: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN) -
 
     A hot key is joined sorted, so that adaptive execution splits it.
     """
-    side = lambda key, name: texts.select(F.col("key").alias(key), F.struct("line", *(f"m{i}" for i in range(MINIMA))).alias(name))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    alike = sum((F.col(f"x.m{i}") == F.col(f"y.m{i}")).cast("int") for i in range(MINIMA))
-    # exploded, so that the sets are made once and not again in each place that refers to them
-    sets = both.where(alike >= LEAST_ALIKE).select("a", "b", F.explode(F.array(F.struct(_shingles(F.col("x.line")).alias("x"), _shingles(F.col("y.line")).alias("y")))).alias("s"))
-    return sets.where(F.size(F.array_intersect("s.x", "s.y")) * den >= F.size(F.array_union("s.x", "s.y")) * num).select("a", "b")
-
-
-def _across(opened: DataFrame) -> DataFrame:
-    """Pairs of different components within lists, but for those of two members of a list's largest component."""
-    major = opened.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
-    marked = opened.join(major, "gram").withColumn("minor", F.col("comp") != F.col("major"))
-    minor = marked.where("minor").select("gram", F.col("key").alias("k2"), F.col("comp").alias("comp2"))
+    minima = [f"m{i}" for i in range(MINIMA)]
+    y = texts.select(F.col("key").alias("b"), F.struct("line", *minima).alias("y"))
+    # the set of a pair's first line is made once for all its pairs, that of the second in the last join
+    firsts = texts.join(broadcast_if_small(pairs.select(F.col("a").alias("key")).distinct()), "key", "left_semi")
+    x = firsts.select(F.col("key").alias("a"), F.array_distinct(_shingles(F.col("line"))).alias("set"), F.struct(*minima).alias("x"))
+    both = pairs.join(y, "b").join(x, "a")
+    alike = sum((F.col(f"x.{m}") == F.col(f"y.{m}")).cast("int") for m in minima)
+    # exploded, so that the set is made once and not again in each place that refers to it
+    sets = both.where(alike >= LEAST_ALIKE).select("a", "b", "set", F.explode(F.array(F.array_distinct(_shingles(F.col("y.line"))))).alias("other"))
+    shared = sets.select("a", "b", (F.size("set") + F.size("other")).alias("n"), F.size(F.array_intersect("set", "other")).alias("c"))
+    return shared.where(F.col("c") * den >= (F.col("n") - F.col("c")) * num).select("a", "b")
+
+
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of lists that hold several components: gram, key, c, comp."""
+    placed = lists.where(F.col("c") > 2).join(broadcast_if_small(roots), F.col("key") == F.col("node"), "left").select("gram", "key", "c", F.coalesce("root", "key").alias("comp"))
+    several = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("gram")
+    return cut(placed.join(broadcast_if_small(several), "gram", "left_semi"))
+
+
+def _across(opened: DataFrame, marks: DataFrame, groups: int, nearest: bool = False) -> DataFrame:
+    """Pairs of different components within lists, but for those of two members of a list's largest component.
+
+    marks: sketches of the members. Pairs whose sketches differ too much are left out; with nearest, each member outside a
+    largest component comes with the one whose sketch is the most like its own only. A long list is dealt to slices, and
+    each minor member meets them all.
+    """
+    words = [f"w{w}" for w in range(groups // 4)]
+    major = opened.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), (F.sum("count") / SLICE).cast("int").alias("slices"))
+    marked = cut(opened.join(broadcast_if_small(major), "gram").join(marks, "key", "left").withColumn("minor", F.col("comp") != F.col("major")))
+    dealt = marked.withColumn("slice", F.pmod("key", F.col("slices") + 1).cast("int"))
+    minor = marked.where("minor").select("gram", F.explode(F.sequence(F.lit(0), "slices")).alias("slice"), F.col("key").alias("k2"), F.col("comp").alias("comp2"), *(F.col(w).alias(f"{w}_2") for w in words))
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_2"))) for w in words), F.lit(0))
     # of two minor members the smaller key is taken on the left, so a pair comes once a list
-    met = marked.join(minor, "gram").where((F.col("comp") != F.col("comp2")) & (~F.col("minor") | (F.col("key") < F.col("k2"))))
-    return met.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b"))
+    met = dealt.join(minor, ["gram", "slice"]).where((F.col("comp") != F.col("comp2")) & (~F.col("minor") | (F.col("key") < F.col("k2"))) & F.coalesce(apart <= differing(groups), F.lit(True)))
+    if nearest:
+        met = met.groupBy("k2").agg(F.min_by("key", F.coalesce(apart, F.lit(0))).alias("key"))
+    return met.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct()
 
 
 def linked_lines(named: DataFrame, num: int = NUM, den: int = DEN, long: int = LONG) -> DataFrame:
@@ -111,15 +172,21 @@ def linked_lines(named: DataFrame, num: int = NUM, den: int = DEN, long: int = L
     roots, pending = None, None
     for level in range(len(STEPS)):
         stars = lists.where(F.col("key") != F.col("head")).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-        edges = verify(stars if roots is None else _apart(stars, roots), texts, num, den)
+        edges = verify(cut(stars) if roots is None else cut(_apart(stars, roots)), texts, num, den)
         if roots is not None:
             edges = edges.union(roots.select("node", "root")).union(verify(pending, texts, num, den))
         roots = components(edges)
-        placed = lists.where(F.col("c") > 2).join(broadcast_if_small(roots), F.col("key") == F.col("node"), "left").select("gram", "key", "c", F.coalesce("root", "key").alias("comp"))
-        several = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("gram")
-        opened = cut(placed.join(broadcast_if_small(several), "gram", "left_semi"))
+        opened = _open(lists, roots)
         last = level == len(STEPS) - 1
-        pending = cut(_across(opened if last else opened.where(F.col("c") <= long)).distinct().join(stars, ["a", "b"], "left_anti"))
+        paired = opened if last else opened.where(F.col("c") <= long)
+        members = broadcast_if_small(paired.select("key").distinct())
+        marks = cut(sketches(texts.join(members, "key", "left_semi"), SKETCH[level]))
+        if last:
+            # most members of a crowd find their component by one pair, so that few are left to meet all
+            near = cut(_across(paired, marks, SKETCH[level], nearest=True))
+            roots = components(verify(near, texts, num, den).union(roots.select("node", "root")))
+            paired = _open(paired, roots)
+        pending = cut(_across(paired, marks, SKETCH[level]).join(stars, ["a", "b"], "left_anti"))
         crowd = opened.where(F.col("c") > long).select("key").distinct()
         if last or crowd.isEmpty():
             break
