@@ -40,6 +40,8 @@ LONG = 64
 
 #: Groups of 16 bits in the sketches of each level, and bytes of a line from which it is sketched.
 SKETCH, SKETCHED = (8, 32), 100
+#: Bytes of lines or sets that are broadcast for the exact check; more of them are shuffled.
+BROADCAST_BYTES = 32 << 20
 #: Members of a list compared in one task.
 SLICE = 2_048
 
@@ -113,17 +115,25 @@ def _shingles(line: Column) -> Column:
     return F.get(F.transform(F.array(F.encode(line, "UTF-32")), lambda p: F.transform(at(p), lambda i: F.xxhash64(F.substr(p, i, F.lit(4 * SHINGLE))))), F.lit(0))
 
 
+def _few(texts: DataFrame, times: int) -> bool:
+    """Whether so many times the bytes of the texts, and their minima, are few enough for a broadcast."""
+    size = F.sum(F.octet_length("line") * F.lit(times).cast("long") + 16 * MINIMA)
+    return (texts.agg(size).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def verify(pairs: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """The pairs (a, b) of keys whose lines have a similarity of num/den or more; texts: key, line and minima.
 
     A hot key is joined sorted, so that adaptive execution splits it.
     """
     minima = [f"m{i}" for i in range(MINIMA)]
-    y = texts.select(F.col("key").alias("b"), F.struct("line", *minima).alias("y"))
+    seconds = texts.join(broadcast_if_small(pairs.select(F.col("b").alias("key")).distinct()), "key", "left_semi")
+    y = seconds.select(F.col("key").alias("b"), F.struct("line", *minima).alias("y"))
     # the set of a pair's first line is made once for all its pairs, that of the second in the last join
     firsts = texts.join(broadcast_if_small(pairs.select(F.col("a").alias("key")).distinct()), "key", "left_semi")
     x = firsts.select(F.col("key").alias("a"), F.array_distinct(_shingles(F.col("line"))).alias("set"), F.struct(*minima).alias("x"))
-    both = pairs.join(y, "b").join(x, "a")
+    # a set takes eight bytes a character
+    both = pairs.join(F.broadcast(y) if _few(seconds, 1) else y, "b").join(F.broadcast(x) if _few(firsts, 8) else x, "a")
     alike = sum((F.col(f"x.{m}") == F.col(f"y.{m}")).cast("int") for m in minima)
     # exploded, so that the set is made once and not again in each place that refers to it
     sets = both.where(alike >= LEAST_ALIKE).select("a", "b", "set", F.explode(F.array(F.array_distinct(_shingles(F.col("y.line"))))).alias("other"))
