@@ -2,8 +2,8 @@
 
 Features are the distinct word 1- and 2-grams of a text, hashed to 2^BUCKET_BITS coordinates, each worth
 ``log(1 + count)``, scaled to length 1, plus a bias. Training takes the features of a bounded sample of labelled texts
-to the driver and runs FTRL-proximal in small batches; scoring sends the weights to the executors and takes sparse dot
-products there.
+to the driver, bounded in texts and in features, and runs FTRL-proximal in small batches; scoring sends the weights to
+the executors and takes sparse dot products there.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 from .langid import bounded_sample, id_remainder
 from .textnp import FOLD, mixed, segment_hashes, slices
 
 BUCKET_BITS = 18
 #: About so many labelled texts are learned from, drawn by a hash of the id.
 MAX_LABELLED = 6_000
+#: The texts learned from have so many features in all at most (12 bytes each on the driver); a text that does not fit is passed over.
+MAX_FEATURES = 20_000_000
 #: Passes over the sample: at least MIN_EPOCHS, and as many as make MIN_STEPS examples when it is small.
 MIN_EPOCHS, MIN_STEPS, BATCH = 3, 24_000, 16
 #: FTRL-proximal: learning rate, its offset, and the strengths of the two penalties.
@@ -113,13 +115,32 @@ def extract(rows: DataFrame, text_col: str, extra: list[str]) -> DataFrame:
     return rows.select(*extra, F.col(text_col).alias("__text")).mapInArrow(run, f"{fields}, buckets array<int>, vals array<float>")
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", batch: int = BATCH) -> np.ndarray:
+def _beyond(held: DataFrame, most: int) -> list[int]:
+    """Order hashes of the texts to pass over so that the features number at most most."""
+    if (held.agg(F.sum(F.size("buckets"))).first()[0] or 0) <= most:
+        return []
+    total, over = 0, []
+    for o, k in held.groupBy("__o").agg(F.sum(F.size("buckets"))).orderBy("__o").toLocalIterator():
+        if total + k > most:
+            over.append(o)
+        else:
+            total += k
+    return over
+
+
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", batch: int = BATCH, max_features: int = MAX_FEATURES) -> np.ndarray:
     """Weights learned from labelled rows (a bounded number), taken in the order of a hash of the id; the last is the bias.
 
-    Labels are 0 or 1; rows with a null label are left out; without rows all weights are 0.
+    Labels are 0 or 1; rows with a null label are left out; without rows all weights are 0. An id that repeats counts
+    once, with the text of the greatest hash. In that order, texts are passed over that would take the features beyond
+    max_features.
     """
     rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y"), F.col(text_col).alias("__t"))
-    got = extract(rows, "__t", ["__id", "__y"]).withColumn("__o", F.xxhash64("__id", F.lit("order"))).toArrow().sort_by([("__o", "ascending"), ("__id", "ascending")]).combine_chunks()
+    one = rows.groupBy("__id").agg(F.max(F.struct(F.xxhash64("__t").alias("h"), "__y", "__t")).alias("r")).select("__id", "r.__y", "r.__t")
+    held = cut(extract(one, "__t", ["__id", "__y"]).withColumn("__o", F.xxhash64("__id", F.lit("order"))))
+    over = _beyond(held, max_features)
+    kept = held.where(~F.col("__o").isin(over)) if over else held
+    got = kept.toArrow().sort_by([("__o", "ascending"), ("__id", "ascending")]).combine_chunks()
     model = Ftrl()
     n = got.num_rows
     if not n:

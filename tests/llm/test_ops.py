@@ -1,6 +1,7 @@
 """Corpus operators against plain versions, on edge cases and on held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 import sys
@@ -181,6 +182,55 @@ def test_quality_edges(edge, empty):
     assert not quality.train(empty.withColumn("label", F.lit(1))).any()
 
 
+def test_training_is_bounded_in_features_and_counts_an_id_once(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(6_000)]
+    rows = [(i, " ".join(words[50 * i : 50 * i + 50]), i % 2) for i in range(40)]
+    long = [(100, " ".join(words), 1)]
+    kinds = "doc_id long, text string, label int"
+    bounded = quality.train(spark.createDataFrame(rows + long, kinds), max_features=5_000)
+    assert bounded.any() and np.array_equal(bounded, quality.train(spark.createDataFrame(rows + rows[:3], kinds)))
+    assert not np.array_equal(bounded, quality.train(spark.createDataFrame(rows + long, kinds)))
+
+
+def test_scores_match_a_plain_version(spark):
+    """The learner and the scores, one example and one coordinate at a time in plain Python."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(0, 9))), i % 3 // 2) for i in range(48)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = {r["doc_id"]: r["score"] for r in quality.predict(df, quality.train(df)).collect()}
+    order = [r["doc_id"] for r in df.orderBy(F.xxhash64("doc_id", F.lit("order"))).collect()]
+    shown = {}
+    for i, t, _ in rows:
+        words = t.split()
+        pairs = ["same" if a == b else a + " " + b for a, b in zip(words, words[1:])]
+        counts = Counter([*words, *pairs])
+        values = {g: math.log1p(n) for g, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in values.values()))
+        shown[i] = {**{g: v / norm for g, v in values.items()}, None: 1.0}
+    z, n = Counter(), Counter()
+
+    def weight(g):
+        l1, l2 = (0.0, 0.0) if g is None else (quality.L1, quality.L2)
+        return 0.0 if abs(z[g]) <= l1 else -(z[g] - math.copysign(l1, z[g])) / ((quality.BETA + math.sqrt(n[g])) / quality.ALPHA + l2)
+
+    def p(x):
+        return 1 / (1 + math.exp(-sum(weight(g) * v for g, v in x.items())))
+
+    for _ in range(-(-quality.MIN_STEPS // len(rows))):
+        for a in range(0, len(order), quality.BATCH):
+            steps = Counter()
+            for i in order[a : a + quality.BATCH]:
+                gap = p(shown[i]) - rows[i][2]
+                for g, v in shown[i].items():
+                    steps[g] += gap * v
+            for g, d in steps.items():
+                w, more = weight(g), n[g] + d * d
+                z[g] += d - (math.sqrt(more) - math.sqrt(n[g])) / quality.ALPHA * w
+                n[g] = more
+    assert all(abs(got[i] - p(shown[i])) < 1e-3 for i in got)
+
+
 # --- 6 -----------------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
