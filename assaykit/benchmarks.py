@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from .columns import normalise_missing
+
 
 def _base(n: int, k: int, seed: int) -> pd.DataFrame:
     rng = np.random.default_rng(seed)
@@ -68,7 +70,7 @@ def generate(name: str) -> tuple[pd.DataFrame, dict]:
 
 def table(spark: SparkSession, name: str) -> tuple[DataFrame, dict]:
     df, truth = generate(name)
-    return spark.createDataFrame(df), truth
+    return normalise_missing(spark.createDataFrame(df)), truth
 
 
 def score(found: set, true: set) -> dict[str, float]:

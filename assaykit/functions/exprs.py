@@ -30,15 +30,6 @@ def kurtosis(c: Column) -> Column:
     return F.when((n >= 4) & (F.var_pop(c) == 0), 0.0).otherwise(adjusted)
 
 
-def quantiles(c: Column, *points: float) -> Column:
-    """Exact quantiles with linear interpolation, as an array."""
-    return F.percentile(c, F.array(*map(F.lit, points)))
-
-
-def median(c: Column) -> Column:
-    return F.percentile(c, 0.5)
-
-
 def pct(part: Column, whole: Column) -> Column:
     return F.coalesce(div(part, whole) * 100, F.lit(0.0))
 

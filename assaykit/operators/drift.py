@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..columns import num, q
 from ..functions.distributions import chi2_sf, ks_sf
-from ..functions.exprs import div, ladder, median
+from ..functions.exprs import div, ladder
 from ..plans.fuse import fused, long_values, row
 from ..plans.ordering import bucket_of, prefix_sums
+from ..plans.ranks import Histogram, exact_quantiles
 
 EPS = 1e-10
 
@@ -42,8 +43,7 @@ def psi(baseline: DataFrame, current: DataFrame, column: str, bins: int = 10) ->
     """Population stability index over quantile bins of the baseline, closed on the right, widened to hold both sides."""
     held = tagged(baseline, current, [column]).select(num(column).alias("x"), "__side").where("x is not null")
     in_base = F.when(F.col("__side") == "baseline", F.col("x"))
-    r = held.agg(F.percentile(in_base, F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("e"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    edges = sorted(set(r["e"]))
+    edges = sorted(set(exact_quantiles(held.select(in_base.alias("x")), ["x"], [i / bins for i in range(bins + 1)])["x"]) - {None})
     inner = edges[1:-1]
     full = _histogram(held, bucket_of(F.col("x"), inner), len(inner) + 1)
     p, c = div(F.col("base"), F.col("nb")) + EPS, div(F.col("cur"), F.col("nc")) + EPS
@@ -109,7 +109,9 @@ def category_changes(baseline: DataFrame, current: DataFrame, column: str) -> Da
 
 def side_stats(baseline: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFrame:
     both = tagged(baseline, current, cols).withColumnRenamed("__side", "side")
-    return fused(both, [row(feature=F.lit(c), n=F.count(num(c)), mean=F.avg(num(c)), std=F.stddev_samp(num(c)), median=median(num(c)), min_value=F.min(num(c)), max_value=F.max(num(c))) for c in cols], by=["side"])
+    sums = fused(both, [row(feature=F.lit(c), n=F.count(num(c)), mean=F.avg(num(c)), std=F.stddev_samp(num(c)), min_value=F.min(num(c)), max_value=F.max(num(c))) for c in cols], by=["side"])
+    mids = Histogram(both, cols, ["side"]).quantiles([0.5]).select("side", "feature", F.col("at")[0].alias("median"))
+    return sums.join(mids, ["side", "feature"], "left").select("side", "feature", "n", "mean", "std", "median", "min_value", "max_value")
 
 
 def concept(baseline: DataFrame, current: DataFrame, target: str, limit: float = 0.1) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import num, q
-from ..functions.exprs import corr, div, ladder, median
+from ..functions.exprs import corr, div, ladder
 from ..plans.fuse import fused, row
+from ..plans.ranks import medians
 
 
 def class_imbalance(df: DataFrame, target: str) -> DataFrame:
@@ -55,7 +56,7 @@ def proxies(df: DataFrame, cols: Sequence[str], protected: str, threshold: float
     """Correlation of each feature (gaps filled by the median) with the rank of the protected value."""
     values = df.select(q(protected).cast("string").alias("__p")).where("__p is not null").distinct()
     ranks = values.select("__p", (F.row_number().over(Window.orderBy("__p")) - 1).cast("double").alias("__code"))
-    mids = {r["feature"]: r["m"] for r in fused(df, [row(feature=F.lit(c), m=median(num(c))) for c in cols]).collect()}
+    mids = medians(df, cols)
     coded = df.withColumn("__p", q(protected).cast("string")).join(F.broadcast(ranks), "__p", "left")
     got = fused(coded, [row(feature=F.lit(c), n=F.count("__code"), r=corr(F.coalesce(num(c), F.lit(mids[c]).cast("double")), F.col("__code"))) for c in cols])
     return got.withColumn("is_proxy", F.coalesce(F.abs("r") > threshold, F.lit(False)))

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import num, q
-from ..functions.exprs import corr, div, quantiles, skew
+from ..functions.exprs import corr, div, skew
 from ..plans.fuse import fused, row
-from ..plans.ordering import bucket_of
+from ..plans.ordering import bucket_of, numbered
+from ..plans.ranks import exact_quantiles
 
 
 def datetime_parts(df: DataFrame, ts: str) -> DataFrame:
@@ -69,10 +70,9 @@ def text_stats(df: DataFrame, c: str) -> DataFrame:
 
 def scaled(df: DataFrame, cols: Sequence[str], method: str = "zscore") -> DataFrame:
     """zscore (population deviation), minmax, robust (median and quartiles) or maxabs; a flat column becomes 0."""
-    rows = []
+    rows, of_all = [], exact_quantiles(df, cols, [0.25, 0.5, 0.75]) if method == "robust" else {}
     for c in cols:
-        x = num(c)
-        at = quantiles(x, 0.25, 0.5, 0.75)
+        x, at = num(c), [F.lit(v).cast("double") for v in of_all.get(c, [None] * 3)]
         of = {"zscore": (F.avg(x), F.stddev_pop(x)), "minmax": (F.min(x), F.max(x) - F.min(x)), "robust": (at[1], at[2] - at[0]), "maxabs": (F.lit(0.0), F.max(F.abs(x)))}[method]
         rows.append(row(feature=F.lit(c), centre=of[0].cast("double"), width=of[1].cast("double")))
     fit = {r["feature"]: r for r in fused(df, rows).collect()}
@@ -80,14 +80,24 @@ def scaled(df: DataFrame, cols: Sequence[str], method: str = "zscore") -> DataFr
     return df.withColumns({f"{c}_{method}": scale(c) for c in cols})
 
 
+def group_mean(df: DataFrame, by: str, value: str, name: str = "group_mean") -> DataFrame:
+    """Rows with the mean of their group, null groups too; the means are joined as their size allows."""
+    means = df.groupBy(q(by).alias("__g")).agg(F.avg(num(value)).alias(name))
+    return df.join(means, q(by).eqNullSafe(F.col("__g")), "left").drop("__g")
+
+
 def frequent(df: DataFrame, c: str, k: int | None = None, least_share: float | None = None) -> list[str]:
-    """The k most frequent values (ties: value), or those with a share of rows."""
+    """The k most frequent values (ties: value), or those with a share of rows, which are 1 / least_share at most."""
     counts = df.where(q(c).isNotNull()).groupBy(q(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
     if least_share is not None:
+        if least_share <= 0:
+            raise ValueError("least_share must be above 0")
         total = counts.agg(F.sum("n")).first()[0] or 0
         counts = counts.where(F.col("n") >= least_share * total)
+    elif k is None:
+        raise ValueError("give k or least_share")
     ordered = counts.orderBy(F.desc("n"), "v")
-    return [r["v"] for r in (ordered.limit(k) if k else ordered.limit(10_000)).collect()]
+    return [r["v"] for r in (ordered.limit(k) if k else ordered).collect()]
 
 
 def rare_to_other(df: DataFrame, c: str, least_share: float = 0.05, other: str = "other") -> DataFrame:
@@ -98,9 +108,9 @@ def rare_to_other(df: DataFrame, c: str, least_share: float = 0.05, other: str =
 def ordinal(df: DataFrame, c: str, categories: Sequence[str] | None = None) -> DataFrame:
     """Rank of the value among the categories in order; unknown values and null get -1."""
     if categories is None:
-        values = df.select(q(c).cast("string").alias("v")).where("v is not null").distinct()
-        ranks = values.select("v", (F.row_number().over(Window.orderBy("v")) - 1).alias(f"{c}_code"))
-        out = df.join(F.broadcast(ranks), q(c).cast("string") == F.col("v"), "left").drop("v")
+        values = df.select(q(c).cast("string").alias("__v")).where("__v is not null").distinct()
+        ranks = numbered(values, ["__v"]).select("__v", F.col("__rn").alias(f"{c}_code"))
+        out = df.join(ranks, q(c).cast("string") == F.col("__v"), "left").drop("__v")
     else:
         out = df.withColumn(f"{c}_code", F.array_position(F.array(*map(F.lit, categories)), q(c).cast("string")).cast("int") - 1)
     return out.withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)).cast("int"))
@@ -141,7 +151,7 @@ def yeo_johnson(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def quantile_uniform(df: DataFrame, c: str, points: int = 100) -> DataFrame:
     """Position of the value between the column's quantiles, 0 to 1, linear within a step."""
-    cuts = df.agg(F.percentile(num(c), F.array(*(F.lit(i / points) for i in range(points + 1)))).alias("p")).first()["p"]
+    cuts = exact_quantiles(df, [c], [i / points for i in range(points + 1)])[c]
     table = F.array(*map(F.lit, cuts))
     at = F.least(bucket_of(num(c), cuts[1:-1]), F.lit(points - 1))
     lo, hi = F.get(table, at), F.get(table, at + 1)
@@ -209,7 +219,7 @@ def slice_metrics(df: DataFrame, slice_col: str, actual: str, predicted: str, le
 
 def error_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     e = num(predicted) - num(actual)
-    at = quantiles(F.abs(e), 0.25, 0.5, 0.75, 0.9, 0.99)
+    at = [F.lit(x).cast("double") for x in exact_quantiles(df.select(F.abs(e).alias("e")), ["e"], [0.25, 0.5, 0.75, 0.9, 0.99])["e"]]
     return df.agg(F.count(e).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.stddev_samp(e).alias("error_std"), *(at[i].alias(f"abs_p{p}") for i, p in enumerate((25, 50, 75, 90, 99))))
 
 

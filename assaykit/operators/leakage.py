@@ -14,6 +14,7 @@ from ..functions.distributions import ks_sf
 from ..functions.exprs import corr, div, ladder
 from ..plans.fuse import fused, long_values, row
 from ..plans.ordering import bucket_of
+from ..plans.ranks import exact_quantiles
 from . import drift
 
 #: Words in column names that speak of the target or of what follows it.
@@ -102,7 +103,7 @@ def future_dates(df: DataFrame, cols: Sequence[str], as_of: str) -> DataFrame:
 
 def binned_information(df: DataFrame, feature: str, target: str, bins: int = 10) -> DataFrame:
     """Plug-in mutual information (nats) of a numeric feature in quantile bins with a categorical target."""
-    edges = sorted(set(df.agg(F.percentile(num(feature), F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("e")).first()["e"] or []))
+    edges = sorted(set(exact_quantiles(df, [feature], [i / bins for i in range(1, bins)])[feature]) - {None})
     cells = df.where(num(feature).isNotNull() & q(target).isNotNull()).groupBy(bucket_of(num(feature), edges).alias("a"), q(target).cast("string").alias("b")).agg(F.count("*").cast("double").alias("n"))
     wa, wb, every = Window.partitionBy("a"), Window.partitionBy("b"), Window.partitionBy()
     full = cells.select("n", F.sum("n").over(wa).alias("na"), F.sum("n").over(wb).alias("nb"), F.sum("n").over(every).alias("t"))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..columns import num, q
 from ..functions.distributions import chi2_sf, t_two_sided
-from ..functions.exprs import corr, div, ladder, median, pct, skew
+from ..functions.exprs import corr, div, ladder, pct, skew
 from ..plans.fuse import fused, row
+from ..plans.ranks import Histogram
 from .profile import chi_square
 
 
@@ -77,15 +78,22 @@ def recommendations(per_column: DataFrame) -> DataFrame:
 
 
 def imputation_impact(df: DataFrame, cols: Sequence[str], methods: Sequence[str] = ("mean", "median", "mode")) -> DataFrame:
-    """Mean, deviation, median and skew of each column before and after filling its gaps."""
-    fills = fused(df, [row(feature=F.lit(c), mean=F.avg(num(c)), median=median(num(c)), mode=F.mode(num(c), True)) for c in cols]).collect()
-    fill = {r["feature"]: r for r in fills}
+    """Mean, deviation, median and skew of each column before and after filling its gaps.
+
+    Medians and modes come from one histogram of the columns, those of filled columns too.
+    """
+    seen = Histogram(df, cols)
+    mid = {r["feature"]: r["at"][0] for r in seen.quantiles([0.5]).collect()}
+    mode = {r["feature"]: r["mode"] for r in seen.modes().collect()}
+    of = {r["feature"]: r for r in fused(df, [row(feature=F.lit(c), mean=F.avg(num(c)), gaps=F.count_if(num(c).isNull())) for c in cols]).collect()}
+    fill = {c: {"mean": of[c]["mean"], "median": mid.get(c), "mode": mode.get(c)} for c in cols}
+    after = seen.filled_medians({c: {m: fill[c][m] for m in methods} for c in cols}, {c: of[c]["gaps"] for c in cols})
     rows = []
     for c in cols:
         for m in methods:
             value = fill[c][m]
             x = F.coalesce(num(c), F.lit(value).cast("double"))
-            rows.append(row(feature=F.lit(c), method=F.lit(m), fill=F.lit(value).cast("double"), mean_delta=F.avg(x) - F.avg(num(c)), std_delta=F.stddev_samp(x) - F.stddev_samp(num(c)), median_delta=median(x) - median(num(c)), skew_delta=skew(x) - skew(num(c))))
+            rows.append(row(feature=F.lit(c), method=F.lit(m), fill=F.lit(value).cast("double"), mean_delta=F.avg(x) - F.avg(num(c)), std_delta=F.stddev_samp(x) - F.stddev_samp(num(c)), median_delta=F.lit(after[c, m] - mid[c] if (c, m) in after else None).cast("double"), skew_delta=skew(x) - skew(num(c))))
     return fused(df, rows)
 
 

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import infer_task, num, q
-from ..functions.exprs import corr, median
+from ..functions.exprs import corr
 from ..plans.fuse import fused, row
 from ..plans.graph import components
 from ..plans.ordering import bucket_of, checkpointed, numbered
+from ..plans.ranks import exact_quantiles, medians
 from .features import correlation_filter, variance_filter
 from .leakage import binned_information
 
@@ -37,7 +38,7 @@ def bounded(df: DataFrame, keys: Sequence[str], limit: int = MODEL_ROWS, seed: i
 
 def filled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Numeric columns with gaps filled by the median (0 for an empty column)."""
-    at = {r["feature"]: r["m"] for r in fused(df, [row(feature=F.lit(c), m=median(num(c))) for c in cols]).collect()}
+    at = medians(df, cols)
     return df.withColumns({c: F.coalesce(num(c), F.lit(float(at[c] or 0.0))) for c in cols})
 
 
@@ -139,7 +140,7 @@ def _binned_mi(df: DataFrame, cols: Sequence[str], target: str, bins: int = 10)
     """Plug-in mutual information of binned columns with a binned or categorical target, all from one grouped scan a column."""
     task = infer_task(df, target)
     if task != "classification":
-        edges = sorted(set(df.agg(F.percentile(num(target), F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("e")).first()["e"] or []))
+        edges = sorted(set(exact_quantiles(df, [target], [i / bins for i in range(1, bins)])[target]) - {None})
         df = df.withColumn("__y", bucket_of(num(target), edges))
         target = "__y"
     return {c: binned_information(df, c, target, bins).first()["mi"] or 0.0 for c in cols}
@@ -277,8 +278,14 @@ def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], trees: int =
 
     kind = df.schema[key].dataType.simpleString()
     scored = z.select(q(key), *(q(c) for c in cols)).mapInPandas(score, f"row_key {kind}, score double")
-    cut = scored.agg(F.percentile("score", 1 - contamination).alias("cut")).withColumn("one", F.lit(1))
-    return scored.withColumn("one", F.lit(1)).join(F.broadcast(cut), "one").select("row_key", "score", (F.col("score") > F.col("cut")).alias("is_outlier"))
+    return _above(scored, contamination)
+
+
+def _above(scored: DataFrame, contamination: float) -> DataFrame:
+    """row_key, score and whether the score lies above its exact quantile; rows are scored once."""
+    held = checkpointed(scored)
+    cut = exact_quantiles(held, ["score"], [1 - contamination])["score"][0]
+    return held.select("row_key", "score", (F.col("score") > F.lit(cut).cast("double")).alias("is_outlier"))
 
 
 def _neighbours(x: np.ndarray, base: np.ndarray, k: int, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -318,8 +325,7 @@ def local_outliers(df: DataFrame, key: str, cols: Sequence[str], neighbours: int
 
     kind = df.schema[key].dataType.simpleString()
     scored = z.select(q(key), *(q(c) for c in cols)).mapInPandas(score, f"row_key {kind}, score double")
-    cut = scored.agg(F.percentile("score", 1 - contamination).alias("cut")).withColumn("one", F.lit(1))
-    return scored.withColumn("one", F.lit(1)).join(F.broadcast(cut), "one").select("row_key", "score", (F.col("score") > F.col("cut")).alias("is_outlier"))
+    return _above(scored, contamination)
 
 
 def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 0.5, least: int = 5) -> DataFrame:

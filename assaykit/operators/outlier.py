@@ -8,16 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import num, q
-from ..functions.exprs import div, ladder, median, pct, quantiles
+from ..functions.exprs import div, ladder, pct
 from ..plans.fuse import fused, row
+from ..plans.ranks import Histogram, exact_quantiles, medians
 
 
 def fences(df: DataFrame, cols: Sequence[str], multiplier: float = 1.5) -> DataFrame:
     """feature, n, q25, q75, lower, upper."""
+    at = exact_quantiles(df, cols, [0.25, 0.75])
     rows = []
     for c in cols:
-        at = quantiles(num(c), 0.25, 0.75)
-        rows.append(row(feature=F.lit(c), n=F.count(num(c)), q25=at[0], q75=at[1], lower=at[0] - multiplier * (at[1] - at[0]), upper=at[1] + multiplier * (at[1] - at[0])))
+        lo, hi = (F.lit(x).cast("double") for x in at[c])
+        rows.append(row(feature=F.lit(c), n=F.count(num(c)), q25=lo, q75=hi, lower=lo - multiplier * (hi - lo), upper=hi + multiplier * (hi - lo)))
     return fused(df, rows)
 
 
@@ -34,7 +36,7 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], multiplier: float = 1.5) ->
 
 def _centres(df: DataFrame, cols: Sequence[str], population: bool) -> dict:
     std = F.stddev_pop if population else F.stddev_samp
-    return {r["feature"]: r for r in fused(df, [row(feature=F.lit(c), mean=F.avg(num(c)), std=std(num(c)), median=median(num(c))) for c in cols]).collect()}
+    return {r["feature"]: r for r in fused(df, [row(feature=F.lit(c), mean=F.avg(num(c)), std=std(num(c))) for c in cols]).collect()}
 
 
 def zscore_outliers(df: DataFrame, cols: Sequence[str], threshold: float = 3.0, population: bool = True) -> DataFrame:
@@ -49,8 +51,8 @@ def zscore_outliers(df: DataFrame, cols: Sequence[str], threshold: float = 3.0,
 
 def modified_z_outliers(df: DataFrame, cols: Sequence[str], threshold: float = 3.5) -> DataFrame:
     """0.6745 (x - median) / MAD; a column whose MAD is 0 has none."""
-    mids = {r["feature"]: r["m"] for r in fused(df, [row(feature=F.lit(c), m=median(num(c))) for c in cols]).collect()}
-    mads = {r["feature"]: r["m"] for r in fused(df, [row(feature=F.lit(c), m=median(F.abs(num(c) - F.lit(mids[c])))) for c in cols]).collect()}
+    mids = medians(df, cols)
+    mads = medians(df.select(*(F.abs(num(c) - F.lit(mids[c])).alias(c) for c in cols)), cols)
     rows = []
     for c in cols:
         z = F.abs(0.6745 * (num(c) - F.lit(mids[c])) / F.lit(mads[c])) if mads[c] else F.lit(0.0)
@@ -78,11 +80,11 @@ def consensus(df: DataFrame, key: Sequence[str], cols: Sequence[str], share: flo
 
 def by_context(df: DataFrame, cols: Sequence[str], context: str, multiplier: float = 1.5, least_rows: int = 10, least_values: int = 5) -> DataFrame:
     """Values outside the fences of their own group: feature, context, n_outliers; small groups are left out."""
-    rows = []
-    for c in cols:
-        at = quantiles(num(c), 0.25, 0.75)
-        rows.append(row(feature=F.lit(c), n_rows=F.count("*"), n=F.count(num(c)), lower=at[0] - multiplier * (at[1] - at[0]), upper=at[1] + multiplier * (at[1] - at[0])))
-    bounds = fused(df.withColumn("__g", q(context)), rows, by=["__g"]).where((F.col("n_rows") >= least_rows) & (F.col("n") >= least_values))
+    named = df.withColumn("__g", q(context))
+    sizes = named.groupBy("__g").agg(F.count("*").alias("n_rows"))
+    lo, hi = F.col("at")[0], F.col("at")[1]
+    at = Histogram(named, cols, ["__g"]).quantiles([0.25, 0.75]).select("__g", "feature", "n", (lo - multiplier * (hi - lo)).alias("lower"), (hi + multiplier * (hi - lo)).alias("upper"))
+    bounds = at.join(sizes, "__g").where((F.col("n_rows") >= least_rows) & (F.col("n") >= least_values))
     values = df.select(q(context).alias("__g"), F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), num(c).alias("__x")) for c in cols))))
     met = values.join(bounds, ["__g", "feature"])
     out = (F.col("__x") < F.col("lower")) | (F.col("__x") > F.col("upper"))

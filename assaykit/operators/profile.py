@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import CATEGORICAL, NUMERIC, classify, columns_of, kind_of, num, q
-from ..functions.exprs import corr, div, kurtosis, ladder, quantiles, skew
+from ..functions.exprs import corr, div, kurtosis, ladder, skew
 from ..plans.fuse import fused, long_values, row
+from ..plans.ranks import Histogram
 
 
 def moments(c: Column) -> dict[str, Column]:
-    """The fifteen numeric statistics of a column, as aggregates of one scan."""
-    at = quantiles(c, 0.25, 0.5, 0.75)
+    """The numeric statistics of a column but its quantiles, as aggregates of one scan."""
     return {
-        "n": F.count(c), "mean": F.avg(c), "median": at[1], "std": F.stddev_samp(c), "var": F.var_samp(c), "min_value": F.min(c), "max_value": F.max(c),
-        "q25": at[0], "q75": at[2], "skew": skew(c), "kurtosis": kurtosis(c), "value_range": F.max(c) - F.min(c), "iqr": at[2] - at[0],
+        "n": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "var": F.var_samp(c), "min_value": F.min(c), "max_value": F.max(c),
+        "skew": skew(c), "kurtosis": kurtosis(c), "value_range": F.max(c) - F.min(c),
         "cv": F.when(F.avg(c) == 0, F.lit(float("inf"))).otherwise(div(F.stddev_samp(c), F.avg(c))),
     }
 
@@ -26,7 +27,13 @@ def moments(c: Column) -> dict[str, Column]:
 def numeric_summary(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """One row a numeric column (and group of by) with its moments; columns without values are left out."""
     cols = list(cols or columns_of(df, NUMERIC, but=tuple(by)))
-    return fused(df, [row(feature=F.lit(c), **moments(num(c))) for c in cols], by, per_scan=16).where("n > 0")
+    sums = fused(df, [row(feature=F.lit(c), **moments(num(c))) for c in cols], by, per_scan=16).where("n > 0")
+    at = Histogram(df, cols, by).quantiles([0.25, 0.5, 0.75]).select(*(q(b).alias(f"__k{i}") for i, b in enumerate([*by, "feature"])), "at")
+    same = reduce(lambda a, b: a & b, (q(b).eqNullSafe(F.col(f"__k{i}")) for i, b in enumerate([*by, "feature"])))
+    return sums.join(at, same).select(
+        *map(q, by), "feature", "n", "mean", F.col("at")[1].alias("median"), "std", "var", "min_value", "max_value", F.col("at")[0].alias("q25"), F.col("at")[2].alias("q75"),
+        "skew", "kurtosis", "value_range", (F.col("at")[2] - F.col("at")[0]).alias("iqr"), "cv",
+    )
 
 
 def skew_interpretation(summary: DataFrame) -> DataFrame:

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..columns import num, q
 from ..functions.distributions import corr_p
-from ..functions.exprs import corr, div, median
+from ..functions.exprs import corr, div
 from ..plans.fuse import fused, row
-from ..plans.ordering import blocked, numbered, prefix_sums
+from ..plans.ordering import blocked, checkpointed, numbered, prefix_sums
+from ..plans.ranks import medians
 
 EWM_REACH = 127
 
@@ -40,9 +41,9 @@ def gaps(df: DataFrame, ts: str, order: Sequence[str] | None = None, factor: flo
     """Steps longer than factor times the median step: after (seconds), gap_s."""
     dealt, w = blocked(series(df, order or [ts]), before=1)
     micros = F.unix_micros(q(ts).cast("timestamp"))
-    steps = dealt.select("__own", micros.alias("at"), (micros - F.lag(micros).over(w)).alias("d")).where("__own and d is not null")
-    mid = steps.agg(median(F.col("d")).alias("m")).withColumn("one", F.lit(1))
-    return steps.withColumn("one", F.lit(1)).join(F.broadcast(mid), "one").where(F.col("d") > factor * F.col("m")).select((F.col("at") - F.col("d")).alias("after_us"), F.col("d").alias("gap_us"))
+    steps = checkpointed(dealt.select("__own", micros.alias("at"), (micros - F.lag(micros).over(w)).alias("d")).where("__own and d is not null"))
+    mid = F.lit(medians(steps, ["d"])["d"]).cast("double")
+    return steps.where(F.col("d") > factor * mid).select((F.col("at") - F.col("d")).alias("after_us"), F.col("d").alias("gap_us"))
 
 
 def gap_summary(df: DataFrame, ts: str, order: Sequence[str] | None = None, factor: float = 2.0) -> DataFrame:

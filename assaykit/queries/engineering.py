@@ -212,9 +212,7 @@ def set_intersection(spark, d):
 
 @query("group_mean_broadcast", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type), 6) AS group_mean FROM events")
 def group_mean_broadcast(spark, d):
-    e = read_table(spark, d, "events")
-    means = e.groupBy("event_type").agg(F.avg("value").alias("group_mean"))
-    return r6(e.join(F.broadcast(means), "event_type").select("event_id", "group_mean"))
+    return r6(features.group_mean(read_table(spark, d, "events"), "event_type", "value").select("event_id", "group_mean"))
 
 
 
