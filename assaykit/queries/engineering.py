@@ -83,7 +83,12 @@ def onehot_topk(spark, d):
     return hot.select("p_partkey", name.alias("hot"))
 
 
-@query("feat_quantile_uniform")
+_CUTS = [i / 100 for i in range(101)]
+
+
+@query("feat_quantile_uniform", f"""
+WITH q AS (SELECT quantile_cont(value, {_CUTS}) AS c FROM events), e AS (SELECT event_id, value, c, least(len(list_filter(c[2:100], lambda x: x < value)), 99) AS k FROM events, q)
+SELECT event_id, round(CASE WHEN value IS NOT NULL THEN least(greatest((k + CASE WHEN c[k + 2] > c[k + 1] THEN (value - c[k + 1]) / (c[k + 2] - c[k + 1]) ELSE 0 END) / 100, 0), 1) END, 6) AS value_uniform FROM e""")
 def feat_quantile_uniform(spark, d):
     return r6(features.quantile_uniform(read_table(spark, d, "events").select("event_id", "value"), "value").drop("value"))
 
@@ -93,7 +98,13 @@ def feat_yeo_johnson(spark, d):
     return r6(features.yeo_johnson(read_table(spark, d, "events").select("event_id", "value"), ["value"]).drop("value"), 4)
 
 
-@query("tfidf")
+@query("tfidf", f"""
+WITH d AS (SELECT concat(conv_id, ':', turn) AS key, list_filter(regexp_extract_all(lower(text), '[0-9a-z_][0-9a-z_]+'), lambda w: NOT list_contains({sorted(features.STOP_WORDS)}, w)) AS w FROM conversations),
+t AS (SELECT key, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM d),
+c AS (SELECT key, term, count(*) AS tf FROM t GROUP BY 1, 2),
+top AS (SELECT term, sum(tf) AS a, count(*) AS df FROM c GROUP BY 1 ORDER BY a DESC, term LIMIT 100),
+x AS (SELECT key, c.term, tf * (ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + df)) + 1) AS x FROM c JOIN top ON c.term = top.term)
+SELECT key, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY key)), 6) AS weight FROM x""")
 def tfidf(spark, d):
     return r6(features.tfidf(read_table(spark, d, "conversations").selectExpr("concat(conv_id, ':', turn) AS id", "text"), "id", "text"))
 

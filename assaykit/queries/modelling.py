@@ -1,4 +1,4 @@
-"""Queries of model-backed operators; SQL can't express them, tests hold them to properties."""
+"""Queries of model-backed operators; where SQL can't express them, tests hold them to properties."""
 
 from __future__ import annotations
 
@@ -128,6 +128,17 @@ def normality_k2(spark, d):
     return r6(normality.dagostino(read_table(spark, d, "events"), ["value"]), 4)
 
 
+SQL["normality_k2"] = """
+WITH m AS (SELECT count(value)::DOUBLE AS n, avg(value) AS mu FROM events), s AS (SELECT any_value(n) AS n, avg(pow(value - mu, 2)) AS m2, avg(pow(value - mu, 3)) AS m3, avg(pow(value - mu, 4)) AS m4 FROM events, m WHERE value IS NOT NULL),
+g AS (SELECT *, m3 / pow(m2, 1.5) AS g1, m4 / (m2 * m2) AS b2,
+ 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta,
+ 6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS rb FROM s),
+h AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))) AS y, sqrt(2 * (beta - 1)) - 1 AS w2, 6 + 8 / rb * (2 / rb + sqrt(1 + 4 / (rb * rb))) AS a,
+ (b2 - 3.0 * (n - 1) / (n + 1)) / sqrt(24.0 * n * (n - 2) * (n - 3) / (pow(n + 1, 2) * (n + 3) * (n + 5))) AS x FROM g),
+z AS (SELECT n, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2) AS z1, (1 - 2 / (9 * a) - sign(1 + x * sqrt(2 / (a - 4))) * cbrt((1 - 2 / a) / abs(1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a)) AS z2 FROM h)
+SELECT 'value' AS feature, n::BIGINT AS n, round(z1 * z1 + z2 * z2, 4) AS k2, round(exp(-(z1 * z1 + z2 * z2) / 2), 4) AS p_value FROM z"""
+
+
 @query
 def normality_anderson(spark, d):
     return r6(normality.anderson_darling(read_table(spark, d, "events"), "value"), 4)
