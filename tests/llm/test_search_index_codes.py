@@ -80,12 +80,12 @@ def test_terms_agree_between_bytes_and_expressions(spark):
 def test_ranked_search_edges(spark, edge, empty):
     items = spark.createDataFrame([(1, "one two"), (2, None), (3, "..."), (4, "X"), (4, "X"), (5, "absent"), (6, edge.where("doc_id = 1").first()["text"])], "item_id long, text string")
     got = defaultdict(list)
-    for r in sorted(ranked.search(edge, items, k=4).collect()):
+    for r in sorted(ranked.search(edge, items, k=5).collect()):
         got[r["item_id"]].append((r["rank"], r["doc_id"]))
-    plain = plain_ranks([(r["doc_id"], r["text"]) for r in edge.collect()], [(1, "one two"), (4, "X")], 4)
+    plain = plain_ranks([(r["doc_id"], r["text"]) for r in edge.collect()], [(1, "one two"), (4, "X")], 5)
     assert got[1] == [(1, None)] == [(r, i) for item, r, i, _ in plain if item == 1]
     assert got[4] == [(1, 7)] and set(got) == {1, 4, 6}
-    assert got[6] == [(1, 1), (2, 6), (3, 6), (4, 8)]  # equal scores by id, repeated rows one after the other
+    assert got[6] == [(1, 5), (2, 1), (3, 6), (4, 6), (5, 8)]  # equal scores by id, repeated rows one after the other
     assert ranked.search(empty, items).count() == 0 and ranked.search(edge, items.where("item_id = 2")).count() == 0
 
 
