@@ -288,46 +288,6 @@ def _above(scored: DataFrame, contamination: float) -> DataFrame:
     return held.select("row_key", "score", (F.col("score") > F.lit(cut).cast("double")).alias("is_outlier"))
 
 
-def _neighbours(x: np.ndarray, base: np.ndarray, k: int, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Distances to and places of the k nearest base rows."""
-    k = min(k, len(base))
-    near, far = np.empty((len(x), k), np.int64), np.empty((len(x), k))
-    sq = (base * base).sum(1)
-    for a in range(0, len(x), chunk):
-        part = x[a : a + chunk]
-        d = np.maximum((part * part).sum(1)[:, None] + sq - 2 * part @ base.T, 0)
-        at = np.argpartition(d, k - 1, axis=1)[:, :k]
-        own = np.take_along_axis(d, at, 1)
-        order = np.argsort(own, axis=1, kind="stable")
-        near[a : a + chunk], far[a : a + chunk] = np.take_along_axis(at, order, 1), np.sqrt(np.take_along_axis(own, order, 1))
-    return far, near
-
-
-def local_outliers(df: DataFrame, key: str, cols: Sequence[str], neighbours: int = 20, contamination: float = 0.05, limit: int = MODEL_ROWS) -> DataFrame:
-    """Local outlier factor of every row against a bounded reference set (all rows, if they fit)."""
-    z = _standard(df, cols)
-    base = _matrix(z, key, cols, limit)
-    k = max(1, min(max(5, min(neighbours, len(base) // 5)), len(base) - 1))
-    far, near = _neighbours(base, base, k + 1)
-    reach = np.maximum(far[:, 1:], far[near[:, 1:], k]).mean(1)
-    density = 1 / np.maximum(reach, 1e-10)
-    sent = df.sparkSession.sparkContext.broadcast((base, far[:, k], density, k))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ref, kdist, dens, kk = sent.value
-        for b in batches:
-            x = b[list(cols)].to_numpy(float)
-            d, n = _neighbours(x, ref, kk + 1)
-            own = d[:, :1] <= 1e-9  # the row itself stands in the reference set
-            d, n = np.where(own, d[:, 1:], d[:, :-1]), np.where(own, n[:, 1:], n[:, :-1])
-            lrd = 1 / np.maximum(np.maximum(d, kdist[n]).mean(1), 1e-10)
-            yield pd.DataFrame({"row_key": b[key], "score": dens[n].mean(1) / lrd})
-
-    kind = df.schema[key].dataType.simpleString()
-    scored = z.select(q(key), *(q(c) for c in cols)).mapInPandas(score, f"row_key {kind}, score double")
-    return _above(scored, contamination)
-
-
 def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 0.5, least: int = 5) -> DataFrame:
     """Noise and clusters of DBSCAN on standardised columns: row_key, is_core, cluster (a key of its component of core cells; -1 noise).
 
@@ -378,49 +338,6 @@ def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 0.5, least
     return of_core.unionByName(rest).withColumn("is_noise", F.col("cluster") == -1)
 
 
-def knn_impute(df: DataFrame, key: str, cols: Sequence[str], neighbours: int = 5, limit: int = MODEL_ROWS) -> DataFrame:
-    """Gaps filled by the mean of the nearest donors (distance over the columns both have) from a bounded reference set."""
-    base = _matrix(df.where(F.greatest(*(q(c).isNotNull() for c in cols))) if len(cols) > 1 else df.where(q(cols[0]).isNotNull()), key, cols, limit)
-    sent = df.sparkSession.sparkContext.broadcast(base)
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ref = sent.value
-        known, zero = ~np.isnan(ref), np.nan_to_num(ref)
-        means = np.nanmean(ref, 0) if len(ref) else np.zeros(len(cols))
-        for b in batches:
-            x = b[list(cols)].to_numpy(float)
-            gaps = np.isnan(x)
-            for i in np.flatnonzero(gaps.any(1)):
-                has = ~gaps[i]
-                both = known[:, has]
-                shared = both.sum(1)
-                d = (np.where(both, zero[:, has] - x[i, has], 0) ** 2).sum(1) * len(cols) / np.maximum(shared, 1)
-                d[shared == 0] = np.inf
-                for j in np.flatnonzero(gaps[i]):
-                    donors = np.flatnonzero(known[:, j] & np.isfinite(d))
-                    near = donors[np.argsort(d[donors], kind="stable")[:neighbours]]
-                    x[i, j] = zero[near, j].mean() if len(near) else means[j]
-            yield pd.concat([b[[key]].reset_index(drop=True), pd.DataFrame(x, columns=list(cols))], axis=1)
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(q(key), *(num(c).alias(c) for c in cols)).mapInPandas(fill, f"`{key}` {kind}, " + ", ".join(f"`{c}` double" for c in cols))
-
-
-def iterative_impute(df: DataFrame, cols: Sequence[str], rounds: int = 3) -> DataFrame:
-    """Chained equations: each column's gaps are predicted from the others by a linear model, round after round."""
-    marks = {f"__gap_{c}": q(c).isNull() for c in cols}
-    held = filled(df.withColumns(marks), cols)
-    for _ in range(rounds):
-        for c in cols:
-            others = [x for x in cols if x != c]
-            va = VectorAssembler(inputCols=others, outputCol="__x")
-            model = LinearRegression(featuresCol="__x", labelCol=c, regParam=1e-6).fit(va.transform(held.where(~F.col(f"__gap_{c}"))))
-            w, b = model.coefficients.toArray(), model.intercept
-            guess = sum((num(o) * float(v) for o, v in zip(others, w, strict=True)), F.lit(float(b)))
-            held = held.withColumn(c, F.when(F.col(f"__gap_{c}"), guess).otherwise(num(c)))
-    return held.drop(*marks)
-
-
 def tsne(df: DataFrame, key: str, cols: Sequence[str], limit: int = 500, perplexity: float = 30.0, steps: int = 250, seed: int = 42) -> DataFrame:
     """Two coordinates of a bounded, hash-drawn sample of rows, by t-SNE on the driver."""
     got = bounded(_standard(df, cols), [key], limit, seed).select(q(key).alias("row_key"), *(q(c) for c in cols)).orderBy("row_key").toPandas()

@@ -126,17 +126,5 @@ def ksg_information(x: np.ndarray, y: np.ndarray, k: int = 3) -> float:
     return max(0.0, float(_digamma(np.array([k]))[0] + _digamma(np.array([n]))[0] - (_digamma(nx + 1.0) + _digamma(ny + 1.0)).mean()))
 
 
-def neighbour_information(df: DataFrame, features: Sequence[str], target: str, key: str, limit: int = 1_000) -> DataFrame:
-    """KSG information of each feature with a numeric target over a hash-drawn sample; normalised min(mi / 2, 1)."""
-    got = df.where(num(target).isNotNull()).orderBy(F.xxhash64(q(key)), q(key)).limit(limit).select(num(target).alias("__y"), *(num(c).alias(c) for c in features)).toPandas()
-    out = []
-    for c in features:
-        both = got[[c, "__y"]].dropna()
-        z = (both - both.mean()) / both.std().replace(0, 1)
-        mi = ksg_information(z[c].to_numpy(), z["__y"].to_numpy()) if len(z) >= 10 else 0.0
-        out.append((c, mi, min(mi / 2, 1.0)))
-    return df.sparkSession.createDataFrame(out, "feature string, mi double, normalised double")
-
-
 def shape(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return fused(df, [row(feature=F.lit(c), n=F.count(num(c)), skew=skew(num(c)), kurtosis=kurtosis(num(c))) for c in cols])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import modelling as m
-from ..operators import normality, scoring
+from ..operators import linear, neighbours, normality, scoring, shap
 from ..session import read_table
 from .analysis import r6
 
@@ -25,6 +25,10 @@ def _orders(spark, d):
     return o.selectExpr("o_orderkey", "o_totalprice AS price", "cast(month(o_orderdate) as double) AS month", "cast(o_custkey % 97 as double) AS noise", "cast(o_orderkey % 89 as double) AS noise2", "cast(o_totalprice + 20000 * month(o_orderdate) > 330000 as int) AS y")
 
 
+def _events(spark, d):
+    return read_table(spark, d, "events").selectExpr("event_id", "value", "cast(user_id as double) AS user_id")
+
+
 FEATS = ["price", "month", "noise", "noise2"]
 
 
@@ -48,6 +52,19 @@ def fs_elastic_net(spark, d):
     return r6(m.sparse_selection(_orders(spark, d), FEATS, "y", 0.5))
 
 
+@query
+def fs_lasso_cv(spark, d):
+    """Two classes; the strength is chosen over five folds and ten strengths."""
+    return r6(linear.lasso(_orders(spark, d), FEATS, "y").drop("coefficient", "cv_error"), 3, score=2)
+
+
+@query
+def fs_elastic_net_cv(spark, d):
+    """A numeric target; strength and ratio are chosen over five folds, a hundred strengths and four ratios."""
+    o = _orders(spark, d).selectExpr("*", "price + 15000 * month + 100 * noise AS cost")
+    return r6(linear.elastic_net(o, ["month", "noise", "noise2", "price"], "cost"), 3)
+
+
 @query
 def fs_rfe(spark, d):
     return m.recursive_elimination(_orders(spark, d), FEATS, "y", 2, trees=10)
@@ -81,7 +98,7 @@ def iforest(spark, d):
 
 @query
 def lof(spark, d):
-    return m.local_outliers(read_table(spark, d, "events").selectExpr("event_id", "value", "cast(user_id as double) AS user_id"), "event_id", ["value", "user_id"], limit=4000)
+    return r6(neighbours.local_outliers(_events(spark, d), "event_id", ["value", "user_id"]))
 
 
 @query
@@ -92,13 +109,27 @@ def dbscan(spark, d):
 @query
 def knn_impute(spark, d):
     df = read_table(spark, d, "events").selectExpr("event_id", "CASE WHEN event_id % 20 = 0 THEN NULL ELSE value END AS value", "cast(user_id as double) AS user_id")
-    return r6(m.knn_impute(df, "event_id", ["value", "user_id"], limit=4000))
+    return r6(neighbours.knn_impute(df, "event_id", ["value", "user_id"]))
+
+
+SQL["knn_impute"] = """
+WITH t AS (SELECT event_id, CASE WHEN event_id % 20 = 0 THEN NULL ELSE value END AS value, user_id::DOUBLE AS user_id FROM events),
+near AS (SELECT a.event_id, b.value, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.user_id - b.user_id), b.event_id) AS place FROM t a, t b WHERE a.value IS NULL AND b.value IS NOT NULL),
+fill AS (SELECT event_id, avg(value) AS fill FROM near WHERE place <= 5 GROUP BY event_id)
+SELECT event_id, round(coalesce(value, fill), 6) + 0.0 AS value, user_id FROM t LEFT JOIN fill USING (event_id)"""
 
 
 @query
 def iterative_impute(spark, d):
     df = read_table(spark, d, "lineitem").selectExpr("l_quantity", "CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_extendedprice END AS price", "l_extendedprice * (1 - l_discount) AS net")
-    return m.iterative_impute(df, ["l_quantity", "price", "net"], 1)
+    return r6(linear.iterative_impute(df, ["l_quantity", "price", "net"]), 4, price=2)
+
+
+SQL["iterative_impute"] = """
+WITH t AS (SELECT l_quantity, CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_extendedprice END AS price, l_extendedprice * (1 - l_discount) AS net FROM lineitem),
+c AS (SELECT avg(price) AS mp, avg(l_quantity) AS mq, avg(net) AS mn, var_pop(l_quantity) AS qq, var_pop(net) AS nn, covar_pop(l_quantity, net) AS qn, covar_pop(l_quantity, price) AS qp, covar_pop(net, price) AS np FROM t WHERE price IS NOT NULL),
+w AS (SELECT *, (qp * nn - np * qn) / (qq * nn - qn * qn) AS wq, (np * qq - qp * qn) / (qq * nn - qn * qn) AS wn FROM c)
+SELECT round(l_quantity::DOUBLE, 4) AS l_quantity, round(coalesce(price, mp + wq * (l_quantity - mq) + wn * (net - mn)), 2) AS price, round(net, 4) AS net FROM t, w"""
 
 
 @query
@@ -111,9 +142,37 @@ def exp_influential(spark, d):
     return r6(m.influential(_orders(spark, d), "o_orderkey", FEATS, "y"))
 
 
+def _explained(spark, d):
+    return shap.explained(_orders(spark, d), "o_orderkey", FEATS, "y", trees=20, depth=5)
+
+
 @query
 def shap_summary(spark, d):
-    return r6(m.shap_summary(m.shap_values(_orders(spark, d), "o_orderkey", FEATS, "y", permutations=2, background=5, trees=5)))
+    return r6(shap.effects(_explained(spark, d)[0], FEATS))
+
+
+@query
+def shap_tree(spark, d):
+    """Every row's attributions; they add up to its prediction."""
+    values, _ = _explained(spark, d)
+    return r6(values.select("row_key", "base", "prediction", *(F.col("shap")[i].alias(c) for i, c in enumerate(FEATS))))
+
+
+@query
+def shap_local(spark, d):
+    return r6(shap.local(_explained(spark, d)[0], FEATS, 3))
+
+
+@query
+def shap_most_explained(spark, d):
+    return r6(shap.most_explained(_explained(spark, d)[0], FEATS))
+
+
+@query
+def shap_interactions(spark, d):
+    o = _orders(spark, d)
+    _, paths = shap.explained(o, "o_orderkey", FEATS, "y", trees=20, depth=5)
+    return r6(shap.strongest_interactions(shap.interactions(o, "o_orderkey", FEATS, paths)))
 
 
 @query
@@ -152,7 +211,7 @@ def normality_shapiro(spark, d):
 
 @query
 def leak_mi_neighbours(spark, d):
-    return r6(normality.neighbour_information(_orders(spark, d), ["month", "noise"], "price", "o_orderkey"))
+    return r6(neighbours.neighbour_information(_orders(spark, d), ["month", "noise"], "price"))
 
 
 @query

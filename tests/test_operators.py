@@ -9,7 +9,7 @@ import pytest
 from assaykit import benchmarks, reports
 from assaykit.columns import infer_task, normalise_missing
 from assaykit.functions import distributions as dist
-from assaykit.operators import drift, fairness, features, gate, leakage, missing, modelling, outlier, profile, sampling, timeseries
+from assaykit.operators import drift, fairness, features, gate, leakage, missing, modelling, neighbours, outlier, profile, sampling, timeseries
 from assaykit.pipeline import Pipeline, quick_analyze
 from assaykit.plans.ordering import blocked, numbered
 from assaykit.sources import loader
@@ -175,7 +175,7 @@ def test_anomaly_models_rank_planted_rows_first(spark):
     x = pd.DataFrame(rng.normal(size=(300, 2)), columns=["a", "b"])
     x.loc[:4, ["a", "b"]] = [[9, 9], [-9, 9], [9, -9], [-9, -9], [12, 0]]
     df = spark.createDataFrame(x.assign(k=range(300)))
-    for model in (modelling.isolation_forest, modelling.local_outliers):
+    for model in (modelling.isolation_forest, neighbours.local_outliers):
         top = [r["row_key"] for r in model(df, "k", ["a", "b"]).orderBy("score", ascending=False).limit(5).collect()]
         assert set(top) == set(range(5)), model.__name__
     noise = {r["row_key"] for r in modelling.dbscan(df, "k", ["a", "b"]).where("is_noise").collect()}
@@ -201,7 +201,7 @@ def test_dbscan_agrees_with_a_plain_one(spark):
 
 def test_knn_fill_uses_near_donors(spark):
     df = frame(spark, [(i, float(i), float(2 * i)) for i in range(20)] + [(100, 10.0, None)], "k int, a double, b double")
-    assert modelling.knn_impute(df, "k", ["a", "b"], 3).where("k = 100").first()["b"] == pytest.approx(20.0)
+    assert neighbours.knn_impute(df, "k", ["a", "b"], 3).where("k = 100").first()["b"] == pytest.approx(20.0)
 
 
 def test_shapley_values_add_up(spark):
