@@ -7,7 +7,9 @@ posting meets each place of an item where its term stands; the run of equal term
 occur. Only postings of anchor terms leave their row, however long the text is.
 
 A filter of fixed size (one bit a hash value) drops other terms while a text is read; the join by term that follows is
-exact. Words are those of the whole text, ASCII letters in lower case.
+exact. A posting also has a sketch of its surroundings, one of 64 bits for each word, and so has every window of an item:
+a window with too many bits that the posting lacks cannot occur there, so most meetings end at a few bit operations.
+Words are those of the whole text, ASCII letters in lower case.
 """
 
 from __future__ import annotations
@@ -36,6 +38,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SPLIT), "")
 
 
+def _bit(word: Column) -> Column:
+    """One of 64 bits for a word."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(word).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _sketch(bits: Column) -> Column:
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(b))
+
+
 def _slot(term: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(term), 64 - FILTER_BITS)
 
@@ -61,12 +72,15 @@ def _places(ws: Column, bits: list[int]) -> Column:
 
 
 def item_places(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row for each place of each item: item, row (tells items of one id apart), n (its words), at (from 0), term, left, right."""
+    """One row for each place of each item: item, row (tells items of one id apart), n (its words), at (from 0), term, left, right, windows (sketches of those with the place)."""
     named = items.select(F.col(id_col).alias("item"), F.xxhash64(id_col, text_col).alias("row"), words(F.col(text_col)).alias("w")).distinct()
-    return named.where(F.size("w") > 0).select("item", "row", "w", F.posexplode("w").alias("at", "term")).select(
+    named = named.where(F.size("w") > 0).withColumn("bits", F.transform("w", _bit)).select("item", "row", "w", "bits", F.posexplode("w").alias("at", "term"))
+    width = F.least(F.size("w"), F.lit(WINDOW))
+    starts = F.sequence(F.greatest(F.col("at") - width + 1, F.lit(0)), F.least(F.col("at"), F.size("w") - width))
+    return named.select(
         "item", "row", F.size("w").alias("n"), "at", "term",
         F.reverse(F.slice("w", F.greatest(F.lit(1), F.col("at") - (WINDOW - 2)), F.least(F.col("at"), F.lit(WINDOW - 1)))).alias("left"),
-        F.slice("w", F.col("at") + 2, F.lit(WINDOW - 1)).alias("right"),
+        F.slice("w", F.col("at") + 2, F.lit(WINDOW - 1)).alias("right"), F.transform(starts, lambda s: _sketch(F.slice("bits", s + 1, width))).alias("windows"),
     )
 
 
@@ -85,10 +99,11 @@ def _agree(a: Column, b: Column) -> Column:
 
 
 def positional_index(docs: DataFrame, terms: list[int], id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents with the postings of terms that pass the filter: position and the terms on both sides."""
-    split = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("of"), words(F.col(text_col)).alias("w"))
+    """Rows of documents with the postings of terms that pass the filter: position, the terms on both sides and their sketch."""
+    split = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("of"), words(F.col(text_col)).alias("w")).withColumn("bits", F.transform("w", _bit))
+    first = lambda i: F.greatest(F.lit(1), i - (WINDOW - 1 + SLACK))
     posting = lambda i: F.struct(
-        i.alias("at"), F.element_at(F.col("w"), i).alias("term"),
+        i.alias("at"), F.element_at(F.col("w"), i).alias("term"), _sketch(F.slice(F.col("bits"), first(i), i + (WINDOW + SLACK) - first(i))).alias("sketch"),
         F.reverse(F.slice(F.col("w"), F.greatest(F.lit(1), i - (WINDOW - 1 + SLACK)), F.least(i - 1, F.lit(WINDOW - 1 + SLACK)))).alias("left"),
         F.slice(F.col("w"), i + 1, F.lit(WINDOW - 1 + SLACK)).alias("right"),
     )
@@ -117,19 +132,19 @@ def matches(index: DataFrame, places: DataFrame, small: bool, near: bool = False
     many postings is met by broadcast, or joined sorted, so that adaptive execution splits it.
     """
     rows = index.select("doc", "of", F.explode("postings").alias("p")).select("doc", "of", "p.*")
-    named = places.select("item", "n", F.col("at").alias("item_at"), "term", F.col("left").alias("item_left"), F.col("right").alias("item_right"))
+    named = places.select("item", "n", F.col("at").alias("item_at"), "term", F.col("left").alias("item_left"), F.col("right").alias("item_right"), "windows")
     met = rows.join(F.broadcast(named) if small else named, "term")
+    width = F.least("n", F.lit(WINDOW))
+    lacking = F.floor(width * (100 - NEAR_PCT) / 100).cast("int") if near else F.lit(0)
+    met = met.where(F.exists("windows", lambda m: F.bit_count(m.bitwiseAND(F.bitwise_not(F.col("sketch")))) <= lacking))
     met = met.withColumns({"l": _agree(F.col("left"), F.col("item_left")), "r": _agree(F.col("right"), F.col("item_right"))})
     whole = (F.col("n") < WINDOW) & (F.col("l") == F.col("item_at")) & (F.col("r") == F.col("n") - 1 - F.col("item_at"))
     phrase = (F.col("l") + F.col("r") + 1 >= WINDOW) | whole
     out = ["doc", "of", "item", F.when(phrase, F.col("at") - F.col("l")).alias("from"), F.when(phrase, F.col("at") + F.col("r")).alias("to")]
     if not near:
         return met.where(phrase).select(*out)
-    # a window with enough near words lacks few of its words altogether, which is cheap to tell
-    item_side, side = F.concat("item_left", "item_right"), F.concat("left", "right")
-    may = F.size(F.array_except(item_side, side)) * 100 <= (F.size(item_side) + 1) * 100 - F.least("n", F.lit(WINDOW)) * NEAR_PCT
     sides = {"near_left": _near(F.col("item_left"), F.col("left")), "near_right": _near(F.col("item_right"), F.col("right"))}
-    return met.where(phrase | may).withColumns(sides).where(phrase | _close(F.col("n"))).select(*out)
+    return met.withColumns(sides).where(phrase | _close(F.col("n"))).select(*out)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", near: bool = False) -> DataFrame:
@@ -163,14 +178,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def op10_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Exact phrases and, beyond the columns that stem from these, the items with a proximity match."""
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=True)
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"), F.array_join("near_items", ",").alias("near_items"),
     )
 
 
-#: The same in DuckDB: windows of every length that items have, met as strings.
+#: The same in DuckDB: windows of every length that items have, met as strings; proximity from every place of an anchor.
 HITS_SQL = """
 WITH doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce({docs}.text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {docs}
@@ -188,8 +205,33 @@ doc_windows AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM met, unnest(range(i, i + k)) AS t(p) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id
+), places AS (
+  SELECT item_id, w, len(w) AS n, spot, w[spot + 1] AS term FROM (SELECT DISTINCT item_id, w FROM items WHERE len(w) > 0), unnest(range(len(w))) AS t(spot)
+), postings AS (
+  SELECT doc_id, i, w[i] AS term FROM doc_words, unnest(range(1, len(w) + 1)) AS t(i)
+), counts AS (
+  SELECT term, count(*) AS df FROM postings WHERE term IN (SELECT term FROM places) GROUP BY term
+), rarest AS (
+  SELECT DISTINCT term FROM (
+    SELECT term, row_number() OVER (PARTITION BY item_id, w, start ORDER BY df, term) AS place
+    FROM (SELECT DISTINCT item_id, w, start, term, df FROM places JOIN counts USING (term), unnest(range(greatest(spot - 9, 0), spot + 1)) AS t(start) WHERE start + 10 <= n OR start = 0)
+  ) WHERE place <= 2
+), meetings AS (
+  SELECT doc_id, i, item_id, n, spot, list_reverse(p.w[greatest(spot - 8, 1):spot]) AS item_left, p.w[spot + 2:spot + 10] AS item_right,
+         list_reverse(d.w[greatest(i - 11, 1):i - 1]) AS lefts, d.w[i + 1:i + 11] AS rights
+  FROM postings JOIN rarest USING (term) JOIN places p USING (term) JOIN doc_words d USING (doc_id)
+), marks AS (
+  SELECT doc_id, item_id, least(n, 10) AS k, list_concat(list_concat(
+    list_reverse(list_transform(range(1, len(item_left) + 1), lambda o: list_contains(lefts[greatest(o - 2, 1):o + 2], item_left[o])::INT)), [1]),
+    list_transform(range(1, len(item_right) + 1), lambda o: list_contains(rights[greatest(o - 2, 1):o + 2], item_right[o])::INT)) AS line
+  FROM meetings WHERE n >= 5
+), close AS (
+  SELECT DISTINCT doc_id, item_id FROM marks WHERE len(list_filter(range(1, len(line) - k + 2), lambda s: list_sum(line[s:s + k - 1]) * 100 >= k * 80)) > 0
+  UNION SELECT doc_id, item_id FROM met
+), near AS (
+  SELECT doc_id, count(*) AS n_near, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS near_ids FROM close GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(near_ids, '') AS near_items
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """
