@@ -7,13 +7,15 @@ posting meets each place of an item where its term stands; the run of equal term
 occur. Only postings of anchor terms leave their row, however long the text is.
 
 A filter of fixed size (one bit a hash value) drops other terms while a text is read; the join by term that follows is
-exact. A posting also has a sketch of its surroundings, one of 64 bits for each word, and so has every window of an item:
-a window with too many bits that the posting lacks cannot occur there, so most meetings end at a few bit operations.
+exact. A posting also has a sketch of the words on each side, one of 64 bits for each word, and so has every window of an
+item: a window with too many bits that the posting lacks cannot occur there, so most meetings end at a few bit operations.
 Words are those of the whole text, ASCII letters in lower case.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +74,7 @@ def _places(ws: Column, bits: list[int]) -> Column:
 
 
 def item_places(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row for each place of each item: item, row (tells items of one id apart), n (its words), at (from 0), term, left, right, windows (sketches of those with the place)."""
+    """One row for each place of each item: item, row (tells items of one id apart), n (its words), at (from 0), term, left, right, windows (sketches of both sides of those with the place)."""
     named = items.select(F.col(id_col).alias("item"), F.xxhash64(id_col, text_col).alias("row"), words(F.col(text_col)).alias("w")).distinct()
     named = named.where(F.size("w") > 0).withColumn("bits", F.transform("w", _bit)).select("item", "row", "w", "bits", F.posexplode("w").alias("at", "term"))
     width = F.least(F.size("w"), F.lit(WINDOW))
@@ -80,7 +82,7 @@ def item_places(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     return named.select(
         "item", "row", F.size("w").alias("n"), "at", "term",
         F.reverse(F.slice("w", F.greatest(F.lit(1), F.col("at") - (WINDOW - 2)), F.least(F.col("at"), F.lit(WINDOW - 1)))).alias("left"),
-        F.slice("w", F.col("at") + 2, F.lit(WINDOW - 1)).alias("right"), F.transform(starts, lambda s: _sketch(F.slice("bits", s + 1, width))).alias("windows"),
+        F.slice("w", F.col("at") + 2, F.lit(WINDOW - 1)).alias("right"), F.transform(starts, lambda s: F.struct(_sketch(F.slice("bits", s + 1, F.col("at") - s)).alias("left"), _sketch(F.slice("bits", F.col("at") + 2, s + width - 1 - F.col("at"))).alias("right"))).alias("windows"),
     )
 
 
@@ -100,12 +102,13 @@ def _agree(a: Column, b: Column) -> Column:
 
 def positional_index(docs: DataFrame, terms: list[int], id_col: str, text_col: str) -> DataFrame:
     """Rows of documents with the postings of terms that pass the filter: position, the terms on both sides and their sketch."""
-    split = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("of"), words(F.col(text_col)).alias("w")).withColumn("bits", F.transform("w", _bit))
-    first = lambda i: F.greatest(F.lit(1), i - (WINDOW - 1 + SLACK))
+    split = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("of"), words(F.col(text_col)).alias("w"))
+    reach = WINDOW - 1 + SLACK
+    left = lambda i: F.slice(F.col("w"), F.greatest(F.lit(1), i - reach), F.least(i - 1, F.lit(reach)))
+    right = lambda i: F.slice(F.col("w"), i + 1, F.lit(reach))
     posting = lambda i: F.struct(
-        i.alias("at"), F.element_at(F.col("w"), i).alias("term"), _sketch(F.slice(F.col("bits"), first(i), i + (WINDOW + SLACK) - first(i))).alias("sketch"),
-        F.reverse(F.slice(F.col("w"), F.greatest(F.lit(1), i - (WINDOW - 1 + SLACK)), F.least(i - 1, F.lit(WINDOW - 1 + SLACK)))).alias("left"),
-        F.slice(F.col("w"), i + 1, F.lit(WINDOW - 1 + SLACK)).alias("right"),
+        i.alias("at"), F.element_at(F.col("w"), i).alias("term"), F.reverse(left(i)).alias("left"), right(i).alias("right"),
+        _sketch(F.transform(left(i), _bit)).alias("on_left"), _sketch(F.transform(right(i), _bit)).alias("on_right"),
     )
     return split.select("doc", "of", F.size("w").cast("long").alias("n_words"), F.transform(_places(F.col("w"), terms), posting).alias("postings"))
 
@@ -116,13 +119,14 @@ def _near(item_side: Column, side: Column) -> Column:
     return F.transform(item_side, lambda w, i: F.array_contains(F.slice(side, first(i), i + (2 + SLACK) - first(i)), w).cast("int"))
 
 
-def _close(n: Column) -> Column:
-    """Whether a window of the item with the posting's term in it has enough near words; columns of :func:`matches`."""
-    line = F.concat(F.reverse(F.col("near_left")), F.array(F.lit(1)), F.col("near_right"))
+def _close(n: Column, line: Column) -> Column:
+    """Whether a window of the item with the posting's term in it has enough near words; line: a mark for each word around.
+
+    The line is bound by a lambda, or it would be worked out again for each window.
+    """
     width = F.least(n, F.lit(WINDOW))
-    starts = F.sequence(F.lit(1), F.size(line) - width + 1)
-    enough = lambda s: F.aggregate(F.slice(line, s, width), F.lit(0), lambda acc, x: acc + x) * 100 >= width * NEAR_PCT
-    return (n >= NEAR_WORDS) & F.exists(starts, enough)
+    enough = lambda x, s: F.aggregate(F.slice(x, s, width), F.lit(0), lambda acc, m: acc + m) * 100 >= width * NEAR_PCT
+    return (n >= NEAR_WORDS) & F.exists(F.array(line), lambda x: F.exists(F.sequence(F.lit(1), F.size(x) - width + 1), lambda s: enough(x, s)))
 
 
 def matches(index: DataFrame, places: DataFrame, small: bool, near: bool = False) -> DataFrame:
@@ -136,15 +140,16 @@ def matches(index: DataFrame, places: DataFrame, small: bool, near: bool = False
     met = rows.join(F.broadcast(named) if small else named, "term")
     width = F.least("n", F.lit(WINDOW))
     lacking = F.floor(width * (100 - NEAR_PCT) / 100).cast("int") if near else F.lit(0)
-    met = met.where(F.exists("windows", lambda m: F.bit_count(m.bitwiseAND(F.bitwise_not(F.col("sketch")))) <= lacking))
+    lacks = lambda i, side: F.bit_count(F.get("windows", F.lit(i))[side].bitwiseAND(F.bitwise_not(F.col(f"on_{side}"))))
+    met = met.where(reduce(lambda a, b: a | b, (F.coalesce(lacks(i, "left") + lacks(i, "right") <= lacking, F.lit(False)) for i in range(WINDOW))))
     met = met.withColumns({"l": _agree(F.col("left"), F.col("item_left")), "r": _agree(F.col("right"), F.col("item_right"))})
     whole = (F.col("n") < WINDOW) & (F.col("l") == F.col("item_at")) & (F.col("r") == F.col("n") - 1 - F.col("item_at"))
     phrase = (F.col("l") + F.col("r") + 1 >= WINDOW) | whole
     out = ["doc", "of", "item", F.when(phrase, F.col("at") - F.col("l")).alias("from"), F.when(phrase, F.col("at") + F.col("r")).alias("to")]
     if not near:
         return met.where(phrase).select(*out)
-    sides = {"near_left": _near(F.col("item_left"), F.col("left")), "near_right": _near(F.col("item_right"), F.col("right"))}
-    return met.withColumns(sides).where(phrase | _close(F.col("n"))).select(*out)
+    line = F.concat(F.reverse(_near(F.col("item_left"), F.col("left"))), F.array(F.lit(1)), _near(F.col("item_right"), F.col("right")))
+    return met.where(phrase | _close(F.col("n"), line)).select(*out)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", near: bool = False) -> DataFrame:
