@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import num, q
-from ..functions.distributions import chi2_sf, ks_sf
+from ..functions.distributions import chi2_sf, ks_p
 from ..functions.exprs import div, ladder
 from ..plans.fuse import fused, long_values, row
 from ..plans.ordering import bucket_of, prefix_sums
@@ -149,7 +149,7 @@ def analyze(baseline: DataFrame, current: DataFrame, numeric: Sequence[str], cat
     for c in numeric:
         m = {"psi": psi(baseline, current, c).first()["psi"], "js_distance": js_numeric(baseline, current, c).first()["js_distance"]}
         r = ks(baseline, current, c).first()
-        m |= {"ks_statistic": r["ks_stat"], "ks_pvalue": ks_sf(r["ks_stat"], r["n_baseline"], r["n_current"])}
+        m |= {"ks_statistic": r["ks_stat"], "ks_pvalue": ks_p(r["ks_stat"], r["n_baseline"], r["n_current"])}
         alerts = [n for n, hit in (("psi", m["psi"] > 0.2), ("ks", m["ks_pvalue"] < 0.05), ("js", m["js_distance"] > 0.1)) if hit]
         out["features"][c] = m | {"alerts": alerts}
     for c in categorical:

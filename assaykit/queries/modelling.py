@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import modelling as m
-from ..operators import linear, neighbours, normality, scoring, shap
+from ..operators import linear, models, neighbours, normality, scoring, shap
 from ..session import read_table
+from ..sources import loader
 from .analysis import r6
 
 QUERIES: dict = {}
@@ -219,3 +220,63 @@ def missing_predictability(spark, d):
     df = read_table(spark, d, "lineitem").selectExpr("l_quantity", "l_tax", "CASE WHEN l_quantity > 40 AND l_orderkey % 3 = 0 THEN NULL ELSE l_extendedprice END AS price")
     got = scoring.gap_predictability(df, "price", ["l_quantity", "l_tax"])
     return spark.createDataFrame([("price", float(got["accuracy"]), float(got["balanced_accuracy"]))], "feature string, accuracy double, balanced_accuracy double")
+
+
+@query
+def fs_rfe_cv(spark, d):
+    """The number of columns is chosen over five folds."""
+    return r6(models.eliminate_cv(_orders(spark, d), FEATS, "y", trees=10).drop("scores"), 3)
+
+
+@query
+def quickml_kernels(spark, d):
+    return r6(models.compare_kernels(_orders(spark, d), FEATS, "y"))
+
+
+class LinearToy:
+    """A user's model: any object with predict or predict_proba over a matrix."""
+
+    def predict(self, x):
+        return 0.5 * x[:, 0] - 3.0 * x[:, 1] + 1.0
+
+    def predict_proba(self, x):
+        p = 1 / (1 + 2.0 ** (-self.predict(x) / 10))
+        return [[1 - v, v] for v in p]
+
+
+@query
+def user_model_predictions(spark, d):
+    df = read_table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity", "CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_discount END AS discount")
+    out = models.with_predictions(df, ["l_quantity", "discount"], LinearToy())
+    return r6(models.with_predictions(out, ["l_quantity", "discount"], LinearToy(), "probabilities", 2).select("l_orderkey", "l_linenumber", "prediction", F.col("probabilities")[1].alias("probability")))
+
+
+SQL["user_model_predictions"] = """
+WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_discount END AS discount FROM lineitem),
+m AS (SELECT quantile_cont(discount, 0.5) AS mid FROM t),
+p AS (SELECT l_orderkey, l_linenumber, 0.5 * l_quantity - 3.0 * coalesce(discount, mid) + 1.0 AS p FROM t, m)
+SELECT l_orderkey, l_linenumber, round(p, 6) + 0.0 AS prediction, round(1 / (1 + pow(2.0, -p / 10)), 6) + 0.0 AS probability FROM p"""
+
+
+@query
+def user_model_importance(spark, d):
+    df = read_table(spark, d, "lineitem").selectExpr("l_quantity", "l_discount", "0.5 * l_quantity - 3.0 * l_discount AS y")
+    return r6(models.model_importance(df, ["l_quantity", "l_discount"], "y", LinearToy(), 2))
+
+
+@query
+def chunk_aggregate(spark, d):
+    """A user's aggregate that merges states of chunks: rows, sum and largest value by return flag."""
+
+    def partial(rows):
+        return {f: (len(g), float(g.sum()), float(g.max())) for f, g in rows.groupby("l_returnflag")["l_extendedprice"]}
+
+    def merge(a, b):
+        both = lambda f: [x[f] for x in (a, b) if f in x]
+        return {f: (sum(x[0] for x in both(f)), sum(x[1] for x in both(f)), max(x[2] for x in both(f))) for f in {*a, *b}}
+
+    got = loader.aggregate_in_chunks(read_table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice"), partial, merge, chunk_rows=20_000)
+    return r6(spark.createDataFrame([(f, *v) for f, v in sorted((got or {}).items())], "flag string, n long, total double, largest double"), 2)
+
+
+SQL["chunk_aggregate"] = "SELECT l_returnflag AS flag, count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(max(l_extendedprice), 2) AS largest FROM lineitem GROUP BY l_returnflag"
