@@ -111,6 +111,12 @@ class Scanner:
         hits = np.concatenate([[0], np.cumsum(np.isin(words, self.hashes))])
         return hits[firsts[1:]] > hits[firsts[:-1]]
 
+    def aligned(self, words: Sequence[str], template: Sequence[str], lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        """First word, end word and matched words of the copies of a template in a region, the last one first: an alignment takes one, and what lies before it is aligned again."""
+        while len(pairs := patience(words[lo:hi], template)) >= max(1, self.coverage * len(template)):
+            yield lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs)
+            hi = lo + pairs[0][0]
+
     def matches(self, text: str) -> list[tuple[str, int, int, float]]:
         """(template, first word, end word, coverage) of the matches, by place. Of matches that overlap the one with more matched words stays, then the first, then the first name."""
         words = tokenize(text)
@@ -129,10 +135,9 @@ class Scanner:
                     continue
                 # the region begins with this telling word's own copy of the template
                 lo = max(done, i - template.index(words[i]) - 2)
-                pairs = patience(words[lo:hi], template)
-                if len(pairs) >= self.coverage * m:
-                    found.append((-len(pairs), lo + pairs[0][0], name, lo + pairs[-1][0] + 1, len(pairs) / m))
-                    done = lo + pairs[-1][0] + 1
+                for start, stop, n in self.aligned(words, template, lo, hi):
+                    found.append((-n, start, name, stop, n / m))
+                    done = max(done, stop)
         kept: list[tuple[str, int, int, float]] = []
         for _, start, name, stop, share in sorted(found):
             if all(stop <= s or e <= start for _, s, e, _ in kept):
