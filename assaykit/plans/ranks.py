@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -56,6 +57,17 @@ class Histogram:
 
         return self._named(got, F.col("__all").alias("n"), F.array(*(value(p) for p in points)).alias("at"))
 
+    def grid(self, k: int) -> dict[str, list[float]]:
+        """The exact quantiles at 0, 1 / k, ..., 1 of each column that has values, with linear interpolation; without groups of by."""
+        place = lambda i: i * (F.col("__all") - 1) / F.lit(float(k))
+        ranks = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.array(F.floor(place(i)).cast("long"), F.ceil(place(i)).cast("long")))
+        out = {}
+        for r in self._named(self._at(F.flatten(ranks)), F.col("__all").alias("n"), F.col("__m").alias("m")).collect():
+            at, last = dict(r["m"]), r["n"] - 1
+            places = [i * last / float(k) for i in range(k + 1)]
+            out[r["feature"]] = [at[lo] + (p - lo) * (at[math.ceil(p)] - at[lo]) for p in places for lo in (math.floor(p),)]
+        return out
+
     def modes(self) -> DataFrame:
         """Group columns, feature and the most frequent value (ties: the smallest)."""
         got = self.held.groupBy("__g").agg(F.max(F.struct("__n", (-F.col("__v")).alias("__v"))).alias("__m"))
