@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("train")
     c.add_argument("test")
     c.add_argument("--entity")
+    c.add_argument("--target")
     args = p.parse_args(argv)
     spark = session()
     if args.command == "detect-leakage":
@@ -33,6 +34,8 @@ def main(argv: list[str] | None = None) -> int:
         out = {"contamination": leakage.contamination(train, test).first()}
         if args.entity:
             out["groups"] = leakage.group_overlap(train, test, args.entity).first()
+        found = leakage.detect_all(train, test, args.target, args.entity)
+        out |= {"findings": [plain(r) for r in found.collect()], "severities": leakage.severity_counts(found).first()}
         print(json.dumps(plain(out)))
         return int(out["contamination"]["n_contaminated"] > 0)
     df = normalise_missing(load(spark, args.data))

@@ -9,11 +9,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from .columns import CATEGORICAL, NUMERIC, columns_of, infer_task, normalise_missing
-from .operators import drift, fairness, features, leakage, missing, modelling, outlier, profile
+from .operators import drift, ensemble, fairness, features, leakage, leakage_report, missing, modelling, outlier, profile
 from .reports import html_report, text_report
 from .sources.loader import plain, write_json
 
 
+#: Rows of one table in a report.
+REPORTED = 1000
+
+
 @dataclass
 class Step:
     module: str
@@ -34,8 +38,15 @@ class Result:
         return {"steps": len(self.steps), "failed": len(self.errors), "recommendations": len(self.recommendations), "alerts": len(self.alerts), "seconds": self.seconds}
 
 
-def _rows(df: DataFrame, limit: int = 1000) -> list[dict]:
-    return [plain(r) for r in df.limit(limit).collect()]
+def _all(df: DataFrame) -> list[dict]:
+    """Rows of a result that has a few for each column."""
+    return [plain(r) for r in df.collect()]
+
+
+def _rows(df: DataFrame, limit: int = REPORTED) -> list[dict]:
+    """Rows for a report; where a result has more than limit, the last one says so."""
+    got = [plain(r) for r in df.limit(limit + 1).collect()]
+    return got if len(got) <= limit else [*got[:limit], {"truncated": f"more than {limit} rows; call the operator for all"}]
 
 
 def _completeness(df, target, **_):
@@ -50,9 +61,15 @@ def _distribution(df, target, **_):
     return out | ({"categorical": _rows(profile.categorical_summary(df, cats))} if cats else {})
 
 
-def _outliers(df, target, **_):
-    nums = columns_of(df, NUMERIC, but=(target,) if target else ())
-    return {"iqr": _rows(outlier.iqr_outliers(df, nums)), "zscore": _rows(outlier.zscore_outliers(df, nums))}
+def _outliers(df, target, key=None, methods=ensemble.METHODS, context=None, **_):
+    """Fences and z-scores by column; with a key column also the votes of all detectors."""
+    nums = columns_of(df, NUMERIC, but=tuple(c for c in (target, key) if c))
+    out = {"iqr": _rows(outlier.iqr_outliers(df, nums)), "zscore": _rows(outlier.zscore_outliers(df, nums))}
+    if key:
+        got = ensemble.detect(df, key, nums, methods, context=context)
+        out |= {"summary": got["summary"], "by_method": _all(got["by_method"]), "outliers": _rows(got["rows"].where("is_outlier").orderBy("row_key"))}
+        out |= {"contextual": _rows(got["contextual"])} if "contextual" in got else {}
+    return out
 
 
 def _drift(df, target, baseline=None, **_):
@@ -63,15 +80,15 @@ def _drift(df, target, baseline=None, **_):
     return drift.analyze(base, df, [c for c in columns_of(df, NUMERIC) if c in both], [c for c in columns_of(df, CATEGORICAL) if c in both])
 
 
-def _leakage(df, target, **_):
-    nums, cats = columns_of(df, NUMERIC), columns_of(df, CATEGORICAL)
-    out = {"perfect_correlations": _rows(leakage.perfect_correlations(df, nums)) if len(nums) > 1 else [], "duplicates": _rows(leakage.duplicate_numeric(df, nums)) if len(nums) > 1 else []}
-    if target:
-        others = [c for c in nums + cats if c != target]
-        out |= {"predictors": _rows(leakage.perfect_predictors(df, others, target)), "suspicious_names": leakage.suspicious_names(others, target)}
-        # a key goes with one target a value as well, and leaks nothing
-        perfect = sum(1 for r in out["predictors"] if r["is_perfect"] and r["key_likeness"] < 0.95)
-        out["score"] = leakage.leakage_score(len(out["perfect_correlations"]), len(out["duplicates"]), perfect, 0, 0, 0)
+def _leakage(df, target, as_of=None, train=None, entity=None, **_):
+    """One table's report; with a training table also what passes between the two."""
+    report = leakage_report.table_report(df, target, as_of)
+    found = _all(report["findings"])
+    kinds = {"perfect_correlations": "perfect_correlation", "duplicates": "duplicate", "predictors": "perfect_predictor", "suspicious_names": "suspicious_name", "temporal": "temporal"}
+    out = {"findings": found, **{name: [f for f in found if f["kind"] == kind] for name, kind in kinds.items()}, "counts": report["counts"], "target": report["target"], "score": report["score"], "recommendations": [{"advice": r} for r in report["recommendations"]]}
+    if train is not None:
+        between = leakage.detect_all(normalise_missing(train), df, target, entity)
+        out["between"] = {"findings": _all(between), "severities": _all(leakage.severity_counts(between))[0]}
     return out
 
 

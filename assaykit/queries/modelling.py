@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import modelling as m
-from ..operators import linear, models, neighbours, normality, scoring, shap
+from ..operators import ensemble, leakage_report, linear, models, neighbours, normality, prepare, scoring, shap
 from ..session import read_table
 from ..sources import loader
 from .analysis import r6
@@ -280,3 +280,51 @@ def chunk_aggregate(spark, d):
 
 
 SQL["chunk_aggregate"] = "SELECT l_returnflag AS flag, count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(max(l_extendedprice), 2) AS largest FROM lineitem GROUP BY l_returnflag"
+
+
+@query
+def prep_setup(spark, d):
+    """Types found, gaps filled, categories as indicators, numbers standardised, times in parts."""
+    o = read_table(spark, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice END AS price", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS status", "cast(o_orderdate as string) AS placed")
+    p = prepare.setup(o, ignore=["o_orderkey"], normalize="zscore")
+    return r6(p.transform(o, ["o_orderkey"]).select("o_orderkey", "num_price", *(f"cat_status_{v}" for v in p.categories["status"]), "placed_year", "placed_month_sin", "placed_dow_cos", "placed_is_weekend"))
+
+
+SQL["prep_setup"] = """
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS status, o_orderdate AS placed FROM orders),
+top AS (SELECT status AS mode FROM t WHERE status IS NOT NULL GROUP BY status ORDER BY count(*) DESC, status LIMIT 1),
+m AS (SELECT avg(price) AS mean FROM t), f AS (SELECT t.*, coalesce(price, mean) AS p, coalesce(status, mode) AS s FROM t, m, top), z AS (SELECT avg(p) AS zm, stddev_pop(p) AS zs FROM f)
+SELECT o_orderkey, round((p - zm) / zs, 6) + 0.0 AS num_price, (s = 'F')::DOUBLE AS "cat_status_F", (s = 'O')::DOUBLE AS "cat_status_O", (s = 'P')::DOUBLE AS "cat_status_P",
+ year(placed)::DOUBLE AS placed_year, round(sin(2 * pi() * month(placed) / 12), 6) + 0.0 AS placed_month_sin, round(cos(2 * pi() * (isodow(placed) - 1) / 7), 6) + 0.0 AS placed_dow_cos, (isodow(placed) >= 6)::INT::DOUBLE AS placed_is_weekend FROM f, z"""
+
+
+@query
+def prep_components(spark, d):
+    li = read_table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    p = prepare.setup(li, ignore=["l_orderkey", "l_linenumber"], normalize="robust", components=0.8)
+    return r6(p.transform(li, ["l_orderkey", "l_linenumber"]), 4)
+
+
+@query
+def feat_quantile_normal(spark, d):
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return r6(prepare.setup(o, numeric=["o_totalprice"], ignore=["o_orderkey"], transformation="quantile-normal").transform(o, ["o_orderkey"]), 4)
+
+
+@query
+def outlier_ensemble(spark, d):
+    return ensemble.detect(_events(spark, d), "event_id", ["value", "user_id"])["rows"]
+
+
+@query
+def outlier_impact(spark, d):
+    o = _orders(spark, d)
+    rows = ensemble.detect(o, "o_orderkey", ["price", "noise"], ("iqr", "zscore"))["rows"]
+    return r6(ensemble.impact(o, "o_orderkey", "y", rows, FEATS, trees=10, depth=5), 3)
+
+
+@query
+def leak_table_report(spark, d):
+    """All findings of one table; copies of the price and a date ahead of its time are planted."""
+    o = read_table(spark, d, "orders").selectExpr("o_orderkey", "o_totalprice AS price", "o_totalprice * 2 AS double_price", "o_orderstatus AS status", "o_orderstatus AS status_result", "date_add(o_orderdate, 20000) AS shipped", "1 AS flat")
+    return r6(leakage_report.table_report(o, "status", "2020-01-01")["findings"], 3)

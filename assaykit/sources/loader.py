@@ -12,10 +12,11 @@ from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..columns import q
+from ..plans.ordering import checkpointed
 
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".parquet": "parquet", ".feather": "feather", ".xlsx": "excel", ".xls": "excel", ".orc": "orc"}
 #: Taken where all lines are valid, and else; the second accepts any byte.
@@ -153,20 +154,18 @@ def aggregate_in_chunks(df: DataFrame, partial: Callable[[pd.DataFrame], object]
 
     A task folds its chunks into one state; states are merged in rounds of tasks until one is left, so the driver gets one
     state whatever the rows. Merging must not depend on the order. progress(tasks done, tasks) is called while the first
-    round runs, and progress(rows, rows) with the rows that Spark observed at its end. No rows give finish(None).
+    round runs, and progress(rows, rows) with the rows that were folded at its end. No rows give finish(None).
     """
-    from ..plans.ordering import checkpointed
-
-    spark, seen = df.sparkSession, Observation()
+    spark = df.sparkSession
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, some, held, n = None, False, [], 0
+        state, some, held, n, rows = None, False, [], 0, 0
 
         def close() -> None:
-            nonlocal state, some, held, n
+            nonlocal state, some, held, n, rows
             if n:
                 own = partial(pd.concat(held, ignore_index=True))
-                state, some, held, n = merge(state, own) if some else own, True, [], 0
+                state, some, held, n, rows = merge(state, own) if some else own, True, [], 0, rows + n
 
         for b in batches:
             while len(b):
@@ -177,7 +176,7 @@ def aggregate_in_chunks(df: DataFrame, partial: Callable[[pd.DataFrame], object]
                     close()
         close()
         if some:
-            yield pd.DataFrame({"state": [pickle.dumps(state)]})
+            yield pd.DataFrame({"state": [pickle.dumps(state)], "rows": [rows]})
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, some = None, False
@@ -188,11 +187,11 @@ def aggregate_in_chunks(df: DataFrame, partial: Callable[[pd.DataFrame], object]
             yield pd.DataFrame({"state": [pickle.dumps(state)]})
 
     with _watched(spark, progress, every):
-        states = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("rows")).mapInPandas(fold, "state binary"))
-    n = states.count()
+        states = checkpointed(df.mapInPandas(fold, "state binary, rows long"))
+    n, rows = states.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
     if progress:
-        rows = int(seen.get["rows"])
         progress(rows, rows)
+    states = states.select("state")
     while n > 1:
         n = -(-n // MERGED)
         states = checkpointed(states.repartition(n).mapInPandas(join, "state binary"))
