@@ -69,12 +69,12 @@ def bucket_of(value: Column, edges: Sequence[float]) -> Column:
     return tree(0, len(edges))
 
 
-def prefix_sums(df: DataFrame, order: str, sums: dict[str, Column], ranges: int = 64) -> DataFrame:
-    """Rows (distinct values of order) with running totals up to and including them, summed range by range."""
-    held = checkpointed(df)
-    cuts = held.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000).alias("p")).first()["p"]
-    edges = sorted(set(cuts or []))
-    ranged = held.withColumn("__range", bucket_of(F.col(order), edges))
+def prefix_sums(df: DataFrame, order: str, sums: dict[str, Column]) -> DataFrame:
+    """Rows (distinct values of order) with running totals up to and including them, summed range by range.
+
+    There are as many sorted ranges as the session has shuffle partitions (or as adaptive execution leaves of them).
+    """
+    ranged = checkpointed(df.repartitionByRange(order).withColumn("__range", F.spark_partition_id()))
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("__range").agg(*(F.sum(c).alias(f"__{n}") for n, c in sums.items()))
     offsets = totals.select("__range", *(F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums))
