@@ -223,6 +223,26 @@ def error_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.agg(F.count(e).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.stddev_samp(e).alias("error_std"), *(at[i].alias(f"abs_p{p}") for i, p in enumerate((25, 50, 75, 90, 99))))
 
 
+def classification_errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """n, accuracy, error_rate and n_errors over rows that have both; null rates without rows."""
+    wrong = (q(actual) != q(predicted)).cast("double")
+    return df.agg(F.count(wrong).alias("n"), (1 - F.avg(wrong)).alias("accuracy"), F.avg(wrong).alias("error_rate"), F.coalesce(F.sum(wrong), F.lit(0.0)).cast("long").alias("n_errors"))
+
+
+def error_correlates(df: DataFrame, cols: Sequence[str], actual: str, predicted: str, k: int = 10) -> DataFrame:
+    """The k columns that correlate most with being predicted wrongly (ties: name): feature, r; columns without a correlation are left out."""
+    wrong = (q(actual) != q(predicted)).cast("double")
+    got = fused(df, [row(feature=F.lit(c), r=corr(num(c), wrong)) for c in cols])
+    return got.where("r is not null").orderBy(F.desc(F.abs("r")), "feature").limit(k)
+
+
+def worst_predictions(df: DataFrame, key: str, actual: str, predicted: str, k: int = 10) -> DataFrame:
+    """The k rows with the largest absolute error (ties: key): row_key, actual, predicted, error."""
+    e = F.abs(num(predicted) - num(actual))
+    rows = df.select(q(key).alias("row_key"), num(actual).alias("actual"), num(predicted).alias("predicted"), e.alias("error")).where("error is not null")
+    return rows.orderBy(F.desc("error"), "row_key").limit(k)
+
+
 def downcasts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """The narrowest integer type that holds each whole-number column, from its extremes."""
     got = fused(df, [row(feature=F.lit(c), lo=F.min(num(c)), hi=F.max(num(c)), whole=F.coalesce(F.bool_and(num(c) % 1 == 0), F.lit(False))) for c in cols])

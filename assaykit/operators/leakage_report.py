@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import CATEGORICAL, NUMERIC, columns_of, infer_task, num, q
-from ..plans.fuse import fused, row
 from . import leakage, profile
 from .neighbours import neighbour_information
 from .prepare import infer_types

@@ -57,7 +57,7 @@ class Paths:
         at = x[:, self.feature]
         return (at > self.low) & (at <= self.high)
 
-    def _summed(self, per_place: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+    def _summed(self, per_place: np.ndarray) -> np.ndarray:
         """row, leaf, place -> row, class, feature."""
         flat = per_place.reshape(len(per_place), -1)
         leaf = np.repeat(np.arange(len(self.feature)), self.feature.shape[1])
@@ -114,7 +114,7 @@ class Paths:
         return out
 
 
-def exported(model, width: int, classes: bool | None = None) -> Paths:
+def exported(model, width: int) -> Paths:
     """The paths of a fitted tree, forest or boosted ensemble of width numeric features, through its saved form in the shared folder.
 
     Values are class probabilities of classifying trees (all classes), predictions of others; a boosted classifier's are

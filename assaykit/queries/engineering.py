@@ -145,11 +145,11 @@ def exp_target_corr(spark, d):
     return r6(features.target_correlations(_net(spark, d), LINE, "net"))
 
 
-_PRED = "(SELECT o_orderpriority, (o_totalprice > 200000)::INT AS p, (o_orderkey % 3 = 0)::INT AS a, o_totalprice, o_totalprice * 0.9 + 500 AS guess FROM orders)"
+_PRED = "(SELECT o_orderkey, o_orderpriority, (o_totalprice > 200000)::INT AS p, (o_orderkey % 3 = 0)::INT AS a, o_totalprice, o_totalprice * 0.9 + 500 AS guess FROM orders)"
 
 
 def _predicted(spark, d):
-    return read_table(spark, d, "orders").selectExpr("o_orderpriority", "cast(o_totalprice > 200000 as int) AS p", "cast(o_orderkey % 3 = 0 as int) AS a", "o_totalprice", "o_totalprice * 0.9 + 500 AS guess")
+    return read_table(spark, d, "orders").selectExpr("o_orderkey", "o_orderpriority", "cast(o_totalprice > 200000 as int) AS p", "cast(o_orderkey % 3 = 0 as int) AS a", "o_totalprice", "o_totalprice * 0.9 + 500 AS guess")
 
 
 @query("exp_slice_metrics", f"SELECT o_orderpriority AS slice, count(*) AS n, round(avg((a = p)::INT), 6) AS accuracy, round(avg(p), 6) AS predicted_rate, round(avg(a), 6) AS actual_rate FROM {_PRED} GROUP BY 1 HAVING count(*) >= 10 ORDER BY n DESC, slice LIMIT 10")
@@ -162,6 +162,28 @@ def exp_error_metrics(spark, d):
     return r6(features.error_metrics(_predicted(spark, d), "o_totalprice", "guess"), 4, mse=2)
 
 
+_CLASSED = "(SELECT o_orderkey, o_totalprice AS price, month(o_orderdate)::DOUBLE AS month, 1.0 AS flat, (o_totalprice > 200000)::INT AS y, (o_totalprice > 150000 + 1000 * (o_custkey % 97))::INT AS guess FROM orders)"
+
+
+def _classed(spark, d):
+    return read_table(spark, d, "orders").selectExpr("o_orderkey", "o_totalprice AS price", "cast(month(o_orderdate) AS double) AS month", "1.0D AS flat", "cast(o_totalprice > 200000 AS int) AS y", "cast(o_totalprice > 150000 + 1000 * (o_custkey % 97) AS int) AS guess")
+
+
+@query("exp_classification_errors", f"SELECT count(*) AS n, round(avg((y = guess)::INT), 6) AS accuracy, round(avg((y <> guess)::INT), 6) AS error_rate, sum((y <> guess)::INT)::BIGINT AS n_errors FROM {_CLASSED}")
+def exp_classification_errors(spark, d):
+    return r6(features.classification_errors(_classed(spark, d), "y", "guess"))
+
+
+@query("exp_error_correlates", "SELECT * FROM (" + union(f"SELECT '{c}' AS feature, round(corr({c}, (y <> guess)::INT), 6) AS r FROM {_CLASSED}" for c in ("price", "month")) + ")")
+def exp_error_correlates(spark, d):
+    return r6(features.error_correlates(_classed(spark, d), ["price", "month", "flat"], "y", "guess"))
+
+
+@query("exp_worst_predictions", f"SELECT o_orderkey AS row_key, o_totalprice AS actual, round(guess, 4) AS predicted, round(abs(guess - o_totalprice), 4) AS error FROM {_PRED} ORDER BY abs(guess - o_totalprice) DESC, o_orderkey LIMIT 10")
+def exp_worst_predictions(spark, d):
+    return r6(features.worst_predictions(_predicted(spark, d), "o_orderkey", "o_totalprice", "guess"), 4)
+
+
 @query("memory_downcast", union(f"SELECT '{c}' AS feature, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, CASE WHEN NOT bool_and({c}::DOUBLE % 1 = 0) THEN 'float' WHEN min({c}) >= -128 AND max({c}) < 128 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) < 32768 THEN 'smallint' WHEN min({c}) >= -2147483648 AND max({c}) < 2147483648 THEN 'int' ELSE 'bigint' END AS narrow_type FROM lineitem" for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_tax")))
 def memory_downcast(spark, d):
     return features.downcasts(read_table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_quantity", "l_tax"])
