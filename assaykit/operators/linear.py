@@ -295,3 +295,60 @@ def iterative_impute(df: DataFrame, cols: Sequence[str], rounds: int = 10) -> Da
 
     schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in cols else f.dataType) for f in df.schema])
     return df.withColumns({c: num(c) for c in cols}).mapInArrow(fill, schema)
+
+
+# --- principal components ----------------------------------------------------------------------------------------------
+
+#: Deviations beyond which values are clipped before components are taken.
+CLIP = 5.0
+
+
+def principal(df: DataFrame, cols: Sequence[str], k: int = 50, top: int = 10, described: int = 5) -> dict:
+    """Principal components of filled (medians), clipped and standardised columns, from one scan's sums of products.
+
+    components: component, explained, cumulative, singular_value; loadings: of the first few components the columns of the
+    largest size (component, rank, feature, loading; signs make the largest one positive); needed: components for 80, 90
+    and 95 percent (all of them, if rounding keeps the sum below); place: a function of (df, key, dims) that gives
+    row_key, pc_1, ... An infinite value counts as a gap, a constant column has no part. No rows give components of 0.
+    """
+    k = min(k, len(cols))
+    finite = lambda c: F.when(F.abs(num(c)) != float("inf"), num(c))
+    held = filled(df.select("*", *(finite(c).alias(f"__c{i}") for i, c in enumerate(cols))), names := [f"__c{i}" for i in range(len(cols))])
+    at = {r["feature"]: r for r in fused(held, [row(feature=F.lit(n), m=F.avg(num(n)), s=F.stddev_pop(num(n))) for n in names]).collect()}
+    fills = {r["feature"]: r["f"] for r in fused(held, [row(feature=F.lit(n), f=F.max(F.when(finite(c).isNull(), num(n)))) for n, c in zip(names, cols)]).collect()}
+    cut = {n: (at[n]["m"] or 0.0, at[n]["s"] or 0.0) for n in names}
+
+    def clipped(x, n: str):
+        m, s = cut[n]
+        return F.greatest(F.least(x, F.lit(m + CLIP * s)), F.lit(m - CLIP * s))
+
+    after = {r["feature"]: r for r in fused(held, [row(feature=F.lit(n), m=F.avg(clipped(num(n), n)), s=F.stddev_pop(clipped(num(n), n))) for n in names]).collect()}
+    z = lambda x, n: (clipped(x, n) - F.lit(after[n]["m"] or 0.0)) / F.lit(after[n]["s"] or 1.0)
+    data = held.select(*(z(num(n), n).alias(n) for n in names))
+
+    def products(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        v = np.column_stack([np.ones(b.num_rows), _batch(b, names), np.zeros(b.num_rows)])
+        yield 0, v.T @ v
+
+    every = summed(data, 1, (len(cols) + 2, len(cols) + 2), products)[0]
+    cov, _, _, _ = _centred(every)
+    n = every[0, 0]
+    value, vector = np.linalg.eigh(cov)
+    order = np.argsort(-value)[:k]
+    value, load = np.maximum(value[order], 0), vector[:, order].T
+    load = load * np.where(load[np.arange(k), np.abs(load).argmax(1)] < 0, -1.0, 1.0)[:, None]
+    share = value / np.trace(cov) if np.trace(cov) > 0 else np.zeros(k)
+    upto = np.cumsum(share)
+    spark = df.sparkSession
+    rows = [(i + 1, float(share[i]), float(upto[i]), float(np.sqrt(value[i] * n))) for i in range(k)]
+    large = [(i + 1, r, cols[j], float(load[i, j])) for i in range(min(described, k)) for r, j in enumerate(np.argsort(-np.abs(load[i]), kind="stable")[:top], 1)]
+
+    def place(more: DataFrame, key: str, dims: int = 2) -> DataFrame:
+        parts = [z(F.coalesce(finite(c), F.lit(fills[n] if fills[n] is not None else cut[n][0])), n) for n, c in zip(names, cols)]
+        return more.select(q(key).alias("row_key"), *(sum((x * F.lit(float(w)) for x, w in zip(parts, load[i])), F.lit(0.0)).alias(f"pc_{i + 1}") for i in range(min(dims, k))))
+
+    return {
+        "components": spark.createDataFrame(rows, "component int, explained double, cumulative double, singular_value double"),
+        "loadings": spark.createDataFrame(large, "component int, rank int, feature string, loading double"),
+        "needed": {p: int(next((i + 1 for i in range(k) if upto[i] >= p / 100 - 1e-12), k)) for p in (80, 90, 95)}, "place": place,
+    }

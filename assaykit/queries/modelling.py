@@ -328,3 +328,15 @@ def leak_table_report(spark, d):
     """All findings of one table; copies of the price and a date ahead of its time are planted."""
     o = read_table(spark, d, "orders").selectExpr("o_orderkey", "o_totalprice AS price", "o_totalprice * 2 AS double_price", "o_orderstatus AS status", "o_orderstatus AS status_result", "date_add(o_orderdate, 20000) AS shipped", "1 AS flat")
     return r6(leakage_report.table_report(o, "status", "2020-01-01")["findings"], 3)
+
+
+@query
+def dim_pca_loadings(spark, d):
+    li = read_table(spark, d, "lineitem").selectExpr(*COLS, "l_extendedprice * (1 - l_discount) AS net")
+    return r6(linear.principal(li, [*COLS, "net"])["loadings"], 3)
+
+
+@query
+def dim_pca_places(spark, d):
+    li = read_table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS row_key", *COLS, "l_extendedprice * (1 - l_discount) AS net")
+    return r6(linear.principal(li, [*COLS, "net"])["place"](li, "row_key", 3), 3)

@@ -138,3 +138,21 @@ def test_chained_equations_edges(spark):
     got = {r["k"]: r for r in linear.iterative_impute(df, ["a", "b", "c"]).collect()}
     assert all(r["b"] is None for r in got.values()) and got[1]["c"] is not None and got[2]["a"] is not None and got[3]["a"] == 4.0
     assert linear.iterative_impute(df.limit(0), ["a", "b", "c"]).count() == 0
+
+
+def test_components_match_a_decomposition(spark, data):
+    df = data.withColumn("a", F.when(F.col("k") % 9 > 0, F.col("a"))).withColumn("b", F.when(F.col("k") == 3, 90.0).when(F.col("k") == 4, float("inf")).otherwise(F.col("b")))
+    got = linear.principal(df, COLS)
+    x = df.select("k", *COLS).toPandas().sort_values("k")[COLS].replace(np.inf, np.nan)
+    x = x.fillna(x.median())
+    x = x.clip(x.mean() - 5 * x.std(ddof=0), x.mean() + 5 * x.std(ddof=0), axis=1)
+    z = ((x - x.mean()) / x.std(ddof=0).replace(0, 1)).to_numpy()
+    _, s, v = np.linalg.svd(z, full_matrices=False)
+    rows = got["components"].collect()
+    assert np.allclose([r["singular_value"] for r in rows], s, atol=1e-5) and np.allclose([r["explained"] for r in rows], s**2 / (s**2).sum(), atol=1e-9)
+    first = [r for r in got["loadings"].collect() if r["component"] == 1]
+    assert np.allclose([abs(r["loading"]) for r in first], np.sort(np.abs(v[0]))[::-1], atol=1e-8) and first[0]["loading"] > 0
+    placed = got["place"](df, "k", 3).toPandas().sort_values("row_key")[["pc_1", "pc_2", "pc_3"]].to_numpy()
+    assert np.allclose(np.abs(placed), np.abs(z @ v[:3].T), atol=1e-8)
+    assert got["needed"][80] == int(np.searchsorted(np.cumsum(s**2) / (s**2).sum(), 0.8) + 1)
+    assert linear.principal(df.limit(0), COLS)["components"].count() == 5
