@@ -8,10 +8,11 @@ and place.
 
 Everything is expressions. A line is cut into pieces of PIECE windows by an explode, and each piece is a row of plain
 columns that stay in generated code; minima over a class are partial aggregates. Members of a band's list meet its first
-member only, so a large group of copies costs one pair a member. Lists that still hold several components are taken
-further: short ones by pairs across components, long ones by further bands within the list, so that no list is ever
-paired as a whole. Pairs across components are compared by sketches, the lowest bits of further minima, where they meet;
-only those that may be similar leave the join, for the exact check.
+member only, so a large group of copies costs one pair a member; where that leaves several components, each member meets
+one further member that its minima choose. Of lists that still hold several components, short ones
+are paired across components; the members of all longer ones go through an exact prefix join: shingles are ordered from
+rare to frequent, and two lines can be similar only if they share one of the first few of each. Shingles that one
+component alone holds come first and make no pairs, so lines that share a passage and are too far apart meet nobody.
 """
 
 from __future__ import annotations
@@ -29,23 +30,18 @@ SHINGLE, NUM, DEN = 9, 80, 100
 #: Windows hashed in one row; more of them make code that the JVM does not compile.
 PIECE = 8
 #: Minima of a signature. A pair's similarity is the chance of each to be equal; one of 0.8 has fewer than LEAST_ALIKE
-#: equal with a probability of 0.004 and is not verified then.
-MINIMA, LEAST_ALIKE = 12, 6
-#: Bands of the first level take the minima i, i + 1 and i + 4 (mod MINIMA), so two bands share one at most: a pair of
-#: similarity 0.8 meets in a band with a probability of 0.993, one of 0.9 with 0.9998. Those of the second level, for
-#: members of long lists, take five minima (0.97 at 0.8).
-STEPS = (((0, 1, 4),), ((0, 1, 3, 4, 8), (0, 1, 5, 6, 7), (0, 2, 8, 9, 10)))
-#: Lists of more members are not paired at the first level.
-LONG = 64
-
-#: Groups of 16 bits in the sketches of each level, and bytes of a line from which it is sketched.
-SKETCH, SKETCHED = (8, 32), 100
+#: equal with a probability of 0.00006 and is not verified then, if a band alone proposes it.
+MINIMA, LEAST_ALIKE = 12, 4
+#: Bands take the minima i, i + 1 and i + 4 (mod MINIMA), so two bands share one at most: a pair of similarity 0.8 meets
+#: in a band with a probability of 0.993, one of 0.9 with 0.9998.
+STEPS = (0, 1, 4)
+#: Lists of more members are not paired: their members go to the prefix join.
+LONG = 16
+
 #: Bytes of lines or sets that are broadcast for the exact check; more of them are shuffled.
 BROADCAST_BYTES = 32 << 20
-#: Members of a list compared in one task.
-SLICE = 2_048
 
-MASKS = [int.from_bytes(hashlib.sha256(f"line {i}".encode()).digest()[:8], "big", signed=True) for i in range(max(MINIMA, 16))]
+MASKS = [int.from_bytes(hashlib.sha256(f"line {i}".encode()).digest()[:8], "big", signed=True) for i in range(MINIMA)]
 
 
 def _windows(lines: DataFrame, piece: int) -> DataFrame:
@@ -69,34 +65,9 @@ def signatures(lines: DataFrame) -> DataFrame:
     return least.groupBy("key").agg(*(F.min(f"m{i}").alias(f"m{i}") for i in range(MINIMA)))
 
 
-def sketches(lines: DataFrame, groups: int) -> DataFrame:
-    """key and the words w0, w1, ... of the sketch of each line of SKETCHED bytes or more.
-
-    A sketch has 16 bits a group: the lowest bits of minima under 16 masks, the windows hashed anew for each group. Two lines
-    of similarity s differ in a bit with a probability of (1 - s) / 2.
-    """
-    piece, bits = 4, 16
-    hashed = _windows(lines.where(F.octet_length("line") >= SKETCHED), piece)
-    dealt = hashed.select("key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), *(f"h{j}" for j in range(piece)))
-    anew = dealt.select("key", "g", *(F.xxhash64("g", f"h{j}").alias(f"h{j}") for j in range(piece)))
-    least = anew.select("key", "g", *(_least(i, piece) for i in range(bits))).groupBy("key", "g").agg(*(F.min(f"m{i}").alias(f"m{i}") for i in range(bits)))
-    word = sum((F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(1)).cast("long"), i) for i in range(bits)), F.lit(0).cast("long"))
-    placed = least.select("key", "g", word.alias("w"))
-    # four groups make a word
-    part = lambda w, i: F.max(F.when(F.col("g") == w * 4 + i, F.shiftleft("w", 16 * i)))
-    return placed.groupBy("key").agg(*(part(w, 0).bitwiseOR(part(w, 1)).bitwiseOR(part(w, 2)).bitwiseOR(part(w, 3)).alias(f"w{w}") for w in range(groups // 4)))
-
-
-def differing(groups: int) -> int:
-    """Bits in which two lines of the least similarity may differ: two and a half deviations above the mean (0.6 % differ in more)."""
-    bits, chance = groups * 16, (1 - NUM / DEN) / 2
-    return int(bits * chance + 2.5 * (bits * chance * (1 - chance)) ** 0.5)
-
-
-def _bands(level: int) -> Column:
-    """The grams of all bands of a level, each with the number of its band."""
-    chosen = [[f"m{(i + s) % MINIMA}" for s in steps] for steps in STEPS[level] for i in range(MINIMA)]
-    return F.explode(F.array(*(F.xxhash64(F.lit(n), *names) for n, names in enumerate(chosen)))).alias("gram")
+def _bands() -> Column:
+    """The grams of all bands, each with the number of its band."""
+    return F.explode(F.array(*(F.xxhash64(F.lit(i), *(f"m{(i + s) % MINIMA}" for s in STEPS)) for i in range(MINIMA)))).alias("gram")
 
 
 def _lists(members: DataFrame) -> DataFrame:
@@ -121,10 +92,15 @@ def _few(texts: DataFrame, times: int) -> bool:
     return (texts.agg(size).first()[0] or 0) <= BROADCAST_BYTES
 
 
-def verify(pairs: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def _alike(x: str, y: str) -> Column:
+    """How many minima are equal."""
+    return sum(((F.col(x.format(i)) == F.col(y.format(i))).cast("int") for i in range(MINIMA)), F.lit(0))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN, least: int = LEAST_ALIKE) -> DataFrame:
     """The pairs (a, b) of keys whose lines have a similarity of num/den or more; texts: key, line and minima.
 
-    A hot key is joined sorted, so that adaptive execution splits it.
+    Pairs with fewer than least equal minima are not compared; 0 compares all. A hot key is joined sorted, so that adaptive execution splits it.
     """
     minima = [f"m{i}" for i in range(MINIMA)]
     seconds = texts.join(broadcast_if_small(pairs.select(F.col("b").alias("key")).distinct()), "key", "left_semi")
@@ -134,9 +110,8 @@ def verify(pairs: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN) -
     x = firsts.select(F.col("key").alias("a"), F.array_distinct(_shingles(F.col("line"))).alias("set"), F.struct(*minima).alias("x"))
     # a set takes eight bytes a character
     both = pairs.join(F.broadcast(y) if _few(seconds, 1) else y, "b").join(F.broadcast(x) if _few(firsts, 8) else x, "a")
-    alike = sum((F.col(f"x.{m}") == F.col(f"y.{m}")).cast("int") for m in minima)
     # exploded, so that the set is made once and not again in each place that refers to it
-    sets = both.where(alike >= LEAST_ALIKE).select("a", "b", "set", F.explode(F.array(F.array_distinct(_shingles(F.col("y.line"))))).alias("other"))
+    sets = both.where(_alike("x.m{}", "y.m{}") >= least).select("a", "b", "set", F.explode(F.array(F.array_distinct(_shingles(F.col("y.line"))))).alias("other"))
     shared = sets.select("a", "b", (F.size("set") + F.size("other")).alias("n"), F.size(F.array_intersect("set", "other")).alias("c"))
     return shared.where(F.col("c") * den >= (F.col("n") - F.col("c")) * num).select("a", "b")
 
@@ -148,60 +123,93 @@ def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(placed.join(broadcast_if_small(several), "gram", "left_semi"))
 
 
-def _across(opened: DataFrame, marks: DataFrame, groups: int, nearest: bool = False) -> DataFrame:
-    """Pairs of different components within lists, but for those of two members of a list's largest component.
+def _likest(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Of pairs (key, k2), for each key the one whose minima are the most alike: a, b."""
+    minima = [f"m{i}" for i in range(MINIMA)]
+    other = signed.select(F.col("key").alias("k2"), *(F.col(m).alias(f"{m}_2") for m in minima))
+    best = F.max_by("k2", F.struct(_alike("m{}", "m{}_2"), "k2")).alias("k2")
+    chosen = pairs.join(signed.select("key", *minima), "key").join(other, "k2").groupBy("key").agg(best)
+    return chosen.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct()
+
+
+def _guided(opened: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b): each member of lists that hold several components with the likest of its lists' guides.
+
+    Guides are two members of each list, drawn by a hash; those of the member's own component do not count.
+    """
+    drawn = F.struct(F.xxhash64("gram", "key").alias("h"), "key", "comp")
+    guides = opened.groupBy("gram").agg(F.array(F.min(drawn), F.max(drawn)).alias("guides"))
+    met = opened.join(guides, "gram").select("key", "comp", F.explode("guides").alias("g")).where(F.col("g.comp") != F.col("comp"))
+    return _likest(met.select("key", F.col("g.key").alias("k2")).distinct(), signed)
+
+
+def _across(opened: DataFrame, signed: DataFrame, least: int = LEAST_ALIKE) -> DataFrame:
+    """Pairs of different components within short lists, with at least so many equal minima."""
+    minima = [f"m{i}" for i in range(MINIMA)]
+    marked = cut(opened.join(signed, "key").select("gram", "key", "comp", *minima))
+    other = marked.select("gram", F.col("key").alias("k2"), F.col("comp").alias("comp2"), *(F.col(m).alias(f"{m}_2") for m in minima))
+    met = marked.join(other, "gram").where((F.col("key") < F.col("k2")) & (F.col("comp") != F.col("comp2")) & (_alike("m{}", "m{}_2") >= least))
+    return met.select(F.col("key").alias("a"), F.col("k2").alias("b")).distinct()
+
+
+def _prefixes(crowd: DataFrame, num: int, den: int) -> DataFrame:
+    """The rarest shingles of each line of a crowd (key, comp, line): t, key, comp, n (of the set), p (place in the order).
+
+    Shingles of one component only are the rarest; they take their places and get no row, as they make no pairs.
+    """
+    sets = crowd.select("key", "comp", F.explode(F.array(F.array_distinct(_shingles(F.col("line"))))).alias("set"))
+    each = sets.select("key", "comp", F.size("set").alias("n"), F.explode("set").alias("t"))
+    held = each.groupBy("t").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
+    ordered = each.join(held.select("t", "c"), "t").groupBy("key", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("ts"))
+    own = F.col("n") - F.size("ts")
+    first = F.expr(f"n - (n * {num}L + {den - 1}) div {den} + 1").cast("int")
+    posted = ordered.select("key", "comp", "n", own.alias("own"), F.posexplode(F.slice("ts", F.lit(1), F.greatest(first - own, F.lit(0)))).alias("at", "s"))
+    return posted.select(F.col("s.t").alias("t"), "key", "comp", "n", (F.col("own") + F.col("at")).alias("p"))
+
+
+def prefix_pairs(crowd: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Pairs (a, b) of a crowd (key, comp, line) that may be similar and are of different components: none is lost.
 
-    marks: sketches of the members. Pairs whose sketches differ too much are left out; with nearest, each member outside a
-    largest component comes with the one whose sketch is the most like its own only. A long list is dealt to slices, and
-    each minor member meets them all.
+    Of two similar sets the larger one's first n - num/den n + 1 shingles and the smaller one's first n - 2 num/(num + den) n
+    + 1 share one. A shared shingle must leave enough shingles behind it in both for the overlap that the sizes ask for.
     """
-    words = [f"w{w}" for w in range(groups // 4)]
-    major = opened.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), (F.sum("count") / SLICE).cast("int").alias("slices"))
-    marked = cut(opened.join(broadcast_if_small(major), "gram").join(marks, "key", "left").withColumn("minor", F.col("comp") != F.col("major")))
-    dealt = marked.withColumn("slice", F.pmod("key", F.col("slices") + 1).cast("int"))
-    minor = marked.where("minor").select("gram", F.explode(F.sequence(F.lit(0), "slices")).alias("slice"), F.col("key").alias("k2"), F.col("comp").alias("comp2"), *(F.col(w).alias(f"{w}_2") for w in words))
-    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_2"))) for w in words), F.lit(0))
-    # of two minor members the smaller key is taken on the left, so a pair comes once a list
-    met = dealt.join(minor, ["gram", "slice"]).where((F.col("comp") != F.col("comp2")) & (~F.col("minor") | (F.col("key") < F.col("k2"))) & F.coalesce(apart <= differing(groups), F.lit(True)))
-    if nearest:
-        met = met.groupBy("k2").agg(F.min_by("key", F.coalesce(apart, F.lit(0))).alias("key"))
+    x = cut(_prefixes(crowd, num, den))
+    index = x.where(F.expr(f"p <= n - (n * {2 * num}L + {num + den - 1}) div {num + den}"))
+    y = index.select("t", F.col("key").alias("k2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
+    larger = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("k2") < F.col("key")))
+    left = F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")).cast("long")
+    fits = (F.col("n2").cast("long") * den >= F.col("n").cast("long") * num) & (left * (num + den) >= (F.col("n") + F.col("n2")).cast("long") * num)
+    met = x.join(y, "t").where((F.col("comp") != F.col("comp2")) & larger & fits)
     return met.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct()
 
 
-def linked_lines(named: DataFrame, num: int = NUM, den: int = DEN, long: int = LONG) -> DataFrame:
+def linked_lines(named: DataFrame, num: int = NUM, den: int = DEN, long: int = LONG, least: int = LEAST_ALIKE) -> DataFrame:
     """Components of the classes of lines (key, line): node, root; classes without a link are absent.
 
-    A level links the members of each list to its first member. Of lists that hold several components then, those of
-    up to long members are paired across components; members of longer ones go to the second level, whose bands take more
-    minima, and are paired there, so lists that no band splits lose nothing.
+    The members of each band's list are linked to its first member. Of lists that hold several components then, those of up
+    to long members are paired across components; the members of longer ones are joined by prefixes, which loses nothing.
+    Pairs that bands propose are compared if at least so many minima are equal (0: all).
     """
     signed = cut(signatures(named))
-    lists = _lists(signed.select("key", _bands(0)))
+    lists = _lists(signed.select("key", _bands()))
     wanted = broadcast_if_small(lists.select("key").distinct())
     texts = cut(named.join(wanted, "key", "left_semi").groupBy("key").agg(F.any_value("line").alias("line")).join(signed.join(wanted, "key", "left_semi"), "key"))
-    roots, pending = None, None
-    for level in range(len(STEPS)):
-        stars = lists.where(F.col("key") != F.col("head")).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-        edges = verify(cut(stars) if roots is None else cut(_apart(stars, roots)), texts, num, den)
-        if roots is not None:
-            edges = edges.union(roots.select("node", "root")).union(verify(pending, texts, num, den))
-        roots = components(edges)
-        opened = _open(lists, roots)
-        last = level == len(STEPS) - 1
-        paired = opened if last else opened.where(F.col("c") <= long)
-        members = broadcast_if_small(paired.select("key").distinct())
-        marks = cut(sketches(texts.join(members, "key", "left_semi"), SKETCH[level]))
-        if last:
-            # most members of a crowd find their component by one pair, so that few are left to meet all
-            near = cut(_across(paired, marks, SKETCH[level], nearest=True))
-            roots = components(verify(near, texts, num, den).union(roots.select("node", "root")))
-            paired = _open(paired, roots)
-        pending = cut(_across(paired, marks, SKETCH[level]).join(stars, ["a", "b"], "left_anti"))
-        crowd = opened.where(F.col("c") > long).select("key").distinct()
-        if last or crowd.isEmpty():
-            break
-        lists = _lists(signed.join(broadcast_if_small(crowd), "key", "left_semi").select("key", _bands(level + 1)))
-    return roots if pending.isEmpty() else components(verify(pending, texts, num, den).union(roots.select("node", "root")))
+    stars = cut(lists.where(F.col("key") != F.col("head")).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
+    roots = components(verify(stars, texts, num, den, least))
+    opened = _open(lists, roots)
+    found = verify(cut(_guided(opened, texts)), texts, num, den, least)
+    roots = components(found.union(roots.select("node", "root")))
+    opened = _open(opened.drop("comp"), roots)
+    short = cut(_across(opened.where(F.col("c") <= long), texts, least).join(stars, ["a", "b"], "left_anti"))
+    edges = roots.select("node", "root").union(verify(short, texts, num, den, 0))
+    crowd = broadcast_if_small(opened.where(F.col("c") > long).select("key", "comp").distinct())
+    if crowd.isEmpty():
+        return components(edges)
+    near = cut(prefix_pairs(texts.select("key", "line").join(crowd, "key"), num, den))
+    both = near.select(F.col("a").alias("key"), F.col("b").alias("k2")).union(near.select("b", "a"))
+    roots = components(edges.union(verify(cut(_likest(both, texts)), texts, num, den, 0)))
+    rest = verify(cut(_apart(near, roots)), texts, num, den, 0)
+    return components(rest.union(roots.select("node", "root")))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
