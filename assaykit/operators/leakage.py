@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..columns import CATEGORICAL, NUMERIC, columns_of, kind_of, num, q
 from ..functions.distributions import ks_sf
@@ -19,6 +22,8 @@ from . import drift
 
 #: Words in column names that speak of the target or of what follows it.
 NAME_HINTS = ("target", "label", "outcome", "result", "prediction", "score")
+#: Vectors of one side that meet those of the other in one task.
+VECTOR_BLOCK = 8_192
 
 
 def _identity(df: DataFrame, cols: Sequence[str], digits: int | None) -> Column:
@@ -115,36 +120,60 @@ def suspicious_names(cols: Sequence[str], target: str, hints: Sequence[str] = NA
     return [c for c in cols if c != target and (low in c.lower() or any(h in c.lower() for h in hints))]
 
 
-def near_duplicates(train: DataFrame, test: DataFrame, vec: str, key: str, threshold: float = 0.95, bits: int = 8, tables: int = 12) -> DataFrame:
-    """Test vectors with a training vector of cosine similarity of threshold or more: key, other, cosine, the best (ties: least other).
+def near_duplicates(train: DataFrame, test: DataFrame, vec: str, key: str, threshold: float = 0.95, block: int = VECTOR_BLOCK) -> DataFrame:
+    """Test vectors with a training vector of cosine similarity of threshold or more: key, other, cosine, the best (ties: least other), and
+    first, the least training key among all that near.
 
-    Candidates agree in one of several random-hyperplane signatures, so no cross join is formed; equal training vectors
-    go as one. Vectors of different lengths never match.
+    No pair is missed: blocks of either side meet in one task each, as a product of matrices, so the work grows with the product of the
+    sides while a task's memory does not. Equal training vectors go as one. Vectors of different lengths never match, those with a gap,
+    of length zero or infinite match nothing.
     """
-    def unit_norm(v: Column) -> Column:
-        length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(v, lambda x: F.try_divide(x, length))
-
-    size = train.where(q(vec).isNotNull()).select(F.size(q(vec)).alias("d")).first()
-    planes = np.random.default_rng(97).normal(size=(tables * bits, size["d"] if size else 1)).round(6).tolist()
-
-    def bands(v: Column) -> Column:
-        dot = lambda p: F.aggregate(F.zip_with(v, p, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        table = F.expr("array(" + ",".join("array(" + ",".join(f"{x!r}D" for x in p) + ")" for p in planes) + ")")
-        signs = F.transform(table, lambda p: (dot(p) > 0).cast("int"))
-        return F.element_at(F.transform(F.array(signs), lambda s: F.array(*(F.xxhash64(F.lit(t), F.slice(s, t * bits + 1, bits)) for t in range(tables)))), 1)
-
-    def side(df: DataFrame) -> DataFrame:
-        v = df.where(q(vec).isNotNull()).select(q(key).alias("k"), unit_norm(F.transform(q(vec), lambda x: x.cast("double"))).alias("v"))
-        return v.where(F.exists("v", lambda x: x.isNotNull()))
-
-    a = side(train).groupBy("v").agg(F.min("k").alias("other"))
-    b = side(test)
-    met = b.select("k", "v", F.explode(bands(F.col("v"))).alias("band")).join(a.select("other", F.col("v").alias("w"), F.explode(bands(F.col("v"))).alias("band")), "band")
-    cosine = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    found = met.select("k", "other", cosine.alias("cosine")).where(F.col("cosine") >= threshold).distinct()
-    best = found.groupBy("k").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "other")).alias("m"))
-    return best.select("k", F.col("m.other").alias("other"), (-F.col("m.c")).alias("cosine"))
+    gap = F.exists(q(vec), lambda x: x.isNull() | F.isnan(x.cast("double")))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.where(q(vec).isNotNull() & ~gap).select(q(key).alias(name), F.size(q(vec)).alias("d"), q(vec).alias("v"))
+
+    a = side(train, "other").groupBy("d", "v").agg(F.min("other").alias("other"))
+    b = side(test, "k").distinct()
+    wide, high = (max(1, math.ceil(df.count() / block)) for df in (a, b))
+    dealt = lambda name, n: F.pmod(F.xxhash64(name, "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = b.select("k", "v", "d", dealt("k", high).alias("i"), every(wide).alias("j"))
+    right = a.select("other", "v", "d", dealt("other", wide).alias("j"), every(high).alias("i"))
+    tasks = min(wide * high, 512)
+    kinds = pa.schema([("k", to_arrow_type(b.schema["k"].dataType)), *((c, to_arrow_type(a.schema["other"].dataType)) for c in ("other", "first")), ("cosine", pa.float64())])
+
+    def meet(tests: pa.Table, trains: pa.Table) -> pa.Table:
+        if not len(tests) or not len(trains):
+            return kinds.empty_table()
+        trains = trains.sort_by("other")
+        x, y = (unit_rows(t.column("v").combine_chunks()) for t in (tests, trains))
+        rows, best, first, cosine = [], [], [], []
+        for lo in range(0, len(x), 256):
+            c = x[lo : lo + 256] @ y.T
+            at = np.flatnonzero((c >= threshold).any(1))
+            near = np.where(c[at] >= threshold, np.round(c[at], 9), -2.0)
+            rows.append(at + lo)
+            best.append(near.argmax(1))
+            first.append((near > -2).argmax(1))
+            cosine.append(near.max(1, initial=-2.0))
+        take = lambda t, name, i: t.column(name).take(pa.array(np.concatenate([*i, np.zeros(0, np.int64)])))
+        got = [take(tests, "k", rows), take(trains, "other", best), take(trains, "other", first), pa.array(np.concatenate([*cosine, np.zeros(0)]))]
+        return pa.Table.from_arrays(got, names=kinds.names).cast(kinds)
+
+    kind = lambda df, name: df.schema[name].dataType.simpleString()
+    tiles = [df.repartition(tasks, "i", "j", "d").groupBy("i", "j", "d") for df in (left, right)]
+    found = tiles[0].cogroup(tiles[1]).applyInArrow(meet, f"k {kind(b, 'k')}, other {kind(a, 'other')}, first {kind(a, 'other')}, cosine double")
+    best = found.groupBy("k").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "other")).alias("m"), F.min("first").alias("first"))
+    return best.select("k", F.col("m.other").alias("other"), (-F.col("m.c")).alias("cosine"), "first")
+
+
+def unit_rows(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows of length one; of those without a finite length above zero as rows of NaN, which are near nothing."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+    with np.errstate(all="ignore"):
+        length = np.sqrt(np.square(x).sum(1, keepdims=True))
+        return np.where(np.isfinite(length) & (length > 0), x / length, np.nan)
 
 
 def leakage_score(n_corr: int, n_dup: int, n_perfect: int, n_high: int, n_temporal: int, n_mi: int) -> float:
