@@ -291,8 +291,9 @@ def _above(scored: DataFrame, contamination: float) -> DataFrame:
 def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 0.5, least: int = 5) -> DataFrame:
     """Noise and clusters of DBSCAN on standardised columns: row_key, is_core, cluster (a key of its component of core cells; -1 noise).
 
-    Rows fall into grid cells of side eps / sqrt(dimensions), so rows of one cell are all neighbours: cells of least
-    rows or more are core as a whole and never pair their rows. Other rows meet the rows of the cells around theirs.
+    Equal rows go as one point with a count. Points fall into grid cells of side eps / sqrt(dimensions), so rows of one cell
+    are all neighbours: cells of least rows or more are core as a whole and never pair their rows. Other cells hold fewer than
+    least rows, which meet the points of the cells around theirs. Core cells are joined by boxes (see :func:`_near_cells`).
     """
     z = _standard(df, cols)
     d = len(cols)
@@ -300,42 +301,85 @@ def dbscan(df: DataFrame, key: str, cols: Sequence[str], eps: float = 0.5, least
     reach = math.ceil(math.sqrt(d))
     cell = F.array(*(F.floor(num(c) / side).cast("long") for c in cols))
     held = z.select(q(key).alias("row_key"), F.array(*(num(c) for c in cols)).alias("x"), cell.alias("cell"))
+    points = checkpointed(held.groupBy("cell", "x").agg(F.count("*").alias("n")))
     shifts = np.stack(np.meshgrid(*([np.arange(-reach, reach + 1)] * d)), -1).reshape(-1, d)
     shifts = [s for s in shifts.tolist() if sum(max(0, abs(v) - 1) ** 2 for v in s) * side * side <= eps * eps]
-    around = F.array(*(F.array(*(F.lit(int(v)) for v in s)) for s in shifts))
-    sizes = held.groupBy("cell").agg(F.count("*").alias("n"))
-    big = held.join(sizes, "cell").withColumn("full", F.col("n") >= least)
+    around = F.explode(F.transform(F.array(*(F.array(*(F.lit(int(v)) for v in s)) for s in shifts)), lambda s: F.zip_with("cell", s, lambda a, b: a + b))).alias("at")
     near = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v) <= eps * eps
-    asks = big.where("not full").select("row_key", "x", F.explode(F.transform(around, lambda s: F.zip_with("cell", s, lambda a, b: a + b))).alias("at"))
-    met = asks.join(held.select(F.col("cell").alias("at"), F.col("x").alias("y")), "at")
-    counts = met.where(near(F.col("x"), F.col("y"))).groupBy("row_key").agg(F.count("*").alias("k"))
-    core = big.join(counts, "row_key", "left").withColumn("is_core", F.col("full") | (F.coalesce("k", F.lit(0)) >= least)).select("row_key", "x", "cell", "is_core")
-    core = checkpointed(core)
-    cores = core.where("is_core")
+    sizes = points.groupBy("cell").agg((F.sum("n") >= least).alias("full"))
+    big = points.join(sizes, "cell")
+    asks = big.where("not full").select("cell", "x", around)
+    met = asks.join(points.select(F.col("cell").alias("at"), F.col("x").alias("y"), "n"), "at")
+    counts = met.where(near(F.col("x"), F.col("y"))).groupBy("cell", "x").agg(F.sum("n").alias("k"))
+    core = checkpointed(big.join(counts, ["cell", "x"], "left").select("cell", "x", (F.col("full") | (F.coalesce("k", F.lit(0)) >= least)).alias("is_core")))
+    cores = core.where("is_core").select("cell", "x")
     # cells that hold core rows are joined if two of their core rows are neighbours: the outermost rows of each cell are
-    # tried first, and all core rows only of cells that are still apart
-    ids = cores.select("cell", F.xxhash64("cell").alias("id")).distinct()
-    outer = F.array(*(f(F.col("x"), F.get(F.col("x"), F.lit(i))) for i in range(d) for f in (F.min_by, F.max_by)))
-    edge = cores.groupBy("cell").agg(F.array_distinct(outer).alias("xs")).select("cell", F.explode("xs").alias("x"))
-
-    def joined(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-        side = rows if labels is None else rows.join(labels.withColumnRenamed("label", "mine"), F.xxhash64("cell") == F.col("id")).drop("id")
-        tried = side.withColumn("at", F.explode(F.transform(around, lambda s: F.zip_with("cell", s, lambda a, b: a + b)))).where("cell < at")
-        other = side.select(F.col("cell").alias("at"), F.col("x").alias("y"), *([] if labels is None else [F.col("mine").alias("its")]))
-        met = tried.join(other, "at").where(F.lit(True) if labels is None else F.col("mine") != F.col("its"))
-        return met.where(near(F.col("x"), F.col("y"))).select(F.xxhash64("cell").alias("a"), F.xxhash64("at").alias("b")).distinct()
+    # tried first, and boxes of core rows only in cells that are still apart
+    ids = checkpointed(cores.select("cell", F.xxhash64("cell").alias("id")).distinct())
 
     def labelled(edges: DataFrame) -> DataFrame:
         roots = components(edges)
-        return checkpointed(ids.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("label")))
-
-    first = labelled(joined(edge, None))
-    labels = labelled(joined(cores, first).union(first.select("id", "label")))
-    of_core = cores.join(labels, F.xxhash64("cell") == F.col("id")).select("row_key", F.lit(True).alias("is_core"), F.col("label").alias("cluster"))
-    border = core.where("not is_core").select("row_key", "x", F.explode(F.transform(around, lambda s: F.zip_with("cell", s, lambda a, b: a + b))).alias("at"))
-    hit = border.join(cores.select(F.col("cell").alias("at"), F.col("x").alias("y")), "at").where(near(F.col("x"), F.col("y"))).join(labels, F.xxhash64("at") == F.col("id")).groupBy("row_key").agg(F.min("label").alias("c"))
-    rest = core.where("not is_core").join(hit, "row_key", "left").select("row_key", F.lit(False).alias("is_core"), F.coalesce("c", F.lit(-1)).alias("cluster"))
-    return of_core.unionByName(rest).withColumn("is_noise", F.col("cluster") == -1)
+        return checkpointed(ids.join(roots, F.col("id") == F.col("node"), "left").select("cell", "id", F.coalesce("root", "id").alias("label")))
+
+    outer = F.array(*(f(F.col("x"), F.get(F.col("x"), F.lit(i))) for i in range(d) for f in (F.min_by, F.max_by)))
+    edge = cores.groupBy("cell").agg(F.array_distinct(outer).alias("xs")).select("cell", F.explode("xs").alias("x"))
+    tried = edge.select("cell", "x", around).where("cell < at").join(edge.select(F.col("cell").alias("at"), F.col("x").alias("y")), "at")
+    first = labelled(tried.where(near(F.col("x"), F.col("y"))).select(F.xxhash64("cell").alias("a"), F.xxhash64("at").alias("b")).distinct())
+    other = first.select(F.col("cell").alias("at"), F.col("label").alias("its"))
+    apart = first.select("cell", "label", around).where("cell < at").join(other, "at").where(F.col("label") != F.col("its")).select(F.col("cell").alias("a"), F.col("at").alias("b"))
+    found = _near_cells(cores, checkpointed(apart), d, side, eps)
+    labels = first if found is None else labelled(found.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).union(first.select("id", "label")))
+    of_core = cores.join(labels, "cell").select("cell", "x", F.lit(True).alias("is_core"), F.col("label").alias("cluster"))
+    border = core.where("not is_core").select("cell", "x", around)
+    reached = border.join(cores.select(F.col("cell").alias("at"), F.col("x").alias("y")), "at").where(near(F.col("x"), F.col("y")))
+    hit = reached.join(labels.select(F.col("cell").alias("at"), "label"), "at").groupBy("cell", "x").agg(F.min("label").alias("c"))
+    rest = core.where("not is_core").join(hit, ["cell", "x"], "left").select("cell", "x", F.lit(False).alias("is_core"), F.coalesce("c", F.lit(-1)).alias("cluster"))
+    return held.join(of_core.unionByName(rest), ["cell", "x"]).select("row_key", "is_core", "cluster", (F.col("cluster") == -1).alias("is_noise"))
+
+
+def _near_cells(points: DataFrame, pairs: DataFrame, d: int, side: float, eps: float, direct: int = 4_096) -> DataFrame | None:
+    """The pairs (a, b) of cells that hold two points (cell, x) within eps of each other; None if there are no pairs.
+
+    The tight boxes of both cells are compared: boxes farther apart than eps are left, boxes whose farthest corners are within
+    eps are a hit, and so is one point of each. What stays undecided is compared point by point if that is at most so many
+    comparisons, else halved along each dimension, round by round; a cell pair that is hit is not looked at again.
+    """
+    total = lambda terms: sum(terms[1:], F.lit(0.0) + terms[0])
+    square = lambda x: x * x
+    at = lambda c, i: F.get(F.col(c), F.lit(i))
+    hits, level = None, 0
+    now = pairs.select("a", "b", F.col("a").alias("pa"), F.col("b").alias("pb"))
+    while not now.isEmpty():
+        wanted = checkpointed(now.select(F.col("a").alias("cell")).union(now.select("b")).distinct())
+        part = F.transform("x", lambda v: F.floor(v * float(2**level) / side).cast("long"))  # noqa: B023
+        placed = points.join(wanted, "cell", "left_semi").withColumn("part", part)
+        ends = [F.array(*(f(at("x", i)) for i in range(d))) for f in (F.min, F.max)]
+        boxes = checkpointed(placed.groupBy("cell", "part").agg(ends[0].alias("lo"), ends[1].alias("hi"), F.min("x").alias("one"), F.count("*").alias("m")))
+        of = lambda c: boxes.select(F.col("cell").alias(c), F.col("part").alias(f"p{c}"), *(F.col(x).alias(f"{x}_{c}") for x in ("lo", "hi", "one", "m")))  # noqa: E731, B023
+        both = now.join(of("a"), ["a", "pa"]).join(of("b"), ["b", "pb"])
+        gap = total([square(F.greatest(at("lo_b", i) - at("hi_a", i), at("lo_a", i) - at("hi_b", i), F.lit(0.0))) for i in range(d)])
+        wide = total([square(F.greatest(at("hi_b", i) - at("lo_a", i), at("hi_a", i) - at("lo_b", i))) for i in range(d)])
+        ones = total([square(at("one_a", i) - at("one_b", i)) for i in range(d)])
+        hit = (wide <= eps * eps) | (ones <= eps * eps)
+        judged = checkpointed(both.where(gap <= eps * eps).select("a", "b", "pa", "pb", hit.alias("hit"), (F.col("m_a") * F.col("m_b") <= direct).alias("few")))
+        found = judged.where("hit").select("a", "b").distinct()
+        undecided = judged.where("not hit").join(found, ["a", "b"], "left_anti")
+        x = placed.select(F.col("cell").alias("a"), F.col("part").alias("pa"), "x")
+        y = placed.select(F.col("cell").alias("b"), F.col("part").alias("pb"), F.col("x").alias("y"))
+        compared = undecided.where("few").join(x, ["a", "pa"]).join(y, ["b", "pb"]).where(total([square(at("x", i) - at("y", i)) for i in range(d)]) <= eps * eps)
+        found = checkpointed(found.union(compared.select("a", "b").distinct()))
+        hits = found if hits is None else hits.union(found)
+        large = undecided.where("not few").join(found, ["a", "b"], "left_anti")
+        level += 1
+        # the halves of a part: an axis a step
+        halves = lambda p: F.explode(F.expr(_halves(p, d)))
+        now = checkpointed(large.select("a", "b", halves("pa").alias("pa"), "pb").select("a", "b", "pa", halves("pb").alias("pb")))
+    return hits
+
+
+def _halves(part: str, d: int) -> str:
+    """SQL of the 2^d halves of a part of the grid, in a grid of half its side."""
+    return "array(" + ", ".join("array(" + ", ".join(f"2 * {part}[{i}] + {j >> i & 1}L" for i in range(d)) + ")" for j in range(1 << d)) + ")"
 
 
 def tsne(df: DataFrame, key: str, cols: Sequence[str], limit: int = 500, perplexity: float = 30.0, steps: int = 250, seed: int = 42) -> DataFrame:

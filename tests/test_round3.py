@@ -43,3 +43,45 @@ def test_near_dup_cosine_matches_sql_with_near_copies(spark, tmp_path):
     want = c.sql(ORACLE_SQL["near_dup_cosine"]).df().sort_values("k").reset_index(drop=True)
     assert len(want) > 100
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_cells_are_joined_by_boxes_as_by_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from assaykit.operators import modelling
+
+    rng = np.random.default_rng(7)
+    eps, side = 0.5, 0.5 / np.sqrt(2)
+    x = rng.uniform(0, 3, size=(6_000, 2))
+    gone = (np.abs(x[:, 0] - 1.2) < 0.249) | (np.abs(x[:, 1] + x[:, 0] / 3 - 2.1) < 0.262)  # gaps close to eps, one of them aslant
+    x = np.unique(np.concatenate([x[~gone], [[1.2, 0.3]]]), axis=0)
+    cells = [tuple(int(v) for v in np.floor(p / side)) for p in x]
+    points = spark.createDataFrame([(list(c), p.tolist()) for c, p in zip(cells, x)], "cell array<long>, x array<double>")
+    by = {c: x[[i for i, other in enumerate(cells) if other == c]] for c in set(cells)}
+    pairs = [(a, b) for a in by for b in by if a < b and max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= 2]
+    want = {(a, b) for a, b in pairs if (np.square(by[a][:, None] - by[b][None]).sum(-1) <= eps * eps).any()}
+    given = spark.createDataFrame([(list(a), list(b)) for a, b in pairs], "a array<long>, b array<long>")
+    for direct in (4, 4_096):
+        got = {(tuple(r["a"]), tuple(r["b"])) for r in modelling._near_cells(points, given, 2, side, eps, direct).collect()}
+        assert got == want
+    assert 0 < len(want) < len(pairs)
+    assert modelling._near_cells(points, given.where(F.lit(False)), 2, side, eps) is None
+
+
+def test_dbscan_of_dense_cells_that_stay_apart_ends(spark):
+    """80,000 rows in two neighbouring cells with a gap between: 1.6 billion pairs if rows meet rows."""
+    import time
+
+    from assaykit.operators import modelling
+
+    n = 40_000
+    left = np.linspace(0.0, 0.2, n)
+    a = np.concatenate([left, left + 0.72])
+    pad = np.array([-30.0, 30.0])
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(2 * n + 2), "a": np.concatenate([a, pad])}))
+    spread = np.concatenate([a, pad]).std()
+    began = time.time()
+    got = modelling.dbscan(df, "k", ["a"], 0.5 / spread).toPandas().set_index("row_key")
+    assert got.loc[: n - 1, "cluster"].nunique() == 1 and got.loc[n : 2 * n - 1, "cluster"].nunique() == 1
+    assert got.loc[0, "cluster"] != got.loc[n, "cluster"] and got["is_noise"].sum() == 2
+    assert time.time() - began < 60
