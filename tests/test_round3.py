@@ -81,7 +81,7 @@ def test_dbscan_of_dense_cells_that_stay_apart_ends(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": np.arange(2 * n + 2), "a": np.concatenate([a, pad])}))
     spread = np.concatenate([a, pad]).std()
     began = time.time()
-    got = modelling.dbscan(df, "k", ["a"], 0.5 / spread).toPandas().set_index("row_key")
+    got = modelling.dbscan(df, "k", ["a"], 0.5 / spread).toPandas().set_index("row_key").sort_index()
     assert got.loc[: n - 1, "cluster"].nunique() == 1 and got.loc[n : 2 * n - 1, "cluster"].nunique() == 1
     assert got.loc[0, "cluster"] != got.loc[n, "cluster"] and got["is_noise"].sum() == 2
     assert time.time() - began < 60
