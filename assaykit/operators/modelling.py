@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -46,13 +46,19 @@ def assembled(df: DataFrame, cols: Sequence[str], target: str, task: str | None
     """Columns features (vector) and label; rows without a target are left out."""
     task = task or infer_task(df, target)
     held = filled(df.where(q(target).isNotNull()), cols)
-    if task == "classification":
-        held = StringIndexer(inputCol="__t", outputCol="label", stringOrderType="alphabetAsc").fit(h := held.withColumn("__t", q(target).cast("string"))).transform(h)
-    else:
-        held = held.withColumn("label", num(target))
+    held = labelling(held, target, task)(held)
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(held), task
 
 
+def labelling(df: DataFrame, target: str, task: str) -> Callable[[DataFrame], DataFrame]:
+    """What adds the column label to rows with the targets of df."""
+    if task != "classification":
+        return lambda rows: rows.withColumn("label", num(target))
+    named = lambda rows: rows.withColumn("__t", q(target).cast("string"))
+    model = StringIndexer(inputCol="__t", outputCol="label", stringOrderType="alphabetAsc").fit(named(df))
+    return lambda rows: model.transform(named(rows))
+
+
 def forest(task: str, trees: int = 50, depth: int = 10, seed: int = 42):
     return (RandomForestClassifier if task == "classification" else RandomForestRegressor)(numTrees=trees, maxDepth=depth, seed=seed)
 
@@ -78,7 +84,8 @@ def permuted(df: DataFrame, cols: Sequence[str], seed: int, prefix: str = "__p_"
     order = lambda salt: [F.xxhash64(F.lit(salt), *(F.col(f"`{c}`") for c in held.columns)), *(F.col(f"`{c}`") for c in held.columns)]
     held = df.drop("features")
     left = numbered(df, order(seed), "__rn")
-    right = numbered(held.select(*(q(c).alias(f"{prefix}{c}") for c in cols), *(q(c) for c in held.columns if c not in cols), *(q(c) for c in cols)), order(seed + 1), "__rn")
+    # rows of one hash and equal cols may stand for each other, so nothing else of them is sorted
+    right = numbered(held.select(order(seed + 1)[0].alias("__h"), *(q(c).alias(f"{prefix}{c}") for c in cols)), ["__h", *(q(f"{prefix}{c}") for c in cols)], "__rn")
     return left.join(right.select("__rn", *(q(f"{prefix}{c}") for c in cols)), "__rn").drop("__rn")
 
 
@@ -126,9 +133,11 @@ def boruta(df: DataFrame, cols: Sequence[str], target: str, rounds: int = 20, tr
     """Columns that beat the best shadow (the columns of permuted rows) in at least half of the rounds."""
     hits = dict.fromkeys(cols, 0)
     held = checkpointed(filled(df.where(q(target).isNotNull()), cols).select(q(target), *(q(c) for c in cols)))
+    every, task = [*cols, *(f"__p_{c}" for c in cols)], infer_task(held, target)
+    vectors = VectorAssembler(inputCols=every, outputCol="features")
+    label = labelling(held, target, task)
     for k in range(rounds):
-        every = [*cols, *(f"__p_{c}" for c in cols)]
-        data, task = assembled(permuted(held, cols, seed + 2 * k), every, target)
+        data = vectors.transform(label(checkpointed(permuted(held, cols, seed + 2 * k)))).select("features", "label")
         weight = dict(zip(every, forest(task, trees, 7, seed + k).fit(data).featureImportances.toArray(), strict=True))
         best = max(weight[f"__p_{c}"] for c in cols)
         for c in cols:

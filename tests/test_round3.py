@@ -85,3 +85,23 @@ def test_dbscan_of_dense_cells_that_stay_apart_ends(spark):
     assert got.loc[: n - 1, "cluster"].nunique() == 1 and got.loc[n : 2 * n - 1, "cluster"].nunique() == 1
     assert got.loc[0, "cluster"] != got.loc[n, "cluster"] and got["is_noise"].sum() == 2
     assert time.time() - began < 60
+
+
+def test_boruta_permutes_once_a_round_and_keeps_its_permutation(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from assaykit.operators import modelling
+
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame(pd.DataFrame({"a": rng.normal(size=300).round(1), "b": rng.normal(size=300).round(1), "y": rng.integers(0, 2, 300)}))
+    got = modelling.permuted(df, ["a", "b"], 3).toPandas()
+    key = lambda salt: F.xxhash64(F.lit(salt), "a", "b", "y")
+    left = df.orderBy(key(3), "a", "b", "y").toPandas()
+    right = df.orderBy(key(4), "a", "b", "y").toPandas()
+    want = left.assign(__p_a=right["a"], __p_b=right["b"])
+    order = list(want.columns)
+    pd.testing.assert_frame_equal(got[order].sort_values(order).reset_index(drop=True), want.sort_values(order).reset_index(drop=True))
+    fills = []
+    monkeypatch.setattr(modelling, "filled", lambda rows, cols, real=modelling.filled: fills.append(len(cols)) or real(rows, cols))
+    modelling.boruta(df, ["a", "b"], "y", rounds=2, trees=3)
+    assert fills == [2]  # gaps are filled once, not in each round's permuted rows again
