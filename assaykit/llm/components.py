@@ -26,7 +26,7 @@ def linked(lists: DataFrame, fits: Callable[[str, str], Column], common: Callabl
     other components. A pair within one component adds nothing to it, so no component is lost, and a large group of
     copies costs one pair a member. With families given, lists of more than dense members that are still open are not
     paired: the members of such lists form families (those that share a list), and families(members) gives links enough
-    to join whatever is similar within one; members outside its largest component are marked minor.
+    to join whatever is similar within one; members (with their size n) outside its largest component are marked minor.
     """
     heads = lists.where((F.col("key") != F.col("head")) & fits("n", "head_n")).groupBy(F.col("head").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("head_n").alias("m"))
     first = cut(heads.where(F.col("c") >= common(F.col("n"), F.col("m"))).select("a", "b"))
@@ -37,12 +37,12 @@ def linked(lists: DataFrame, fits: Callable[[str, str], Column], common: Callabl
     opened = cut(placed.join(several, "gram", "left_semi"))
     if families is not None:
         long = opened.groupBy("gram").agg(F.count("*").alias("members"), F.min("key").alias("least")).where(F.col("members") > dense).select("gram", "least")
-        crowd = cut(opened.join(long, "gram").select("key", "least", "comp").distinct())
+        crowd = cut(opened.join(long, "gram").select("key", "least", "comp", "n").distinct())
         if not crowd.isEmpty():
             of_family = components(crowd.select("key", "least")).select(F.col("node").alias("key"), F.col("root").alias("family"))
-            placed_in = cut(of_family.join(crowd.select("key", "comp").distinct(), "key"))
+            placed_in = cut(of_family.join(crowd.select("key", "comp", "n").distinct(), "key"))
             major = placed_in.groupBy("family", "comp").count().groupBy("family").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
-            edges = edges.union(cut(families(placed_in.join(major, "family").select("key", "family", (F.col("comp") != F.col("major")).alias("minor")))))
+            edges = edges.union(cut(families(placed_in.join(major, "family").select("key", "family", "n", (F.col("comp") != F.col("major")).alias("minor")))))
             opened = opened.join(long, "gram", "left_anti")
     major = opened.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"))
     marked = opened.join(major, "gram").withColumn("minor", F.col("comp") != F.col("major"))

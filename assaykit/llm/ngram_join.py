@@ -11,13 +11,14 @@
    shares the overlap of a common path and leaves a subtree as soon as the length that remains cannot make up for what
    is missing. Groups of a class are split into blocks.
 5. Classes in long lists, such as a large group of near copies, are not paired as rows: their families are cut into
-   blocks, and each two blocks meet in one task as a trie and its probes.
+   blocks by size, and each two blocks of sizes that may be similar meet in one task as a trie and its probes.
 
 Frequencies only shape the order, which changes no result; they are counted over all rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ COUNTED_PCT = 40
 ORDER_BITS = 20
 #: Prefixes are so many percent of a set longer than they need be to share one n-gram, and so must share as many.
 COMMON_PCT = 5
-#: Sets of one block of a verified group.
-BLOCK = 256
+#: Sets of one block of a verified group; a family's sizes are cut into so many blocks of them, then blocks grow up to so many n-grams.
+BLOCK, FEW_BLOCKS, BLOCK_GRAMS = 256, 4, 1 << 19
 
 
 def least_common(n):
@@ -94,7 +95,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def order_hint(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams by hash and their levels of frequency, of the most frequent 2^ORDER_BITS at most. counts: key, n."""
+    """N-grams by the leading 32 bits of their hash and their levels of frequency, of the most frequent 2^ORDER_BITS at most. counts: key, n."""
     levels = counts.groupBy("key").agg(F.sum("n").alias("c")).select("key", F.floor(F.log2("c") * 2).cast("int").alias("level"))
     levels = cut(levels)
     least, total = 0, 0
@@ -103,18 +104,20 @@ def order_hint(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if total > 1 << ORDER_BITS:
             least = r["level"] + 1
             break
-    got = levels.where(F.col("level") >= least).toArrow()
-    grams = got.column("key").to_numpy().view(np.uint64)
-    by = np.argsort(grams)
-    return grams[by], got.column("level").to_numpy()[by].astype(np.uint8)
+    # the leading halves of hashes and one byte a level keep what the driver holds small; a clash changes an order only
+    got = levels.where(F.col("level") >= least).select(F.shiftright("key", 32).cast("int").alias("key"), F.col("level").cast("byte").alias("level")).toArrow()
+    grams = got.column("key").to_numpy().view(np.uint32)
+    by = np.argsort(grams).astype(np.int32)
+    return grams[by], got.column("level").to_numpy()[by].view(np.uint8)
 
 
 def ordered(s: np.ndarray, grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """A set, given by hash, in global order: rare first."""
     if not len(grams):
         return s
-    at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
-    level = np.where(grams[at] == s, levels[at], 0)
+    lead = (s >> np.uint64(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(grams, lead), len(grams) - 1)
+    level = np.where(grams[at] == lead, levels[at], 0)
     return s[np.argsort(level, kind="stable")] if level.any() else s
 
 
@@ -317,22 +320,46 @@ def verify(pairs: DataFrame, read: Callable[[DataFrame], DataFrame], num: int, d
     return rows.repartition("a", "block").sortWithinPartitions("a", "block", "b").mapInArrow(check, "a long, b long")
 
 
+def size_bucket(n: Column, num: int, den: int) -> Column:
+    """Two sets that are similar lie in one bucket of sizes or in neighbouring ones."""
+    return F.floor(F.log(n) / (math.log(den / num) * 1.0001)).cast("long") if num < den else n.cast("long")
+
+
+def tiles(members: DataFrame, num: int, den: int, block_sets: int = BLOCK, few: int = FEW_BLOCKS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """Which two blocks each member meets in: key, family, i, j, block (i or j); members: key, family, minor, n.
+
+    Blocks hold sets of one bucket of sizes, so only blocks of one bucket or of neighbouring ones meet. A bucket is cut into
+    blocks of block_sets sets until they are few; beyond, blocks grow up to block_grams n-grams before there are more of them,
+    for every member is sent once for each block that its own meets.
+    """
+    placed = members.withColumn("bucket", size_bucket(F.col("n"), num, den))
+
+    def blocks(kind: Column) -> Column:
+        by_grams = F.ceil(F.sum(F.when(kind, F.col("n")).otherwise(0)) / float(block_grams))
+        return F.greatest(by_grams, F.least(F.ceil(F.count_if(kind) / float(block_sets)), F.lit(few))).cast("int")
+
+    sizes = cut(placed.groupBy("family", "bucket").agg(blocks(~F.col("minor")).alias("old"), blocks(F.col("minor")).alias("new")))
+    # a bucket goes on if it or a neighbour has minor members
+    near = sizes.select("family", F.col("old").alias("old_there"), F.col("new").alias("new_there"), F.col("bucket").alias("there"), F.explode(F.array(*(F.col("bucket") + s for s in (-1, 0, 1)))).alias("bucket"))
+    mine = F.when(F.col("minor"), F.col("old") + F.pmod(F.xxhash64("key"), F.greatest("new", F.lit(1)))).otherwise(F.pmod(F.xxhash64("key"), F.greatest("old", F.lit(1))))
+    dealt = placed.join(broadcast_if_small(sizes), ["family", "bucket"]).withColumn("mine", F.shiftleft("bucket", 32) + mine).drop("old", "new")
+    met = dealt.join(broadcast_if_small(near), ["family", "bucket"])
+    first, last = F.when(F.col("minor"), F.lit(0)).otherwise(F.col("old_there")), F.col("old_there") + F.col("new_there") - 1
+    others = F.transform(F.sequence(first, last), lambda x: F.shiftleft("there", 32) + x)
+    pairs = met.where(first <= last).select("key", "family", "mine", F.explode(others).alias("other"))
+    return pairs.select("key", "family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("block"))
+
+
 def verify_families(members: DataFrame, read: Callable[[DataFrame], DataFrame], num: int, den: int, block_sets: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join what is similar within each family; members: key, family, minor; read as in :func:`verify`.
+    """Links (a, b) that join what is similar within each family; members: key, family, minor, n; read as in :func:`verify`.
 
-    The members of a family are dealt to blocks, and every two blocks (or a block and itself) meet in one task, one
-    block as a trie, the other as probes: no pair of members is a row. Members that are not minor are in one component
-    already, so their blocks meet those of minor members only: a family of near copies with few stragglers costs about
-    its size. Of a task's links those that join two of its parts are handed on, so there are fewer than members.
+    The members of a family are dealt to blocks (see :func:`tiles`), and every two blocks that may hold similar sets (or a
+    block and itself) meet in one task, one block as a trie, the other as probes: no pair of members is a row. Members
+    that are not minor are in one component already, so their blocks meet those of minor members only: a family of near
+    copies with few stragglers costs about its size. Of a task's links those that join two of its parts are handed on, so
+    there are fewer than members.
     """
-    blocks = lambda kind: F.ceil(F.count_if(kind) / float(block_sets)).cast("int")
-    sizes = members.groupBy("family").agg(blocks(~F.col("minor")).alias("old"), blocks(F.col("minor")).alias("new")).where(F.col("new") > 0)
-    mine = F.when(F.col("minor"), F.col("old") + F.pmod(F.xxhash64("key"), F.col("new"))).otherwise(F.pmod(F.xxhash64("key"), F.greatest("old", F.lit(1))))
-    dealt = members.join(sizes, "family").withColumn("mine", mine.cast("int"))
-    others = F.sequence(F.when(F.col("minor"), F.lit(0)).otherwise(F.col("old")), F.col("old") + F.col("new") - 1)
-    tiles = dealt.select("key", "family", "mine", F.explode(others).alias("other"))
-    roles = tiles.select("key", "family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("block"))
-    rows = read(members.select("key")).join(broadcast_if_small(roles), "key")
+    rows = read(members.select("key")).join(broadcast_if_small(tiles(members, num, den, block_sets)), "key")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, sides, found = None, ({}, {}), []

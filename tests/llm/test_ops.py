@@ -568,6 +568,36 @@ def test_items_of_one_id_keep_their_windows(spark):
 # --- SQL and pipeline --------------------------------------------------------------------------------------------------
 
 
+def test_blocks_of_families_meet_by_size(spark):
+    """Every two members that may be similar meet in a task, and members of a family of mixed sizes go to few tasks."""
+    rng = random.Random(5)
+    sizes = [int(10 * 1.0019**i) for i in range(4000)]
+    members = [(key, 7, key < 3600, n) for key, n in enumerate(rng.sample(sizes, len(sizes)))]
+    got = ngram_join.tiles(spark.createDataFrame(members, "key long, family long, minor boolean, n int"), 85, 100).collect()
+    assert len(got) < 7 * len(members)  # blocks of all sizes made 17 rows of each minor member
+    meets = defaultdict(set)
+    for r in got:
+        meets[r["key"]].add((r["i"], r["j"]))
+    for _ in range(20_000):
+        (a, _, minor_a, n), (b, _, minor_b, m) = rng.choice(members), rng.choice(members)
+        if a != b and (minor_a or minor_b) and min(n, m) * 100 >= max(n, m) * 85:
+            assert meets[a] & meets[b]
+    whole = [(key, 7, key > 0, 250) for key in range(20_000)]
+    got = ngram_join.tiles(spark.createDataFrame(whole, "key long, family long, minor boolean, n int"), 85, 100)
+    assert got.count() < 14 * len(whole)  # 79 blocks before
+
+
+def test_order_hint_is_compact(spark):
+    """The order takes five bytes an n-gram, and puts frequent n-grams last."""
+    keys = np.sort(np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 300))
+    counts = spark.createDataFrame([(int(k), 2 + 50 * (i % 3 == 0)) for i, k in enumerate(keys)], "key long, n long")
+    grams, levels = ngram_join.order_hint(counts)
+    assert grams.nbytes + levels.nbytes == 5 * len(keys)
+    s = np.sort(keys.view(np.uint64))
+    often = {int(k) for i, k in enumerate(keys.view(np.uint64)) if i % 3 == 0}
+    assert [int(k) in often for k in ngram_join.ordered(s, grams, levels)] == [False] * 200 + [True] * 100
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_corpus_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
