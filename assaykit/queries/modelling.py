@@ -173,7 +173,7 @@ def shap_most_explained(spark, d):
 def shap_interactions(spark, d):
     o = _orders(spark, d)
     _, paths = shap.explained(o, "o_orderkey", FEATS, "y", trees=20, depth=5)
-    return r6(shap.strongest_interactions(shap.interactions(o, "o_orderkey", FEATS, paths)))
+    return r6(shap.strongest(shap.interaction_strengths(o, "o_orderkey", FEATS, paths)))
 
 
 @query
