@@ -45,27 +45,36 @@ def _predicted(df: DataFrame, inputs: Sequence[Column], model: object, output: s
     return df.withColumn(output, predictor(model, len(inputs), classes)(F.array(*inputs)))
 
 
-def score_of(df: DataFrame, target: str, prediction: str, task: str) -> float:
-    """Accuracy, or R squared of a numeric target, in one scan."""
+def scores_of(df: DataFrame, target: str, predictions: Sequence[str], task: str) -> list[float]:
+    """Accuracy, or R squared of a numeric target, of each prediction, all in one scan."""
     rows = df.where(q(target).isNotNull())
     if task == "classification":
-        return float(rows.agg(F.avg((q(prediction).cast("double") == num(target)).cast("double"))).first()[0] or 0.0)
-    y, p = num(target), num(prediction)
-    left, spread = rows.agg(F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y)).first()
-    return 1 - left / spread if spread else 0.0
+        return [float(v or 0.0) for v in rows.agg(*(F.avg((q(p).cast("double") == num(target)).cast("double")).alias(f"s{i}") for i, p in enumerate(predictions))).first()]
+    y = num(target)
+    *left, spread = rows.agg(*(F.sum((y - num(p)) * (y - num(p))).alias(f"s{i}") for i, p in enumerate(predictions)), (F.var_pop(y) * F.count(y)).alias("spread")).first()
+    return [1 - v / spread if spread else 0.0 for v in left]
+
+
+def score_of(df: DataFrame, target: str, prediction: str, task: str) -> float:
+    return scores_of(df, target, [prediction], task)[0]
 
 
 def model_importance(df: DataFrame, cols: Sequence[str], target: str, model: object, repeats: int = 3, seed: int = 42) -> DataFrame:
-    """Loss of the user model's score when one column is permuted among the rows: feature, importance, importance_std. A classifier predicts the target's numbers."""
+    """Loss of the user model's score when one column is permuted among the rows: feature, importance, importance_std. A classifier predicts the target's numbers.
+
+    The permuted rows of a repeat are read once, for the scores of all columns.
+    """
     task = infer_task(df, target)
     data = checkpointed(filled(df.where(q(target).isNotNull()).select(q(target), *(q(c) for c in cols)), cols))
     base = score_of(_predicted(data, [q(c) for c in cols], model, "__p"), target, "__p", task)
     drops: dict[str, list[float]] = {c: [] for c in cols}
+    ask, names = predictor(model, len(cols)), [f"__s{i}" for i in range(len(cols))]
     for k in range(repeats):
-        exchanged = checkpointed(permuted(data, cols, seed + 2 * k))
-        for c in cols:
-            inputs = [q(f"__p_{x}") if x == c else q(x) for x in cols]
-            drops[c].append(base - score_of(_predicted(exchanged, inputs, model, "__p"), target, "__p", task))
+        exchanged = permuted(data, cols, seed + 2 * k)
+        inputs = [F.array(*(q(f"__p_{x}") if x == c else q(x) for x in cols)) for c in cols]
+        scored = exchanged.select(q(target), *(ask(x).alias(n) for x, n in zip(inputs, names)))
+        for c, score in zip(cols, scores_of(scored, target, names, task)):
+            drops[c].append(base - score)
     return df.sparkSession.createDataFrame([(c, float(np.mean(d)), float(np.std(d))) for c, d in drops.items()], "feature string, importance double, importance_std double")
 
 

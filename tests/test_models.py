@@ -130,3 +130,20 @@ def test_exact_ks_meets_the_limit_and_keeps_small_values():
     assert dist.ks_exact_sf(0.05, 2000, 2000) == pytest.approx(dist.ks_sf(0.05, 2000, 2000), rel=0.05)
     assert 0 < dist.ks_exact_sf(1.0, 60, 60) < 1e-33
     assert dist.ks_p(0.02, 20_000, 20_000) == dist.ks_sf(0.02, 20_000, 20_000)
+
+
+def test_permuted_rows_are_scored_in_one_scan(spark, monkeypatch):
+    """However many columns there are, a repeat reads its permuted rows once, and nothing of them is written again."""
+    scans, written = [], []
+    scored, write = models.scores_of, models.checkpointed
+    monkeypatch.setattr(models, "scores_of", lambda *a: scans.append(1) or scored(*a))
+    monkeypatch.setattr(models, "checkpointed", lambda df: written.append(1) or write(df))
+    df = spark.range(300).selectExpr("cast(id as double) AS a", "cast(id * 7 % 31 as double) AS b", "cast(id * 5 % 13 as double) AS c", "2.0 * id AS y")
+
+    class First:
+        def predict(self, x):
+            return 2 * x[:, 0]
+
+    got = {r["feature"]: r["importance"] for r in models.model_importance(df, ["a", "b", "c"], "y", First(), 2).collect()}
+    assert got["a"] > 0.5 and got["b"] == got["c"] == 0
+    assert len(scans) == 1 + 2 and len(written) == 1
