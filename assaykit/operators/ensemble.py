@@ -66,11 +66,11 @@ def cv_scores(df: DataFrame, cols: Sequence[str], target: str, task: str, folds:
     data, _ = assembled(df, cols, target, task)
     rows = checkpointed(data.select("features", "label", F.pmod(F.xxhash64(F.lit(seed), "label", vector_to_array("features")), F.lit(folds)).alias("__fold")))
     judge, sign = (MulticlassClassificationEvaluator(metricName="accuracy"), 1) if task == "classification" else (RegressionEvaluator(metricName="mse"), -1)
+    held = {r["__fold"] for r in rows.select("__fold").distinct().collect()}
     out = []
-    for k in range(folds):
+    for k in sorted(held) if len(held) > 1 else ():
         train, test = rows.where(F.col("__fold") != k), rows.where(F.col("__fold") == k)
-        if not train.isEmpty() and not test.isEmpty():
-            out.append(sign * judge.evaluate(forest(task, trees, depth).fit(train).transform(test)))
+        out.append(sign * judge.evaluate(forest(task, trees, depth).fit(train).transform(test)))
     return out
 
 
@@ -81,9 +81,10 @@ def impact(df: DataFrame, key: str, target: str, outliers: DataFrame, cols: Sequ
     task = infer_task(df, target)
     bad = outliers.where("is_outlier").select(F.col("row_key").alias("__key"))
     clean = df.join(bad, q(key) == F.col("__key"), "left_anti")
-    lines, first = [], None
+    lines, first, scores = [], None, None
     for name, rows in (("with_outliers", df), ("without_outliers", clean)):
-        scores = cv_scores(rows, cols, target, task, folds, trees, depth)
+        if scores is None or not bad.isEmpty():  # without outliers the same rows have the same scores
+            scores = cv_scores(rows, cols, target, task, folds, trees, depth)
         mean = float(np.mean(scores)) if scores else None
         gain = mean - first if first is not None and mean is not None else None
         lines.append((name, rows.count(), mean, float(np.std(scores)) if scores else None, gain, gain / abs(first) * 100 if gain is not None and first else None))

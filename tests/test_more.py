@@ -79,3 +79,16 @@ def test_tracking(spark, tmp_path):
     assert Config(str(tmp_path / "c.json")).get("drift.psi") == 0.5 and d.get("drift.psi") == 0.2 and d.get("no.such", 1) == 1
     f = timed(lambda: 1)
     assert f() == 1 and f.seconds >= 0
+
+
+def test_impact_without_outliers_scores_once(spark, monkeypatch):
+    from assaykit.operators import ensemble
+
+    df = spark.range(200).selectExpr("id AS k", "cast(id % 17 as double) AS a", "cast(id % 5 as double) AS b", "cast(id % 17 > 8 as int) AS y")
+    none = df.selectExpr("k AS row_key", "false AS is_outlier")
+    calls, score = [], ensemble.cv_scores
+    monkeypatch.setattr(ensemble, "cv_scores", lambda *a: calls.append(1) or score(*a))
+    one, two = ensemble.impact(df, "k", "y", none, folds=2, trees=2, depth=2).orderBy("data").collect()
+    assert len(calls) == 1 and one["n_rows"] == two["n_rows"] == 200 and one["mean_score"] == two["mean_score"]
+    some = df.selectExpr("k AS row_key", "k < 20 AS is_outlier")
+    assert ensemble.impact(df, "k", "y", some, folds=2, trees=2, depth=2).where("n_rows = 180").count() == 1 and len(calls) == 3
