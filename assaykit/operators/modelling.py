@@ -286,10 +286,16 @@ def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], trees: int =
             yield pd.DataFrame({"row_key": b[key], "score": 2 ** (-depth / max(1, len(forest_)) / float(_c(n)))})
 
     kind = df.schema[key].dataType.simpleString()
-    scored = z.select(q(key), *(q(c) for c in cols)).mapInPandas(score, f"row_key {kind}, score double")
+    scored = dealt_to_cores(z.select(q(key), *(q(c) for c in cols))).mapInPandas(score, f"row_key {kind}, score double")
     return _above(scored, contamination)
 
 
+def dealt_to_cores(df: DataFrame) -> DataFrame:
+    """The rows, in as many parts as there are cores where a small table has fewer: for work that costs much a row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _above(scored: DataFrame, contamination: float) -> DataFrame:
     """row_key, score and whether the score lies above its exact quantile; rows are scored once."""
     held = checkpointed(scored)

@@ -92,3 +92,14 @@ def test_impact_without_outliers_scores_once(spark, monkeypatch):
     assert len(calls) == 1 and one["n_rows"] == two["n_rows"] == 200 and one["mean_score"] == two["mean_score"]
     some = df.selectExpr("k AS row_key", "k < 20 AS is_outlier")
     assert ensemble.impact(df, "k", "y", some, folds=2, trees=2, depth=2).where("n_rows = 180").count() == 1 and len(calls) == 3
+
+
+def test_costly_rows_are_dealt_to_all_cores(spark):
+    from assaykit.operators.modelling import dealt_to_cores, isolation_forest
+
+    cores, one = spark.sparkContext.defaultParallelism, spark.range(100).coalesce(1)
+    assert dealt_to_cores(one).rdd.getNumPartitions() == cores and dealt_to_cores(one).count() == 100
+    many = spark.range(100).repartition(cores + 3)
+    assert dealt_to_cores(many).rdd.getNumPartitions() == cores + 3
+    got = isolation_forest(one.selectExpr("id AS k", "cast(id % 7 as double) AS a", "cast(id * id as double) AS b"), "k", ["a", "b"], trees=5)
+    assert got.count() == 100 and got.rdd.getNumPartitions() >= cores
