@@ -11,7 +11,8 @@
    shares the overlap of a common path and leaves a subtree as soon as the length that remains cannot make up for what
    is missing. Groups of a class are split into blocks.
 5. Classes in long lists, such as a large group of near copies, are not paired as rows: their families are cut into
-   blocks by size, and each two blocks of sizes that may be similar meet in one task as a trie and its probes.
+   blocks by size, and each two blocks of sizes that may be similar meet in one task as a trie and its probes. A class
+   in fewer long lists than similar sets share is in no family, so n-grams that meet by chance join no families.
 
 Frequencies only shape the order, which changes no result; they are counted over all rows.
 """
@@ -39,7 +40,7 @@ ORDER_BITS = 20
 #: Prefixes are so many percent of a set longer than they need be to share one n-gram, and so must share as many.
 COMMON_PCT = 5
 #: Sets of one block of a verified group; a family's sizes are cut into so many blocks of them, then blocks grow up to so many n-grams.
-BLOCK, FEW_BLOCKS, BLOCK_GRAMS = 256, 4, 1 << 19
+BLOCK, FEW_BLOCKS, BLOCK_GRAMS = 256, 2, 1 << 21
 
 
 def least_common(n):
@@ -423,7 +424,7 @@ def document_components(docs: DataFrame, id_col: str, text_col: str, k: int, num
         def read(keys: DataFrame) -> DataFrame:
             return sets_of(keys, classes, docs, id_col, text_col, k)
 
-        roots = linked(lists, fits, lambda n, m: least_common(F.least(n, m)), lambda pairs: verify(pairs, read, num, den), lambda members: verify_families(members, read, num, den))
+        roots = linked(lists, fits, lambda n, m: least_common(F.least(n, m)), lambda pairs: verify(pairs, read, num, den), lambda members: verify_families(members, read, num, den), smallest=lambda n: F.ceil(n * num / den))
     smallest = roots.join(classes, F.col("node") == F.col("key")).groupBy("root").agg(F.min("first.id").alias("component"))
     of_component = roots.join(smallest, "root").select(F.col("node").alias("key"), "component", "root")
     named = classes.join(of_component, "key", "left").select("key", F.coalesce("component", "first.id").alias("component"), F.coalesce("root", "key").alias("comp"))

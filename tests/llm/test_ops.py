@@ -644,3 +644,26 @@ def test_pipeline_stages_take_edge_cases(spark, edge, empty, tmp_path):
                 now.write.mode("overwrite").parquet(f"{tmp_path}/s{n}")
                 now = spark.read.parquet(f"{tmp_path}/s{n}")
         now.count()
+
+
+def test_long_lists_that_members_meet_in_by_chance_make_no_family(spark):
+    """40 members meet in one long list and share too few for a link; of 40 others two groups share five long lists, and two members four and a short one."""
+    chance = [(1, k, 100, 0, 100) for k in range(40)]
+    crowd = [(g, k, 100, 100, 100) for g in range(10, 15) for k in range(100, 140)]
+    mixed = [(g, k, 100, 200, 100) for g in range(20, 24) for k in range(200, 240)] + [(30, 210, 100, 205, 100), (30, 211, 100, 205, 100), (30, 205, 100, 205, 100)]
+    lists = spark.createDataFrame(chance + crowd + mixed, "gram long, key long, n long, head long, head_n long")
+    handed, tried = [], []
+
+    def families(members):
+        handed.extend(r["key"] for r in members.collect())
+        return spark.createDataFrame([(100, 139)], "a long, b long")
+
+    def verify(pairs):
+        tried.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return pairs.where("a = 210 and b = 211")
+
+    found = components.linked(lists, lambda a, b: F.lit(True), lambda n, m: ngram_join.least_common(F.least(n, m)), verify, families, smallest=lambda n: F.ceil(n * 85 / 100))
+    got = {(r["node"], r["root"]) for r in found.collect()}
+    # a similar pair shares four lists at least if the smaller set has 85 n-grams
+    assert not set(handed) & set(range(40)) and set(range(100, 140)) <= set(handed)
+    assert (210, 211) in tried[1] and {(211, 210), (139, 100)} <= got
