@@ -12,7 +12,7 @@ combined beforehand (with their number as weight), for no cut tells them apart.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +29,16 @@ SAMPLED, QUERY_BLOCK, LEAF = 24, 32_768, 96
 
 def norm(gap: np.ndarray, metric: str) -> np.ndarray:
     """Length of differences along the last axis: euclidean or max."""
-    if metric == "max":
-        return np.abs(gap).max(-1)
-    out = gap[..., 0] ** 2
-    for d in range(1, gap.shape[-1]):
-        out = out + gap[..., d] ** 2
-    return np.sqrt(out)
+    return _length((gap[..., d] for d in range(gap.shape[-1])), metric)
+
+
+def _length(gaps: Iterable[np.ndarray], metric: str) -> np.ndarray:
+    """Length of differences, given side by side: a pass over whole arrays for each side."""
+    out = None
+    for g in gaps:
+        g = np.abs(g) if metric == "max" else g * g
+        out = g if out is None else np.maximum(out, g, out=out) if metric == "max" else np.add(out, g, out=out)
+    return out if metric == "max" else np.sqrt(out, out=out)
 
 
 def between(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray, metric: str) -> np.ndarray:
@@ -65,6 +69,7 @@ def nearest(points: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, far: np.
     leaves = _leaves(points)
     low, high = np.stack([points[r].min(0) for r in leaves]), np.stack([points[r].max(0) for r in leaves])
     sizes = np.array([len(r) for r in leaves])
+    sides = np.ascontiguousarray(points.T)
     for rows in _leaves(x):
         own = x[rows]
         a, b = own.min(0), own.max(0)
@@ -84,24 +89,30 @@ def nearest(points: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, far: np.
                 if len(chosen) == len(met):
                     continue
             there = np.concatenate([leaves[i] for i in chosen]) if len(chosen) else np.empty(0, int)
-            there = there[np.argsort(ids[there], kind="stable")]
-            d = norm(own[:, None, :] - points[there][None], metric)
-            d[d > far[rows][:, None]] = np.inf
+            if not narrower and len(there):
+                p = sides[:, there]
+                there = there[_length((np.maximum(np.maximum(u - c, c - v), 0) for c, u, v in zip(p, a, b, strict=True)), metric) <= most]
+            take = min(k, len(there))
+            p = sides[:, there]
+            d = _length((np.subtract.outer(o, c) for o, c in zip(own.T, p, strict=True)), metric)
             if narrower:
                 if len(there) >= k:
-                    bound = np.partition(d, k - 1, axis=1)[:, k - 1].max()
-                    met = met[gap[met] <= min(bound, most)]
+                    # rows that have k points within far are bounded by them, the others by far
+                    bound = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1], far[rows]).max()
+                    most = min(most, bound)
+                    met = met[gap[met] <= most]
                 continue
-            take = min(k, len(there))
             if not take:
                 continue
-            if len(there) > take:
-                limit = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
-                d = np.where(d <= limit, d, np.inf)
-            order = np.argsort(d, axis=1, kind="stable")[:, :take]  # equal distances stay in the order of ids
-            best = np.take_along_axis(d, order, 1)
-            at[rows[:, None], np.arange(take)] = np.where(np.isfinite(best), there[order], -1)
-            dist[rows[:, None], np.arange(take)] = best
+            limit = np.minimum(np.partition(d, take - 1, axis=1)[:, take - 1], far[rows])
+            row, col = np.nonzero(d <= limit[:, None])
+            best = d[row, col]
+            order = np.lexsort((ids[there[col]], best, row))  # of equal distances the smaller ids
+            row, col, best = row[order], col[order], best[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            kept = place < take
+            at[rows[row[kept]], place[kept]] = there[col[kept]]
+            dist[rows[row[kept]], place[kept]] = best[kept]
     return at, dist
 
 

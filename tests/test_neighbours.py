@@ -1,5 +1,7 @@
 """The neighbour join and the operators on it against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +153,23 @@ def test_digamma(spark):
 
 def test_leaves_hold_every_row_once():
     assert plan._leaves(np.zeros((0, 2))) == [] and sorted(np.concatenate(plan._leaves(np.zeros((500, 2)))).tolist()) == list(range(500))
+
+
+def test_search_of_a_cell_is_exact_and_keeps_to_the_ball():
+    """Ties and limits as by brute force; points of a leaf that lie outside the run's ball are not compared."""
+    rng = np.random.default_rng(3)
+    for metric in ("max", "euclidean"):
+        x, y = rng.integers(0, 7, (600, 3)) * 1.0, rng.integers(0, 7, (300, 3)) * 1.0
+        ids, far = rng.permutation(600), np.where(rng.random(300) < 0.5, np.inf, 2.0)
+        at, dist = plan.nearest(x, ids, y, 5, far, metric)
+        gap = np.abs(y[:, None] - x[None])
+        d = gap.max(-1) if metric == "max" else np.sqrt(gap[..., 0] ** 2 + gap[..., 1] ** 2 + gap[..., 2] ** 2)
+        for i in range(300):
+            want = sorted((v, ids[j], j) for j, v in enumerate(d[i]) if v <= far[i])[:5]
+            assert [(v, j) for v, _, j in want] == [(v, j) for v, j in zip(dist[i], at[i]) if j >= 0]
+    x = rng.normal(size=(6000, 4))
+    tracemalloc.start()
+    plan.nearest(x, np.arange(6000), x, 6, np.full(6000, np.inf), "euclidean")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # 31 MB before, 12 MB now
