@@ -106,13 +106,20 @@ def future_dates(df: DataFrame, cols: Sequence[str], as_of: str) -> DataFrame:
     return fused(df, rows)
 
 
-def binned_information(df: DataFrame, feature: str, target: str, bins: int = 10) -> DataFrame:
-    """Plug-in mutual information (nats) of a numeric feature in quantile bins with a categorical target."""
-    edges = sorted(set(exact_quantiles(df, [feature], [i / bins for i in range(1, bins)])[feature]) - {None})
-    cells = df.where(num(feature).isNotNull() & q(target).isNotNull()).groupBy(bucket_of(num(feature), edges).alias("a"), q(target).cast("string").alias("b")).agg(F.count("*").cast("double").alias("n"))
-    wa, wb, every = Window.partitionBy("a"), Window.partitionBy("b"), Window.partitionBy()
-    full = cells.select("n", F.sum("n").over(wa).alias("na"), F.sum("n").over(wb).alias("nb"), F.sum("n").over(every).alias("t"))
-    return full.agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi")).select(F.lit(feature).alias("feature"), "mi")
+def binned_information(df: DataFrame, features: str | Sequence[str], target: str, bins: int = 10) -> DataFrame:
+    """Plug-in mutual information (nats) of numeric features in quantile bins with a categorical target; null without values.
+
+    One scan finds the bins of all features, one more their counts.
+    """
+    features = [features] if isinstance(features, str) else list(features)
+    edges = {c: sorted(set(at) - {None}) for c, at in exact_quantiles(df, features, [i / bins for i in range(1, bins)]).items()}
+    entries = F.array(*(F.struct(F.lit(c).alias("feature"), F.when(num(c).isNotNull(), bucket_of(num(c), edges[c])).alias("a")) for c in features))
+    binned = df.where(q(target).isNotNull()).select(F.inline(entries), q(target).cast("string").alias("b")).where(F.col("a").isNotNull())
+    cells = binned.groupBy("feature", "a", "b").agg(F.count("*").cast("double").alias("n"))
+    wa, wb, every = Window.partitionBy("feature", "a"), Window.partitionBy("feature", "b"), Window.partitionBy("feature")
+    full = cells.select("feature", "n", F.sum("n").over(wa).alias("na"), F.sum("n").over(wb).alias("nb"), F.sum("n").over(every).alias("t"))
+    got = full.groupBy("feature").agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("mi"))
+    return df.sparkSession.createDataFrame([(c,) for c in features], "feature string").join(F.broadcast(got), "feature", "left")
 
 
 def suspicious_names(cols: Sequence[str], target: str, hints: Sequence[str] = NAME_HINTS) -> list[str]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,8 +59,7 @@ def information(df: DataFrame, nums: Sequence[str], target: str) -> DataFrame:
     counts = [r[0] for r in df.where(q(target).isNotNull()).groupBy(q(target)).count().select("count").collect()]
     total = sum(counts)
     bits = -sum(n / total * math.log2(n / total) for n in counts) if total else 0.0
-    each = reduce(DataFrame.unionByName, (leakage.binned_information(df, c, target) for c in nums))
-    return each.select("feature", (F.coalesce("mi", F.lit(0.0)) / F.lit(bits) if bits > 0 else F.lit(0.0)).alias("normalised"))
+    return leakage.binned_information(df, nums, target).select("feature", (F.coalesce("mi", F.lit(0.0)) / F.lit(bits) if bits > 0 else F.lit(0.0)).alias("normalised"))
 
 
 def table_report(df: DataFrame, target: str | None = None, as_of: str | None = None, threshold: float = 0.8) -> dict:

@@ -146,13 +146,14 @@ def boruta(df: DataFrame, cols: Sequence[str], target: str, rounds: int = 20, tr
 
 
 def _binned_mi(df: DataFrame, cols: Sequence[str], target: str, bins: int = 10) -> dict[str, float]:
-    """Plug-in mutual information of binned columns with a binned or categorical target, all from one grouped scan a column."""
+    """Plug-in mutual information of binned columns with a binned or categorical target, from one grouped scan of all columns."""
     task = infer_task(df, target)
     if task != "classification":
         edges = sorted(set(exact_quantiles(df, [target], [i / bins for i in range(1, bins)])[target]) - {None})
         df = df.withColumn("__y", bucket_of(num(target), edges))
         target = "__y"
-    return {c: binned_information(df, c, target, bins).first()["mi"] or 0.0 for c in cols}
+    got = {r["feature"]: r["mi"] or 0.0 for r in binned_information(df, cols, target, bins).collect()} if cols else {}
+    return {c: got[c] for c in cols}
 
 
 def mrmr(df: DataFrame, cols: Sequence[str], target: str, k: int = 5) -> DataFrame:

@@ -105,3 +105,22 @@ def test_boruta_permutes_once_a_round_and_keeps_its_permutation(spark, monkeypat
     monkeypatch.setattr(modelling, "filled", lambda rows, cols, real=modelling.filled: fills.append(len(cols)) or real(rows, cols))
     modelling.boruta(df, ["a", "b"], "y", rounds=2, trees=3)
     assert fills == [2]  # gaps are filled once, not in each round's permuted rows again
+
+
+def test_information_of_all_columns_takes_one_histogram(spark, monkeypatch):
+    """Each column's information is that of the column alone, and the table is read for quantiles once."""
+    from assaykit.operators import leakage_report
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"a": rng.normal(size=900), "b": rng.integers(0, 5, 900) * 1.0, "flat": 1.0, "none": np.nan})
+    pdf["t"] = np.where(pdf["a"] + rng.normal(size=900) > 0, "x", "y")
+    df = spark.createDataFrame(pdf).replace(float("nan"), None)
+    alone = {c: leakage.binned_information(df, c, "t").first()["mi"] for c in ("a", "b", "flat", "none")}
+    calls, whole = [], leakage.exact_quantiles
+    monkeypatch.setattr(leakage, "exact_quantiles", lambda df, cols, points: calls.append(list(cols)) or whole(df, cols, points))
+    got = {r["feature"]: r["normalised"] for r in leakage_report.information(df, ["a", "b", "flat", "none"], "t").collect()}
+    assert calls == [["a", "b", "flat", "none"]]
+    shares = (pdf["t"].value_counts() / 900).to_numpy()
+    bits = -(shares * np.log2(shares)).sum()
+    assert alone["a"] > 0.1 and alone["none"] is None and abs(alone["flat"]) < 1e-12
+    assert all(abs(got[c] - (alone[c] or 0.0) / bits) < 1e-9 for c in alone)
