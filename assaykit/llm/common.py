@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ordering import checkpointed
@@ -34,9 +34,12 @@ def range_bits(rows: int, per_range: int = ROWS_PER_RANGE) -> int:
 
 
 def broadcast_if_small(df: DataFrame, limit: int = 500_000) -> DataFrame:
-    """The rows, written once and counted: marked for broadcast up to limit rows, left to a shuffle beyond."""
-    held = cut(df)
-    return F.broadcast(held) if held.count() <= limit else held
+    """The rows, counted by the job that writes them: marked for broadcast up to limit rows, left to a shuffle beyond."""
+    seen = Observation()
+    held = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    rows = seen.get.get("rows")
+    # a plan that turns out to have no rows may run without its counter
+    return F.broadcast(held) if (held.count() if rows is None else rows) <= limit else held
 
 
 @contextmanager

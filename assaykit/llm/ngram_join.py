@@ -109,7 +109,10 @@ def order_hint(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = levels.where(F.col("level") >= least).select(F.shiftright("key", 32).cast("int").alias("key"), F.col("level").cast("byte").alias("level")).toArrow()
     grams = got.column("key").to_numpy().view(np.uint32)
     by = np.argsort(grams).astype(np.int32)
-    return grams[by], got.column("level").to_numpy()[by].view(np.uint8)
+    hint = grams[by], got.column("level").to_numpy()[by].view(np.uint8)
+    del got, grams, by
+    pa.default_memory_pool().release_unused()
+    return hint
 
 
 def ordered(s: np.ndarray, grams: np.ndarray, levels: np.ndarray) -> np.ndarray:

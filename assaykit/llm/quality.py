@@ -157,6 +157,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             b = min(n, a + batch)
             row = np.repeat(np.arange(b - a), np.diff(cuts[a : b + 1]))
             model.learn(np.concatenate([row, np.arange(b - a)]), np.concatenate([bucket[cuts[a] : cuts[b]], np.full(b - a, 1 << BUCKET_BITS)]), np.concatenate([value[cuts[a] : cuts[b]], np.ones(b - a)]), y[a:b])
+    # what Arrow holds of the features would stay with the driver
+    del got, lists, values, cuts, bucket, value, row
+    pa.default_memory_pool().release_unused()
     return model.weights()
 
 
