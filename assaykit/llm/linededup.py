@@ -37,6 +37,8 @@ MINIMA, LEAST_ALIKE = 12, 4
 STEPS = (0, 1, 4)
 #: Lists of more members are not paired: their members go to the prefix join.
 LONG = 16
+#: Rare shingles beside one in its line that tell whether a pair shares an earlier one.
+NEIGHBOURS = 2
 
 #: Bytes of lines or sets that are broadcast for the exact check; more of them are shuffled.
 BROADCAST_BYTES = 32 << 20
@@ -153,34 +155,51 @@ def _across(opened: DataFrame, signed: DataFrame, least: int = LEAST_ALIKE) -> D
 
 
 def _prefixes(crowd: DataFrame, num: int, den: int) -> DataFrame:
-    """The rarest shingles of each line of a crowd (key, comp, line): t, key, comp, n (of the set), p (place in the order).
+    """The rarest shingles of each line of a crowd (key, comp, line): t, key, comp, n (of the set), p (place in the order), earlier.
 
-    Shingles of one component only are the rarest; they take their places and get no row, as they make no pairs.
+    Shingles of one component only are the rarest; they take their places and get no row, as they make no pairs. Of the
+    NEIGHBOURS rows before and after a shingle's in the line, earlier has the shingles that come before it in the order.
     """
     sets = crowd.select("key", "comp", F.explode(F.array(F.array_distinct(_shingles(F.col("line"))))).alias("set"))
-    each = sets.select("key", "comp", F.size("set").alias("n"), F.explode("set").alias("t"))
+    each = sets.select("key", "comp", F.size("set").alias("n"), F.posexplode("set").alias("i", "t"))
     held = each.groupBy("t").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
-    ordered = each.join(held.select("t", "c"), "t").groupBy("key", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("ts"))
+    ordered = each.join(held.select("t", "c"), "t").groupBy("key", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t", "i"))).alias("ts"))
     own = F.col("n") - F.size("ts")
     first = F.expr(f"n - (n * {num}L + {den - 1}) div {den} + 1").cast("int")
-    posted = ordered.select("key", "comp", "n", own.alias("own"), F.posexplode(F.slice("ts", F.lit(1), F.greatest(first - own, F.lit(0)))).alias("at", "s"))
-    return posted.select(F.col("s.t").alias("t"), "key", "comp", "n", (F.col("own") + F.col("at")).alias("p"))
+    ranked = F.transform(F.slice("ts", F.lit(1), F.greatest(first - own, F.lit(0))), lambda s, r: F.struct(s["i"].alias("i"), r.alias("r"), s["t"].alias("t")))
 
+    def row(by: Column, s: Column, j: Column) -> Column:
+        beside = F.array(*(F.get(by, j + d) for d in range(-NEIGHBOURS, NEIGHBOURS + 1) if d))
+        return F.struct(s["t"].alias("t"), s["r"].alias("r"), F.transform(F.filter(beside, lambda o: o["r"] < s["r"]), lambda o: o["t"]).alias("earlier"))
 
-def prefix_pairs(crowd: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Pairs (a, b) of a crowd (key, comp, line) that may be similar and are of different components: none is lost.
+    # as an element of an array, what is sorted by place is made once
+    rows = F.get(F.transform(F.array(F.sort_array(ranked)), lambda by: F.transform(by, lambda s, j: row(by, s, j))), F.lit(0))
+    posted = ordered.select("key", "comp", "n", own.alias("own"), F.explode(rows).alias("s"))
+    return posted.select(F.col("s.t").alias("t"), "key", "comp", "n", (F.col("own") + F.col("s.r")).alias("p"), F.col("s.earlier").alias("earlier"))
 
-    Of two similar sets the larger one's first n - num/den n + 1 shingles and the smaller one's first n - 2 num/(num + den) n
-    + 1 share one. A shared shingle must leave enough shingles behind it in both for the overlap that the sizes ask for.
-    """
+
+def _meetings(crowd: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) by each rare shingle at which they meet, the first one that they share among them; see :func:`prefix_pairs`."""
     x = cut(_prefixes(crowd, num, den))
     index = x.where(F.expr(f"p <= n - (n * {2 * num}L + {num + den - 1}) div {num + den}"))
-    y = index.select("t", F.col("key").alias("k2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("p").alias("p2"))
+    y = index.select("t", F.col("key").alias("k2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("earlier").alias("earlier2"))
     larger = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("k2") < F.col("key")))
     left = F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")).cast("long")
     fits = (F.col("n2").cast("long") * den >= F.col("n").cast("long") * num) & (left * (num + den) >= (F.col("n") + F.col("n2")).cast("long") * num)
-    met = x.join(y, "t").where((F.col("comp") != F.col("comp2")) & larger & fits)
-    return met.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct()
+    # with an earlier shingle in common this one is not the first, at which the pair meets anyway
+    again = F.arrays_overlap("earlier", "earlier2")
+    met = x.join(y, "t").where((F.col("comp") != F.col("comp2")) & larger & fits & ~again)
+    return met.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b"))
+
+
+def prefix_pairs(crowd: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Pairs (a, b) of a crowd (key, comp, line) that may be similar and are of different components: none is lost.
+
+    Of two similar sets the larger one's first n - num/den n + 1 shingles and the smaller one's first n - 2 num/(num + den) n
+    + 1 share one. The first that they share must leave enough shingles behind it in both for the overlap that the sizes ask
+    for. Shingles of a common passage stand side by side, so most that are not the first show it by their neighbours.
+    """
+    return _meetings(crowd, num, den).distinct()
 
 
 def linked_lines(named: DataFrame, num: int = NUM, den: int = DEN, long: int = LONG, least: int = LEAST_ALIKE) -> DataFrame:
