@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..columns import num, q
 from ..plans.fuse import fused, row
-from ..plans.neighbours import counts_upto, knn_join, taken
+from ..plans.neighbours import counts_upto, knn_join, own_neighbours, own_sums, taken
 from ..plans.ordering import checkpointed, numbered
 from .modelling import _above, _standard
 
@@ -36,15 +36,10 @@ def local_outliers(df: DataFrame, key: str, cols: Sequence[str], neighbours: int
     n = rows.count()
     k = max(1, min(max(5, min(neighbours, n // 5)), n - 1))
     places = _places(rows, "row_key")
-    near = knn_join(places.select(F.col("id").alias("qid"), "x"), places, k + 1)
-    edges = checkpointed(near.select("qid", taken(k, own="qid").alias("near")))
-    reach = edges.select(F.col("qid").alias("id"), F.coalesce(F.try_element_at("near", F.lit(-1))["dist"], F.lit(0.0)).alias("kdist"))
-    pairs = edges.select("qid", F.inline("near"))
-    near_sum = pairs.join(reach, "id").groupBy("qid").agg(F.sum(F.col("times") * F.greatest("dist", "kdist")).alias("s"))
-    density = checkpointed(near_sum.select(F.col("qid").alias("id"), (1 / (F.col("s") / k + 1e-10)).alias("density")))
-    around = pairs.join(density, "id").groupBy("qid").agg(F.sum(F.col("times") * F.col("density")).alias("s"))
-    scores = around.withColumnRenamed("qid", "id").join(density, "id").select("id", (F.col("s") / k / F.col("density")).alias("score"))
-    of = places.select("id", "x").join(scores, "id", "left").select("x", F.coalesce("score", F.lit(1.0)).alias("score"))
+    state, lists = own_neighbours(places, k)
+    dense = own_sums(state, lists, k, "kdist", above=True).withColumn("density", 1 / (F.col("s") / k + 1e-10)).drop("s")
+    summed = own_sums(checkpointed(dense), lists, k, "density")
+    of = summed.select("x", F.coalesce(F.col("s") / k / F.col("density"), F.lit(1.0)).alias("score"))
     return _above(rows.join(of, "x").select("row_key", "score"), contamination)
 
 

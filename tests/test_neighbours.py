@@ -173,3 +173,26 @@ def test_search_of_a_cell_is_exact_and_keeps_to_the_ball():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 16 << 20  # 31 MB before, 12 MB now
+
+
+@pytest.mark.parametrize("kind", ["spread", "grid", "clumps"])
+def test_lof_writes_lists_of_the_cells_edges_only(spark, monkeypatch, kind):
+    """Scores equal brute force whether a place's neighbours are in its cell or not; only where they are not, lists of neighbours are written."""
+    monkeypatch.setattr(plan, "CELL_POINTS", 500)
+    rng = np.random.default_rng(5)
+    z = {"spread": rng.normal(size=(2000, 2)), "grid": rng.integers(0, 40, (2000, 2)) * 1.0, "clumps": np.concatenate([rng.normal(c * 50, 1, (500, 2)) for c in range(4)])}[kind]
+    lists, entries = [], []
+    made = neighbours.own_neighbours
+
+    def watched(places, k):
+        state, near = made(places, k)
+        lists.append(near.count())
+        entries.append(state.count())
+        return state, near
+
+    monkeypatch.setattr(neighbours, "own_neighbours", watched)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(z)], "k int, a double, b double")
+    got = neighbours.local_outliers(df, "k", ["a", "b"]).toPandas().sort_values("row_key")
+    x = neighbours._standard(df, ["a", "b"]).toPandas().sort_values("k")[["a", "b"]].to_numpy(float)
+    assert np.allclose(got["score"], plain_lof(x, 20), rtol=1e-9)
+    assert entries == [len(np.unique(z, axis=0))] and lists[0] < 0.75 * entries[0]
