@@ -22,6 +22,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ordering import let_go
 from .common import broadcast_if_small, cut, table
 from .components import components
 
@@ -74,8 +75,9 @@ def _bands() -> Column:
 
 def _lists(members: DataFrame) -> DataFrame:
     """Members (gram, key) of lists of several, each with the list's first member and its length: gram, key, head, c."""
-    heads = members.groupBy("gram").agg(F.min("key").alias("head"), F.count("*").alias("c")).where(F.col("c") > 1)
-    return cut(members.join(broadcast_if_small(heads), "gram"))
+    heads = broadcast_if_small(members.groupBy("gram").agg(F.min("key").alias("head"), F.count("*").alias("c")).where(F.col("c") > 1))
+    let_go(members.sparkSession)
+    return cut(members.join(heads, "gram"))
 
 
 def _shingles(line: Column) -> Column:
@@ -210,21 +212,30 @@ def linked_lines(named: DataFrame, num: int = NUM, den: int = DEN, long: int = L
     Pairs that bands propose are compared if at least so many minima are equal (0: all).
     """
     signed = cut(signatures(named))
+    let_go(named.sparkSession)
     lists = _lists(signed.select("key", _bands()))
+    let_go(named.sparkSession)
     wanted = broadcast_if_small(lists.select("key").distinct())
     texts = cut(named.join(wanted, "key", "left_semi").groupBy("key").agg(F.any_value("line").alias("line")).join(signed.join(wanted, "key", "left_semi"), "key"))
     stars = cut(lists.where(F.col("key") != F.col("head")).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
+    let_go(named.sparkSession)
     roots = components(verify(stars, texts, num, den, least))
     opened = _open(lists, roots)
+    del signed, lists, wanted
+    let_go(named.sparkSession)
     found = verify(cut(_guided(opened, texts)), texts, num, den, least)
     roots = components(found.union(roots.select("node", "root")))
     opened = _open(opened.drop("comp"), roots)
+    let_go(named.sparkSession)
     short = cut(_across(opened.where(F.col("c") <= long), texts, least).join(stars, ["a", "b"], "left_anti"))
     edges = roots.select("node", "root").union(verify(short, texts, num, den, 0))
     crowd = broadcast_if_small(opened.where(F.col("c") > long).select("key", "comp").distinct())
     if crowd.isEmpty():
         return components(edges)
+    del opened
+    let_go(named.sparkSession)
     near = cut(prefix_pairs(texts.select("key", "line").join(crowd, "key"), num, den))
+    let_go(named.sparkSession)
     both = near.select(F.col("a").alias("key"), F.col("b").alias("k2")).union(near.select("b", "a"))
     roots = components(edges.union(verify(cut(_likest(both, texts)), texts, num, den, 0)))
     rest = verify(cut(_apart(near, roots)), texts, num, den, 0)

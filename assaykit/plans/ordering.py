@@ -6,6 +6,7 @@ of consecutive rows, each block with copies of as many rows of its neighbours as
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Sequence
 
@@ -33,6 +34,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has Spark's cleaner remove the files of shuffles, and of checkpoints if the session says so, that no plan refers to any more.
+
+    The cleaner acts on what the driver's collector finds, and a driver with little to do seldom collects by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "__rn") -> DataFrame:
     """The rows with their number from 0 in the order, which should be total."""
     cols = df.columns
